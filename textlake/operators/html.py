@@ -206,7 +206,7 @@ def extract_listing(pages: DataFrame, html_col: str = "html") -> DataFrame:
             for html in batch[html_col]:
                 rows = list(_listing_records(html))
                 if rows:
-                    yield pd.DataFrame(rows).reindex(columns=columns)
+                    yield pd.DataFrame(rows, columns=columns, dtype=object)
 
     return pages.select(html_col).mapInPandas(run, LISTING_SCHEMA)
 

@@ -134,7 +134,7 @@ def merge_audited(
     ids in key order. Counts are ``inserted`` and ``matched``.
     """
     stamp = F.lit(now).cast(target.schema[updated_col].dataType)
-    fresh = dedup(incoming.select(key, *cols), key, order_by, "first")
+    fresh = dedup(incoming, key, order_by, "first").select(key, *cols)
     changes = fresh.select(key, F.lit(True).alias(_HIT), *[F.col(c).alias(f"_new_{c}") for c in cols])
 
     def pick(c):

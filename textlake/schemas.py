@@ -3,8 +3,23 @@
 from pyspark.sql import types as T
 
 
+_TYPES = {
+    "string": T.StringType(),
+    "int": T.IntegerType(),
+    "bigint": T.LongType(),
+    "float": T.FloatType(),
+    "double": T.DoubleType(),
+    "timestamp": T.TimestampType(),
+    "decimal(18,3)": T.DecimalType(18, 3),
+    "array<string>": T.ArrayType(T.StringType()),
+    "array<float>": T.ArrayType(T.FloatType()),
+}
+
+
 def ddl(text: str) -> T.StructType:
-    return T.StructType.fromDDL(text)
+    """``name type`` pairs separated by a comma and a space; needs no session."""
+    pairs = [item.split(" ") for item in text.split(", ")]
+    return T.StructType([T.StructField(name, _TYPES[kind]) for name, kind in pairs])
 
 
 MOVIES = ddl(

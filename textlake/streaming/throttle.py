@@ -141,43 +141,61 @@ def throttle(
 
 
 class _SlidingLog(StatefulProcessor):
-    """The admitted times of one key, kept between micro-batches."""
+    """The admitted times of one key, kept between micro-batches until a window has passed."""
 
     def __init__(self, key: str, event_id: str, n: int, window: int):
         self.key, self.event_id, self.n, self.window = key, event_id, n, window
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        # idle keys expire after twice the window
-        self.log = handle.getListState("log", "t bigint", ttlDurationMs=max(1, 2 * self.window // 1000))
+        self.handle = handle
+        self.log = handle.getListState("log", "t bigint")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        batch = pd.concat(list(rows), ignore_index=True).sort_values(["event_micros", self.event_id], ignore_index=True)
+        batch = pd.concat(list(rows), ignore_index=True)
+        batch = batch.sort_values(["event_micros", self.event_id], ignore_index=True)
         state = deque(sorted(t for (t,) in self.log.get()))
         batch["admitted"] = admit(batch["event_micros"].to_numpy(), state, self.n, self.window)
         self.log.put([(t,) for t in state])
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer)
+        self.handle.registerTimer((state[-1] + self.window) // 1000 + 1)
         yield batch[[self.key, self.event_id, "admitted"]]
 
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.log.clear()
+        return iter([])
+
     def close(self) -> None:
         pass
 
 
 def throttle_stream(
-    stream: DataFrame, key: str, ts: str, event_id: str, n: int = LIMIT, window_s: float = WINDOW_S
+    stream: DataFrame,
+    key: str,
+    ts: str,
+    event_id: str,
+    n: int = LIMIT,
+    window_s: float = WINDOW_S,
+    lateness: str | None = None,
 ) -> DataFrame:
     """The same decisions on a stream whose micro-batches arrive in time order.
 
-    State per key is at most ``n`` times. Bound what one trigger reads (for files,
-    ``maxFilesPerTrigger``): the rows of one key in a micro-batch are sorted in one task. Needs the
-    RocksDB state store.
+    State per key is at most ``n`` times and is dropped once the watermark has passed its window.
+    ``lateness`` is the watermark delay, one window by default; later rows are dropped. Bound what one
+    trigger reads (for files, ``maxFilesPerTrigger``): the rows of one key in a micro-batch are
+    sorted in one task. Needs the RocksDB state store.
     """
     window = int(window_s * 1_000_000)
-    rows = stream.select(key, event_id, F.unix_micros(F.col(ts).cast("timestamp")).alias("event_micros"))
-    out = T.StructType(
-        [stream.schema[key], stream.schema[event_id], T.StructField("admitted", T.BooleanType())]
-    )
-    return rows.groupBy(key).transformWithStateInPandas(
-        statefulProcessor=_SlidingLog(key, event_id, n, window),
-        outputStructType=out,
-        outputMode="append",
-        timeMode="processingTime",
+    at = F.col(ts).cast("timestamp")
+    rows = stream.select(key, event_id, at.alias("event_time"), F.unix_micros(at).alias("event_micros"))
+    out = T.StructType([stream.schema[key], stream.schema[event_id], T.StructField("admitted", T.BooleanType())])
+    return (
+        rows.withWatermark("event_time", lateness or f"{window_s} seconds")
+        .groupBy(key)
+        .transformWithStateInPandas(
+            statefulProcessor=_SlidingLog(key, event_id, n, window),
+            outputStructType=out,
+            outputMode="append",
+            timeMode="eventTime",
+        )
     )
