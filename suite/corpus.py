@@ -75,11 +75,11 @@ def _sources(spark, sf):
         F.concat(F.lit("[["), "lang", F.lit("|x]] "), "text").alias("plot"),
         F.concat(F.lit("{{IMDb title|id="), num, F.lit("}}")).alias("external_links"),
     )
-    # pages match on title and year; several share a title
+    # pages match on title and year; several share a title once it is cleaned
     part = table(spark, sf, "part").select("p_partkey", "p_name", "p_size")
     pages = table(spark, sf, "pages").join(part, F.col("page_id") == F.col("p_partkey"))
     by_title = pages.select(
-        F.concat(F.initcap("p_name"), F.lit(" (film)")).alias("title"), F.col("url").alias("summary"), F.col("html").alias("plot"),
+        F.concat(F.initcap("p_name"), F.lit(" (2001 p"), "page_id", F.lit(") (film)")).alias("title"), F.col("url").alias("summary"), F.col("html").alias("plot"),
         F.concat(F.lit("[[Category:"), (F.col("p_size") + 1950).cast("string"), F.lit(" films]]")).alias("external_links"),
     )
     return plots_a, by_id.unionByName(by_title)
@@ -93,7 +93,7 @@ raw_b AS (
          '''''''' || source || ''''''' {{a}}' AS summary, '[[' || lang || '|x]] ' || text AS plot
   FROM documents WHERE lang IN ('fr', 'es')
   UNION ALL
-  SELECT array_to_string(list_transform(string_split(p_name, ' '), lambda w: upper(w[1]) || w[2:]), ' '), NULL, p_size + 1950, url, html
+  SELECT array_to_string(list_transform(string_split(p_name, ' '), lambda w: upper(w[1]) || w[2:]), ' ') AS title, NULL, p_size + 1950, url, html
   FROM pages JOIN part ON page_id = p_partkey)
 """
 
@@ -131,7 +131,7 @@ SELECT * FROM a UNION ALL SELECT * FROM b
 """)
 def build_corpus(spark, sf):
     plots_a, plots_b = _sources(spark, sf)
-    return _show(jobs.build_corpus(movies(spark, sf), plots_a.drop("num"), plots_b))
+    return _show(jobs.build_corpus(movies(spark, sf), plots_a.drop("num"), plots_b, stage=True))
 
 
 @query(f"""

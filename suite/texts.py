@@ -65,7 +65,7 @@ def html_fields(spark, sf):
 SELECT 'tt' || p_partkey AS imdb_title_id, p_name AS title, CAST(1950 + p_size AS VARCHAR) AS year,
        CASE WHEN p_type = 'SMALL' THEN NULL ELSE p_brand END AS certificate, p_type AS genre,
        p_size || ' min' AS runtime, 'about ' || p_name || ' & more' AS description,
-       round(p_retailprice / 100, 2) AS IMDb_rating, CAST(p_partkey AS VARCHAR) AS ratingCount,
+       p_retailprice AS IMDb_rating, CAST(p_partkey AS VARCHAR) AS ratingCount,
        CASE WHEN p_size % 3 = 0 THEN 'Ann' WHEN p_size % 3 = 1 THEN 'Ann,Bob' END AS directors,
        'Cy,Di' AS stars
 FROM part WHERE p_type <> 'LARGE' AND p_brand <> 'Brand#1'
@@ -86,7 +86,7 @@ def listing_pages(spark, sf):
         "p_name", text('</a> <span class="lister-item-year text-muted">'), year, text("</span></h3><p class='text-muted'>"),
         F.when(F.col("p_type") == "SMALL", "").otherwise(F.concat(text('<span class="certificate">'), "p_brand", text("</span>"))),
         text('<span class="runtime">'), size.cast("string"), text(' min</span><span class="genre">\n '), "p_type", text(" </span></p><strong>"),
-        F.round(F.col("p_retailprice") / 100, 2).cast("string"), text('</strong><p class="text-muted">about <b>'), "p_name",
+        F.col("p_retailprice").cast("string"), text('</strong><p class="text-muted">about <b>'), "p_name",
         text("</b> &amp; more</p><p class=\"\">"), credits, text("</p>"),
         F.when(F.col("p_type") == "LARGE", "").otherwise(
             F.concat(text('<p class="votes"><span name="nv" data-value="'), F.col("p_partkey").cast("string"), text('">v</span></p>'))

@@ -44,7 +44,7 @@ NO_LINKS = "No external links available"
 # ----------------------------------------------------------------------------------------------
 
 # Python's idea of whitespace (str.split, str.strip, re "\s"), spelled for Java.
-_PY_SPACE = r"[\s\x1c-\x1f]"
+_PY_SPACE = r"[\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
 _NUMBER = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"
 
 
@@ -106,12 +106,12 @@ def split_lower(c, default: str = "NA") -> Column:
 
 def strip(c) -> Column:
     """Remove leading and trailing whitespace of every kind."""
-    return F.regexp_replace(_col(c), rf"(?U)\A{_PY_SPACE}+|{_PY_SPACE}+\z", "")
+    return F.regexp_replace(_col(c), rf"\A{_PY_SPACE}+|{_PY_SPACE}+\z", "")
 
 
 def squeeze(c) -> Column:
     """Collapse each whitespace run to one space and strip the ends."""
-    return F.trim(F.regexp_replace(_col(c), rf"(?U){_PY_SPACE}+", " "))
+    return F.trim(F.regexp_replace(_col(c), rf"{_PY_SPACE}+", " "))
 
 
 def normalize_list(c, is_array: bool = False) -> Column:

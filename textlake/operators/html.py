@@ -202,11 +202,15 @@ def extract_listing(pages: DataFrame, html_col: str = "html") -> DataFrame:
     columns = T.StructType.fromDDL(LISTING_SCHEMA).names
 
     def run(batches):
+        rows = []
         for batch in batches:
             for html in batch[html_col]:
-                rows = list(_listing_records(html))
-                if rows:
+                rows.extend(_listing_records(html))
+                if len(rows) >= 10_000:
                     yield pd.DataFrame(rows, columns=columns, dtype=object)
+                    rows = []
+        if rows:
+            yield pd.DataFrame(rows, columns=columns, dtype=object)
 
     return pages.select(html_col).mapInPandas(run, LISTING_SCHEMA)
 

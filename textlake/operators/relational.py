@@ -6,6 +6,8 @@ import functools
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from textlake.sinks import new_version
+
 
 def not_covered(df: DataFrame, other: DataFrame, key: str, other_key: str | None = None) -> DataFrame:
     """Rows of ``df`` whose key is absent from ``other``; a NULL in ``other`` covers nothing."""
@@ -43,12 +45,20 @@ def either_join(
     return by_first.unionByName(by_second).select(*keep_left, *keep_right)
 
 
-def coalesce_sources(sources: list[DataFrame], key: str) -> DataFrame:
-    """Rows of the first source, then rows of each later one whose key no earlier source has."""
-    merged = sources[0]
-    for later in sources[1:]:
-        merged = merged.unionByName(not_covered(later, merged, key))
-    return merged
+def coalesce_sources(sources: list[DataFrame], key: str, stage: bool = False) -> DataFrame:
+    """Rows of the first source, then rows of each later one whose key no earlier source has.
+
+    Each source is needed twice: for its rows and for its keys. ``stage`` writes it first, so that the
+    second use reads the key column of a file instead of computing the source again.
+    """
+    taken: list[DataFrame] = []
+    for source in sources:
+        for earlier in taken:
+            source = not_covered(source, earlier, key)
+        if stage and len(taken) < len(sources) - 1:
+            source = source.sparkSession.read.parquet(new_version(source, "source"))
+        taken.append(source)
+    return functools.reduce(DataFrame.unionByName, taken)
 
 
 def resolve_id_list(

@@ -58,28 +58,37 @@ def import_metadata(target: DataFrame, basics, ratings, crew, names, y0: int, y1
     return merge_partial(target, rows, "imdb_title_id", REFRESHED)
 
 
-def clean_plots_b(plots_b: DataFrame, variant: str = "standard") -> DataFrame:
-    """Cleaned second plot source: title, id number, year, summary and plot."""
+def plot_keys_b(plots_b: DataFrame, variant: str = "standard") -> DataFrame:
+    """What the second plot source is matched by, next to its own key; reads no plot text."""
     links = F.col("external_links")
     if variant == "standard":
-        rows = plots_b.where(not_sentinel("plot"))
-        return rows.select(
-            clean_title("title").alias("title"),
-            extract_id(links).alias("imdb_num"),
-            extract_year(links).alias("year"),
-            clean_markup("summary").alias("summary"),
-            clean_markup("plot").alias("plot"),
-        )
-    rows = plots_b.where(not_sentinel("plot", ("No plot available", " ")))
-    return rows.select(
-        clean_title("title").alias("title"),
-        extract_id(links, sentinel=NO_LINKS, two_part=True).alias("imdb_num"),
-        extract_year(links, as_text=True).alias("year"),
-        clean_markup("summary", "dbt_summary").alias("summary"),
-        clean_markup("plot", "dbt_plot").alias("plot"),
+        num, year = extract_id(links), extract_year(links)
+    else:
+        num = extract_id(links, sentinel=NO_LINKS, two_part=True)
+        year = extract_year(links, as_text=True)
+    return plots_b.select(
+        F.col("title").alias("raw_title"), clean_title("title").alias("title"), num.alias("imdb_num"), year.alias("year")
     )
 
 
+def plot_texts_b(plots_b: DataFrame, variant: str = "standard") -> DataFrame:
+    """Cleaned summary and plot of the second source, without its stand-in texts."""
+    if variant == "standard":
+        kept, profiles = not_sentinel("plot"), ("standard", "standard")
+    else:
+        kept, profiles = not_sentinel("plot", ("No plot available", " ")), ("dbt_summary", "dbt_plot")
+    return plots_b.where(kept).select(
+        F.col("title").alias("raw_title"),
+        clean_markup("summary", profiles[0]).alias("summary"),
+        clean_markup("plot", profiles[1]).alias("plot"),
+    )
+
+
+def clean_plots_b(plots_b: DataFrame, variant: str = "standard") -> DataFrame:
+    """The second plot source as one cleaned table: title, id number, year, summary and plot."""
+    return plot_keys_b(plots_b, variant).join(plot_texts_b(plots_b, variant), "raw_title").drop("raw_title")
+
+
 def _corpus_rows(joined: DataFrame, variant: str) -> DataFrame:
     standard = variant == "standard"
     values = {
@@ -105,13 +114,14 @@ def build_corpus(
     variant: str = "standard",
     priority: tuple[str, ...] | None = None,
     one_per_key: bool = False,
+    stage: bool = False,
 ) -> DataFrame:
-    """One normalised table from movie metadata and two plot sources.
+    """One normalised table from movie metadata and two plot sources, the second keyed by its title.
 
     ``standard`` prefers source a, matches source b by padded id or by lower-cased title and year, and
     asks for usable text. ``dbt`` prefers b, matches titles as written, pads the ids of a, and asks a
     for a summary only. A source that matches a movie more than once keeps all matches unless
-    ``one_per_key``.
+    ``one_per_key``. ``stage`` writes the preferred source before the next one is computed.
     """
     standard = variant == "standard"
     popular = movies.where(min_popularity("ratingCount", MIN_RATING_COUNT, strict=True))
@@ -123,24 +133,24 @@ def build_corpus(
         keyed = plots_a.where(F.col("summary").isNotNull())
         a = keyed.withColumn("imdb_title_id", pad_key("imdb_title_id")).join(popular, "imdb_title_id")
 
-    b = clean_plots_b(plots_b, variant)
-    b = b.where(usable_text("plot")) if standard else b
-    b = b.withColumnsRenamed({"title": "_title", "year": "_year"}).drop("imdb_title_id")
+    # match on keys alone, then fetch and clean the text of the rows that matched
+    keys = plot_keys_b(plots_b, variant).withColumnsRenamed({"title": "_title", "year": "_year"})
     fold = F.lower if standard else (lambda c: c)
     year = F.col("_year") if standard else F.col("_year").try_cast("int")
-    b = either_join(
+    pairs = either_join(
         popular,
-        b,
+        keys,
         (F.col("imdb_title_id"), pad_key("imdb_num")),
         [(fold(F.col("title")), fold(F.col("_title"))), (F.col("year"), year)],
         movie_cols,
-        ["summary", "plot"],
+        ["raw_title"],
     )
+    b = pairs.join(plot_texts_b(plots_b, variant), "raw_title")
+    b = b.where(usable_text("plot")) if standard else b
     sources = {"a": _corpus_rows(a, variant), "b": _corpus_rows(b, variant)}
-    corpus = coalesce_sources([sources[s] for s in priority or (("a", "b") if standard else ("b", "a"))], "source")
-    if one_per_key:
-        corpus = dedup(corpus, "source", "plot")
-    return corpus
+    order = priority or (("a", "b") if standard else ("b", "a"))
+    corpus = coalesce_sources([sources[s] for s in order], "source", stage)
+    return dedup(corpus, "source", "plot") if one_per_key else corpus
 
 
 def enrichment_candidates(movies: DataFrame, plots: DataFrame, limit: int = 1000, min_votes: int = 10_000) -> DataFrame:
