@@ -16,10 +16,10 @@ _REF_SINGLE = (r"(?d)<ref .*?/>", "")
 _ANY_TAG = (r"<[^>]*>", "")
 _BRACE = (r"(?d)\{.*?\}", "")
 _DOUBLE_BRACE = (r"(?d)\{\{.*?\}\}", "")
-_PIPE_SPACE = (r"\|", " ")
-_PIPE_COMMA = (r"\|", ",")
+_PIPE_SPACE = ("|", " ")
+_PIPE_COMMA = ("|", ",")
 _SPACES = (r"[\t\n\f\r ]+", " ")
-_QUOTE_PAIR = (r"''", "'")
+_QUOTE_PAIR = ("''", "'")
 
 MARKUP_PROFILES = {
     "standard": [_COMMENT, _LINK, _REF_PAIR, _REF_SINGLE, _ANY_TAG, _BRACE, _PIPE_SPACE, _SPACES],
@@ -30,6 +30,7 @@ MARKUP_PROFILES = {
         _COMMENT, _LINK, _REF_PAIR, _REF_SINGLE, _ANY_TAG, _PIPE_COMMA, _QUOTE_PAIR, _QUOTE_PAIR, _QUOTE_PAIR,
     ],
 }
+_PLAIN_TEXT = {_PIPE_SPACE, _PIPE_COMMA, _QUOTE_PAIR}  # steps without a pattern
 TITLE_YEAR_SUFFIX = r"\(\d{4}[\t\n\f\r ]\w+\)"
 TITLE_FILM_SUFFIX = r"\(film\)"
 ID_TEMPLATE = r"(?d)\{\{[Ii][Mm][Dd][Bb] title(.*)\}\}"
@@ -44,7 +45,7 @@ NO_LINKS = "No external links available"
 # ----------------------------------------------------------------------------------------------
 
 # Python's idea of whitespace (str.split, str.strip, re "\s"), spelled for Java.
-_PY_SPACE = r"[\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+_PY_SPACE = r"[\s\x1c-\x1f]"
 _NUMBER = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"
 
 
@@ -55,8 +56,9 @@ def _col(c) -> Column:
 def clean_markup(c, profile: str = "standard") -> Column:
     """Run one markup-cleaning profile; the steps apply in order, to every match."""
     out = _col(c)
-    for pattern, replacement in MARKUP_PROFILES[profile]:
-        out = F.regexp_replace(out, F.lit(pattern), F.lit(replacement))
+    for step in MARKUP_PROFILES[profile]:
+        change = F.replace if step in _PLAIN_TEXT else F.regexp_replace
+        out = change(out, F.lit(step[0]), F.lit(step[1]))
     return out
 
 
@@ -106,12 +108,12 @@ def split_lower(c, default: str = "NA") -> Column:
 
 def strip(c) -> Column:
     """Remove leading and trailing whitespace of every kind."""
-    return F.regexp_replace(_col(c), rf"\A{_PY_SPACE}+|{_PY_SPACE}+\z", "")
+    return F.regexp_replace(_col(c), rf"(?U)\A{_PY_SPACE}+|{_PY_SPACE}+\z", "")
 
 
 def squeeze(c) -> Column:
     """Collapse each whitespace run to one space and strip the ends."""
-    return F.trim(F.regexp_replace(_col(c), rf"{_PY_SPACE}+", " "))
+    return F.trim(F.regexp_replace(_col(c), rf"(?U){_PY_SPACE}+", " "))
 
 
 def normalize_list(c, is_array: bool = False) -> Column:

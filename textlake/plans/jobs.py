@@ -7,7 +7,7 @@ import logging
 from pyspark.sql import DataFrame, functions as F
 
 from textlake import schemas
-from textlake.functions.predicates import feature_filter, min_popularity, not_sentinel, usable_text
+from textlake.functions.predicates import PLOT_SENTINELS, feature_filter, min_popularity, not_sentinel, usable_text
 from textlake.functions.scalars import (
     NO_LINKS, build_url, clean_markup, clean_title, extract_id, extract_year, pad_key, runtime_minutes, split_lower,
 )
@@ -71,22 +71,30 @@ def plot_keys_b(plots_b: DataFrame, variant: str = "standard") -> DataFrame:
     )
 
 
-def plot_texts_b(plots_b: DataFrame, variant: str = "standard") -> DataFrame:
-    """Cleaned summary and plot of the second source, without its stand-in texts."""
-    if variant == "standard":
-        kept, profiles = not_sentinel("plot"), ("standard", "standard")
-    else:
-        kept, profiles = not_sentinel("plot", ("No plot available", " ")), ("dbt_summary", "dbt_plot")
-    return plots_b.where(kept).select(
-        F.col("title").alias("raw_title"),
-        clean_markup("summary", profiles[0]).alias("summary"),
-        clean_markup("plot", profiles[1]).alias("plot"),
+def raw_texts_b(plots_b: DataFrame, variant: str = "standard") -> DataFrame:
+    """Text of the second source as stored, without its stand-in plots."""
+    sentinels = PLOT_SENTINELS if variant == "standard" else ("No plot available", " ")
+    return plots_b.where(not_sentinel("plot", sentinels)).select(F.col("title").alias("raw_title"), "summary", "plot")
+
+
+def with_clean_text(rows: DataFrame, variant: str = "standard") -> DataFrame:
+    """Replace summary and plot by their cleaned form.
+
+    The generator keeps the two chains of replacements in one place: a later filter on the plot
+    would otherwise carry a second and third copy of them below the join.
+    """
+    profiles = ("standard", "standard") if variant == "standard" else ("dbt_summary", "dbt_plot")
+    cleaned = F.struct(
+        clean_markup("summary", profiles[0]).alias("summary"), clean_markup("plot", profiles[1]).alias("plot")
     )
+    kept = [c for c in rows.columns if c not in ("summary", "plot")]
+    return rows.select(*kept, F.inline(F.array(cleaned)))
 
 
 def clean_plots_b(plots_b: DataFrame, variant: str = "standard") -> DataFrame:
     """The second plot source as one cleaned table: title, id number, year, summary and plot."""
-    return plot_keys_b(plots_b, variant).join(plot_texts_b(plots_b, variant), "raw_title").drop("raw_title")
+    texts = with_clean_text(raw_texts_b(plots_b, variant), variant)
+    return plot_keys_b(plots_b, variant).join(texts, "raw_title").drop("raw_title")
 
 
 def _corpus_rows(joined: DataFrame, variant: str) -> DataFrame:
@@ -133,7 +141,7 @@ def build_corpus(
         keyed = plots_a.where(F.col("summary").isNotNull())
         a = keyed.withColumn("imdb_title_id", pad_key("imdb_title_id")).join(popular, "imdb_title_id")
 
-    # match on keys alone, then fetch and clean the text of the rows that matched
+    # match on keys alone; the text, cleaned once per row, joins only the pairs that matched
     keys = plot_keys_b(plots_b, variant).withColumnsRenamed({"title": "_title", "year": "_year"})
     fold = F.lower if standard else (lambda c: c)
     year = F.col("_year") if standard else F.col("_year").try_cast("int")
@@ -145,7 +153,7 @@ def build_corpus(
         movie_cols,
         ["raw_title"],
     )
-    b = pairs.join(plot_texts_b(plots_b, variant), "raw_title")
+    b = pairs.join(with_clean_text(raw_texts_b(plots_b, variant), variant), "raw_title")
     b = b.where(usable_text("plot")) if standard else b
     sources = {"a": _corpus_rows(a, variant), "b": _corpus_rows(b, variant)}
     order = priority or (("a", "b") if standard else ("b", "a"))
