@@ -1,0 +1,87 @@
+import random
+
+import pytest
+
+from textlake.operators import merge as M
+from textlake.operators.quality import QualityError
+
+SCHEMA = "k int, a string, b int"
+
+
+def frames(spark, seed):
+    rnd = random.Random(seed)
+    target = {k: (k, f"t{k}", rnd.choice([None, k])) for k in rnd.sample(range(30), 15)}
+    incoming = [(rnd.randrange(30), rnd.choice([None, "i", "j"]), rnd.randrange(5), n) for n in range(40)]
+    return target, incoming, spark.createDataFrame(list(target.values()), SCHEMA), spark.createDataFrame(incoming, SCHEMA + ", seq int")
+
+
+def table(df):
+    rows = [tuple(r) for r in df.collect()]
+    assert len({r[0] for r in rows}) == len(rows)
+    return {r[0]: r for r in rows}
+
+
+def model(target, incoming, rule, last):
+    picked = {}
+    for row in sorted(incoming, key=lambda r: r[3], reverse=not last):
+        picked[row[0]] = row[:3]
+    out = dict(target)
+    for k, row in picked.items():
+        out[k] = rule(target[k], row) if k in target else row
+    return out, sum(k not in target for k in picked), sum(k in target for k in picked)
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+@pytest.mark.parametrize(
+    "name, rule, last",
+    [
+        ("ignore", lambda t, i: t, False),
+        ("partial", lambda t, i: (t[0], i[1], t[2]), False),
+        ("full", lambda t, i: i, False),
+        ("replace", lambda t, i: i, True),
+    ],
+)
+def test_against_dict(spark, seed, name, rule, last):
+    target, incoming, t, i = frames(spark, seed)
+    args = (["a"],) if name == "partial" else ()
+    merge = getattr(M, f"merge_{name}")
+    merged, counts = merge(t, i, "k", *args, order_by="seq")
+    want, inserted, matched = model(target, incoming, rule, last)
+    assert table(merged) == want
+    assert tuple(counts.first()) == (inserted, matched)
+    again, counts = merge(merged, i, "k", *args, order_by="seq")
+    assert table(again) == want and counts.first().inserted == 0
+
+
+def test_audited(spark):
+    schema = "id bigint, k string, v int, created_at timestamp, updated_at timestamp"
+    empty = spark.createDataFrame([], schema)
+    first = spark.createDataFrame([("c", 3), ("a", 1), ("b", 2), ("a", 9)], "k string, v int")
+    merged, counts = M.merge_audited(empty, first, "k", ["v"], "2024-01-01 00:00:00")
+    rows = sorted((r.id, r.k, r.v) for r in merged.collect())
+    assert rows == [(1, "a", 1), (2, "b", 2), (3, "c", 3)]
+    assert tuple(counts.first()) == (3, 0)
+    second = spark.createDataFrame([("b", 20), ("aa", 5), ("d", None)], "k string, v int")
+    merged, counts = M.merge_audited(merged, second, "k", ["v"], "2024-02-01 00:00:00")
+    rows = {r.k: (r.id, r.v, r.created_at.month, r.updated_at.month) for r in merged.collect()}
+    assert rows == {"a": (1, 1, 1, 1), "b": (2, 20, 1, 2), "c": (3, 3, 1, 1), "aa": (4, 5, 2, 2), "d": (5, None, 2, 2)}
+    assert tuple(counts.first()) == (2, 1)
+
+
+def test_number_rows_is_dense(spark):
+    keys = [f"k{n:04d}" for n in range(1000)]
+    random.Random(0).shuffle(keys)
+    df = spark.createDataFrame([(k,) for k in keys], "k string").repartition(7)
+    rows = [(r.k, r.id) for r in M.number_rows(df, "k", 100).collect()]
+    assert sorted(rows) == [(k, 101 + n) for n, k in enumerate(sorted(keys))]
+
+
+def test_dedup(spark):
+    df = spark.createDataFrame([(1, "b", 2), (1, "a", 2), (2, "x", 1), (None, "n", 0), (None, "m", 0)], SCHEMA)
+    first = {r.k: r.a for r in M.dedup(df, "k", "b").collect()}
+    assert first == {1: "a", 2: "x", None: "m"}
+    with pytest.raises(QualityError):
+        M.dedup(df, "k", keep="error")
+    # one key may fill the batch: rows are limited before they are shuffled
+    plan = M.dedup(df, "k", "b")._jdf.queryExecution().executedPlan().toString()
+    assert "WindowGroupLimit" in plan and "Partial" in plan

@@ -10,8 +10,12 @@ from textlake.sinks import new_version
 
 
 def not_covered(df: DataFrame, other: DataFrame, key: str, other_key: str | None = None) -> DataFrame:
-    """Rows of ``df`` whose key is absent from ``other``; a NULL in ``other`` covers nothing."""
-    keys = other.select(F.col(other_key or key).alias(key)).where(F.col(key).isNotNull())
+    """Rows of ``df`` whose key is absent from ``other``; a NULL in ``other`` covers nothing.
+
+    The keys are made distinct, which needs the same shuffle as the join and keeps a frequent key of
+    ``other`` from filling one task.
+    """
+    keys = other.select(F.col(other_key or key).alias(key)).where(F.col(key).isNotNull()).distinct()
     return df.join(keys, key, "left_anti")
 
 
