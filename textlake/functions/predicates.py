@@ -52,7 +52,7 @@ def min_popularity(c, n: int, strict: bool = False) -> Column:
 
 def overlaps_ci(c, values) -> Column:
     """True when the array shares an element with ``values``, ignoring case; never NULL."""
-    wanted = F.array(*[F.lit(v.lower()) for v in values])
+    wanted = F.array(*[F.lit(v.lower()) for v in values]).cast("array<string>")
     return F.coalesce(F.arrays_overlap(F.transform(_col(c), F.lower), wanted), F.lit(False))
 
 

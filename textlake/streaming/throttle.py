@@ -15,6 +15,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from textlake.session import checkpointed
@@ -43,18 +44,15 @@ def admit(times: np.ndarray, log: deque, limit: int, window: int) -> np.ndarray:
     return out
 
 
-def _runs(batches: Iterator[pa.RecordBatch]):
-    """Consecutive rows of one key: ``(key, times, event ids)``."""
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        codes = batch.column(0).dictionary_encode()
-        index = codes.indices.fill_null(-1).to_numpy(zero_copy_only=False)
-        cuts = np.concatenate([[0], np.flatnonzero(np.diff(index)) + 1, [len(index)]])
-        times = batch.column(1).to_numpy(zero_copy_only=False)
-        for lo, hi in zip(cuts[:-1], cuts[1:]):
-            key = None if index[lo] < 0 else codes.dictionary[int(index[lo])].as_py()
-            yield key, times[lo:hi], batch.column(2).slice(lo, hi - lo)
+def _runs(batch: pa.RecordBatch):
+    """Consecutive rows of one key in a sorted batch: ``(key, from, to)``."""
+    if not batch.num_rows:
+        return
+    codes = batch.column(0).dictionary_encode()
+    index = codes.indices.fill_null(-1).to_numpy(zero_copy_only=False)
+    cuts = np.concatenate([[0], np.flatnonzero(np.diff(index)) + 1, [len(index)]]).tolist()
+    for lo, hi in zip(cuts[:-1], cuts[1:]):
+        yield None if index[lo] < 0 else codes.dictionary[int(index[lo])].as_py(), lo, hi
 
 
 def throttle(
@@ -75,6 +73,7 @@ def throttle(
     order = ["_key", "_t", "_id"]
     log = checkpointed(log.repartitionByRange(partitions, *order).sortWithinPartitions(*order))
 
+    arrow_key = to_arrow_type(df.schema[key].dataType)
     key_type, id_type = df.schema[key].dataType, df.schema[event_id].dataType
     summary = T.StructType(
         [
@@ -91,19 +90,21 @@ def throttle(
             if only is not None and chunk not in only:
                 return
             first, current, state, empty = None, None, deque(starts.get(chunk, ())), True
-            for k, times, _ in _runs(batches):
-                if empty:
-                    first, empty = k, False
-                elif k != current:
-                    state = deque()
-                current = k
-                admit(times, state, n, window)
+            for batch in batches:
+                times = batch.column(1).to_numpy(zero_copy_only=False)
+                for k, lo, hi in _runs(batch):
+                    if empty:
+                        first, empty = k, False
+                    elif k != current:
+                        state = deque()
+                    current = k
+                    admit(times[lo:hi], state, n, window)
             if not empty:
                 yield pa.RecordBatch.from_pydict(
                     {
                         "chunk": pa.array([chunk], pa.int32()),
-                        "first": [first],
-                        "last": [current],
+                        "first": pa.array([first], arrow_key),
+                        "last": pa.array([current], arrow_key),
                         "log": pa.array([list(state)], pa.list_(pa.int64())),
                     }
                 )
@@ -129,13 +130,16 @@ def throttle(
 
     def decide(batches):
         current, state, begun = None, deque(starts.get(TaskContext.get().partitionId(), ())), False
-        for k, times, ids in _runs(batches):
-            if begun and k != current:
-                state = deque()
-            current, begun = k, True
-            ok = admit(times, state, n, window)
-            keys = pa.nulls(len(ids), ids.type) if k is None else pa.array([k] * len(ids))
-            yield pa.RecordBatch.from_arrays([keys, ids, pa.array(ok)], names=[key, event_id, "admitted"])
+        for batch in batches:
+            times = batch.column(1).to_numpy(zero_copy_only=False)
+            ok = np.zeros(batch.num_rows, bool)
+            for k, lo, hi in _runs(batch):
+                if begun and k != current:
+                    state = deque()
+                current, begun = k, True
+                ok[lo:hi] = admit(times[lo:hi], state, n, window)
+            columns = [batch.column(0), batch.column(2), pa.array(ok)]
+            yield pa.RecordBatch.from_arrays(columns, names=[key, event_id, "admitted"])
 
     return log.mapInArrow(decide, out)
 
