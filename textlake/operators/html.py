@@ -20,10 +20,10 @@ _NUMERIC = re.compile(r"\s*[+-]?(\d+\.?\d*|\.\d+)\s*")
 class Node:
     """An element; ``kids`` holds elements and text in page order."""
 
-    __slots__ = ("tag", "attrs", "kids", "up")
+    __slots__ = ("tag", "attrs", "kids", "up", "_below")
 
     def __init__(self, tag, attrs=(), up=None):
-        self.tag, self.attrs, self.kids, self.up = tag, dict(attrs), [], up
+        self.tag, self.attrs, self.kids, self.up, self._below = tag, dict(attrs), [], up, None
 
     def walk(self):
         stack = list(reversed(self.kids))
@@ -33,6 +33,15 @@ class Node:
             if isinstance(kid, Node):
                 stack.extend(reversed(kid.kids))
 
+    def below(self, tag):
+        """Elements of one tag inside this one, in page order; sorted out once per element."""
+        if self._below is None:
+            self._below = {}
+            for kid in self.walk():
+                if isinstance(kid, Node):
+                    self._below.setdefault(kid.tag, []).append(kid)
+        return self._below.get(tag, ())
+
     def strings(self):
         return [k for k in self.walk() if isinstance(k, str)]
 
@@ -87,8 +96,6 @@ class Field:
     inside: "Field | None" = None
 
     def hits(self, node) -> bool:
-        if not isinstance(node, Node) or node.tag != self.tag:
-            return False
         if any(node.attrs.get(k) != v for k, v in self.attrs.items()):
             return False
         if self.cls is None:
@@ -99,8 +106,8 @@ class Field:
     def find_all(self, node):
         if self.inside is not None:
             outer = next(iter(self.inside.find_all(node)), None)
-            return [] if outer is None else [n for n in outer.walk() if self.hits(n)]
-        return [n for n in node.walk() if self.hits(n)]
+            return [] if outer is None else [n for n in outer.below(self.tag) if self.hits(n)]
+        return [n for n in node.below(self.tag) if self.hits(n)]
 
     def value(self, node):
         found = self.find_all(node)
@@ -148,7 +155,7 @@ LISTING_SCHEMA = (
 def _credits(container: Node) -> dict:
     """Directors and stars, told apart by the label before the first link."""
     block = next(iter(LISTING_CREDITS.find_all(container)), None)
-    links = [] if block is None else [n for n in block.walk() if isinstance(n, Node) and n.tag == "a"]
+    links = [] if block is None else block.below("a")
     if not links:
         return {}
     row = links[0].up.kids
