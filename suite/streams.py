@@ -30,6 +30,9 @@ def throttle_stream(spark, sf):
     spark.conf.set(
         "spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
     )
+    # the number of state partitions is fixed when the stream starts: one per core, unless fewer are set
+    shuffles = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", min(int(shuffles), spark.sparkContext.defaultParallelism))
     base = scratch_path(spark, "throttle")
     events = spark.readStream.schema(table(spark, sf, "events").schema).option("pathGlobFilter", "events.parquet").parquet(sf)
     decided = T.throttle_stream(events, "user_id", "ts", "event_id", _LIMIT, _HOURS * 3600)
@@ -41,6 +44,7 @@ def throttle_stream(spark, sf):
         .start()
     )
     run.awaitTermination()
+    spark.conf.set("spark.sql.shuffle.partitions", shuffles)
     return spark.read.schema(decided.schema).parquet(f"{base}/out")
 
 

@@ -64,14 +64,13 @@ def throttle(
     chunk returns its last key and log; only a chunk that lies wholly inside one key, after a chunk
     whose log changed, is done again. The driver sees one row per chunk.
     """
-    spark = df.sparkSession
     window = int(window_s * 1_000_000)
-    partitions = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     log = df.select(
         F.col(key).alias("_key"), F.unix_micros(F.col(ts).cast("timestamp")).alias("_t"), F.col(event_id).alias("_id")
     )
     order = ["_key", "_t", "_id"]
-    log = checkpointed(log.repartitionByRange(partitions, *order).sortWithinPartitions(*order))
+    spread = [partitions, *order] if partitions else order  # without a number AQE merges small ranges
+    log = checkpointed(log.repartitionByRange(*spread).sortWithinPartitions(*order))
 
     arrow_key = to_arrow_type(df.schema[key].dataType)
     key_type, id_type = df.schema[key].dataType, df.schema[event_id].dataType
