@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 SEPARATORS = ("\n\n", "\n", " ", "")  # fixed values, coarse to fine
