@@ -6,7 +6,7 @@ import functools
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from textlake.llm import bpe, exact, mixing
+from textlake.llm import bpe, exact, mixing, near
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -65,3 +65,8 @@ def _rank_file() -> tuple[str, str]:
 @query()
 def op9_bpe(spark, sf):
     return bpe.digests(table(spark, sf, "documents"), bpe.load(spark, *_rank_file()))
+
+
+@query()
+def op7_near_dedup(spark, sf):
+    return near.classes(table(spark, sf, "documents"))
