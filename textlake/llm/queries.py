@@ -6,7 +6,7 @@ import functools
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from textlake.llm import bpe, exact, mixing, near
+from textlake.llm import bpe, embed, exact, mixing, near
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -70,3 +70,14 @@ def op9_bpe(spark, sf):
 @query()
 def op7_near_dedup(spark, sf):
     return near.classes(table(spark, sf, "documents"))
+
+
+@query("""
+WITH v AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL),
+l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id WHERE list_cosine_similarity(a.e, b.e) >= 0.93),
+n AS (SELECT a, count(*) AS n_links FROM l GROUP BY a),
+c AS (WITH RECURSIVE r(a, b) AS (SELECT vec_id, vec_id FROM embeddings UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a) SELECT a, min(b) AS component_id FROM r GROUP BY a)
+SELECT vec_id, COALESCE(n_links, 0) AS n_links, component_id, vec_id = component_id AS kept FROM embeddings JOIN c ON c.a = vec_id LEFT JOIN n ON n.a = vec_id
+""")
+def op1_embedding_dedup(spark, sf):
+    return embed.duplicates(table(spark, sf, "embeddings"))
