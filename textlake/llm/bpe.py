@@ -22,6 +22,8 @@ import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from textlake.llm.common import fresh
+
 BREAK = "Ā"  # outside Latin-1, so no token crosses it
 REMEMBERED = 300_000  # pieces of the newer of two generations kept in a worker's memory; only speed depends on it
 
@@ -233,6 +235,25 @@ def decode(docs: DataFrame, tokenizer, ids_col: str = "token_ids", out_col: str
     return docs.withColumn(out_col, F.arrow_udf(run, "binary")(F.col(ids_col)))
 
 
+def recoded(docs: DataFrame, tokenizer, text_col: str = "text", ids_col: str = "token_ids") -> DataFrame:
+    """Encode every text, and put what its ids decode to in its place; one pass. A NULL text becomes an empty one.
+
+    Ids that do not decode to valid UTF-8 are an error: whole texts always do.
+    """
+
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        t = tokenizer.value.build()
+        for texts in batches:
+            found = [t.encode(x.as_py()) for x in texts]
+            ends = np.cumsum([0] + [len(x) // 4 for x in found]).astype(np.int32)
+            ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(found), "<u4").astype(np.int32)))
+            yield pa.StructArray.from_arrays([ids, pa.array([t.decode(x).decode() for x in found], pa.string())], ["ids", "text"])
+
+    made = fresh("made")
+    out = docs.withColumn(made, F.arrow_udf(run, "struct<ids:array<int>,text:string>")(F.col(text_col)))
+    return out.withColumns({text_col: F.col(f"{made}.text"), ids_col: F.col(f"{made}.ids")}).drop(made)
+
+
 def digests(docs: DataFrame, tokenizer, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Encode and decode every text in one pass: id, n_tokens, ids_sha256, decoded_sha256; ids themselves are not kept."""
 

@@ -60,9 +60,12 @@ def spans(inside: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return starts, ends, np.searchsorted(off, starts, "right") - 1
 
 
-def hash_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each byte span; spans are ordered and do not overlap. Works in blocks of about 2 MB."""
-    out = np.empty(len(starts), np.uint64)
+def hash_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, heads: tuple[int, ...] = ()):
+    """A 64-bit hash of each byte span; spans are ordered and do not overlap. Works in blocks of about 2 MB.
+
+    With ``heads``, a list: the hashes of the whole spans, then of their first so many bytes for each length.
+    """
+    out = [np.empty(len(starts), np.uint64) for _ in range(1 + len(heads))]
     lo = 0
     while lo < len(starts):
         base = starts[lo]
@@ -72,10 +75,11 @@ def hash_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nda
         total = np.zeros(len(seg) + 1, np.uint64)
         np.cumsum(_BYTE[seg] * power[:-1], out=total[1:])
         a, b = starts[lo:hi] - base, ends[lo:hi] - base
-        back = np.multiply.accumulate(np.concatenate([[np.uint64(1)], np.full(len(seg), _INVERSE)]))
-        out[lo:hi] = mix((total[b] - total[a]) * back[a] + (b - a).astype(np.uint64))
+        back = np.multiply.accumulate(np.concatenate([[np.uint64(1)], np.full(len(seg), _INVERSE)]))[a]
+        for k, end in enumerate([b, *[np.minimum(a + n, b) for n in heads]]):
+            out[k][lo:hi] = mix((total[end] - total[a]) * back + (end - a).astype(np.uint64))
         lo = hi
-    return out
+    return out if heads else out[0]
 
 
 def words(texts: pa.Array, lower: bool = True):

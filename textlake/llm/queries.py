@@ -6,7 +6,7 @@ import functools
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from textlake.llm import bpe, chat, embed, exact, mixing, near, secrets, tokens
+from textlake.llm import bpe, chat, embed, exact, mixing, near, quality, secrets, tokens, toxicity
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -56,7 +56,7 @@ def op5_exact_dedup(spark, sf):
 
 
 @functools.cache
-def _rank_file() -> tuple[str, str]:
+def rank_file() -> tuple[str, str]:
     import public_tokenizers
 
     return public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
@@ -64,7 +64,7 @@ def _rank_file() -> tuple[str, str]:
 
 @query()
 def op9_bpe(spark, sf):
-    return bpe.digests(table(spark, sf, "documents"), bpe.load(spark, *_rank_file()))
+    return bpe.digests(table(spark, sf, "documents"), bpe.load(spark, *rank_file()))
 
 
 @query()
@@ -115,4 +115,14 @@ def op8_chat(spark, sf):
 
 @query()
 def op10_token_counts(spark, sf):
-    return tokens.document_tokens(table(spark, sf, "documents"), bpe.load(spark, *_rank_file()))
+    return tokens.document_tokens(table(spark, sf, "documents"), bpe.load(spark, *rank_file()))
+
+
+@query()
+def op2_quality(spark, sf):
+    return quality.classify(table(spark, sf, "documents"), table(spark, sf, "labels"))
+
+
+@query()
+def op4_toxicity(spark, sf):
+    return toxicity.classify(table(spark, sf, "documents"), table(spark, sf, "labels"))
