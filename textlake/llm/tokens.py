@@ -104,7 +104,7 @@ def count_tokens(files: DataFrame, path_col: str = "path", separator: int = SEPA
 
     ends = written(blocks.withColumn("ends", F.arrow_udf(read, "array<bigint>")("path", "bytes", "block")), "separators")
     before = Window.partitionBy("path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    carried = ends.select("path", "block", F.size("ends").alias("n"), F.element_at("ends", -1).alias("last")).select(
+    carried = ends.select("path", "block", F.size("ends").alias("n"), F.try_element_at("ends", F.lit(-1)).alias("last")).select(
         "path", "block", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"), F.coalesce(F.max("last").over(before), F.lit(-1)).alias("carry")
     )
     found = ends.where(F.size("ends") > 0).join(carried, ["path", "block"])
@@ -114,7 +114,7 @@ def count_tokens(files: DataFrame, path_col: str = "path", separator: int = SEPA
         (F.col("end") - F.when(F.col("k") == 0, F.col("carry")).otherwise(F.element_at("ends", F.greatest("k", F.lit(1)))) - 1).alias("n_tokens"),
         F.lit(True).alias("ended"),
     )
-    last = ends.groupBy("path").agg(F.max("bytes").alias("bytes"), F.sum(F.size("ends")).alias("ordinal"), F.max(F.element_at("ends", -1)).alias("last"))
+    last = ends.groupBy("path").agg(F.max("bytes").alias("bytes"), F.sum(F.size("ends")).alias("ordinal"), F.max(F.try_element_at("ends", F.lit(-1))).alias("last"))
     left = F.floor(F.col("bytes") / width) - 1 - F.coalesce("last", F.lit(-1))
     tail = last.select("path", F.col("ordinal").cast("long"), left.cast("long").alias("n_tokens"), F.lit(False).alias("ended")).where("n_tokens > 0")
     return closed.withColumn("ordinal", F.col("ordinal").cast("long")).unionByName(tail)
