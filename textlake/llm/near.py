@@ -175,7 +175,7 @@ def _within(threshold: float):
         ids = [np.frombuffer(v, "<u4") for v in rows["ids"]]
         counts = [np.frombuffer(v, "<u4") for v in rows["counts"]]
         group = np.unique(rows["root"].to_numpy(), return_inverse=True)[1]
-        two_sided = side.min() != side.max()
+        two_sided = rows["i"].iat[0] != rows["j"].iat[0]
         links = []
         for k in range(len(rows) - 1):
             apart = group[k + 1 :] != group[k]
@@ -235,7 +235,8 @@ def _links(docs: DataFrame, seqs: DataFrame, text_col: str, threshold: float) ->
     # buckets that are not yet one component
     placed = member.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     torn = placed.groupBy("band", "key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("band", "key")
-    rest = written(placed.join(torn, ["band", "key"], "left_semi").where("members > 2").select("band", "key", "node", "root", "members"), "torn")
+    torn = join_small(placed.where("members > 2"), written(torn, "open"), ["band", "key"], "left_semi", 1_000_000)
+    rest = written(torn.select("band", "key", "node", "root", "members"), "torn")
     rest = rest.join(seqs.select("node", "sketch"), "node").join(sets, "node")
     n_blocks = F.ceil(F.col("members") / F.lit(BLOCK)).cast("int")
     rest = rest.withColumn("blocks", n_blocks).withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
