@@ -1,6 +1,6 @@
 from pyspark.sql import functions as F
 
-from suite.columns import _CLEAN
+from suite.columns import cleaned_sql
 from suite.files import TITLE_ROWS, title_files
 from suite.registry import query, table
 from textlake import schemas
@@ -99,7 +99,7 @@ raw_b AS (
 
 
 def _b(summary, plot):
-    return f"clean_b AS (SELECT title, num, year, {summary.format(c='summary')} AS summary, {plot.format(c='plot')} AS plot FROM raw_b)"
+    return f"clean_b AS (SELECT title, num, year, {cleaned_sql('summary', summary)} AS summary, {cleaned_sql('plot', plot)} AS plot FROM raw_b)"
 
 
 _OUT = """
@@ -122,7 +122,7 @@ def _show(corpus):
 
 
 @query(f"""
-WITH {_MOVIES}, {_SOURCES}, {_b(_CLEAN['standard'], _CLEAN['standard'])},
+WITH {_MOVIES}, {_SOURCES}, {_b('standard', 'standard')},
 a AS ({_OUT} FROM movies m JOIN docs_a p ON p.imdb_title_id = m.imdb_title_id
       WHERE p.plot IS NOT NULL AND length(trim(p.plot)) > 20 AND m.ratingCount > 1000),
 b AS ({_OUT} FROM movies m JOIN clean_b p ON ('tt' || lpad(p.num, 7, '0') = m.imdb_title_id) OR (lower(p.title) = lower(m.title) AND p.year = m.year)
@@ -135,7 +135,7 @@ def build_corpus(spark, sf):
 
 
 @query(f"""
-WITH {_MOVIES}, {_SOURCES}, {_b(_CLEAN['dbt_summary'], _CLEAN['dbt_plot'])},
+WITH {_MOVIES}, {_SOURCES}, {_b('dbt_summary', 'dbt_plot')},
 b AS ({_OUT} FROM movies m JOIN clean_b p ON ('tt' || lpad(p.num, 7, '0') = m.imdb_title_id) OR (p.title = m.title AND p.year = m.year)
       WHERE m.ratingCount > 1000),
 a AS ({_OUT} FROM movies m JOIN docs_a p ON p.imdb_title_id = m.imdb_title_id

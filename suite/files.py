@@ -1,3 +1,5 @@
+import functools
+
 from pyspark.sql import functions as F
 
 from suite.registry import query, table
@@ -59,16 +61,58 @@ def csv_inferred(spark, sf):
     return scan_csv(spark, path).select(F.col("p_partkey").cast("bigint"), "label", "words", "p_retailprice")
 
 
-@query("""
-SELECT 'region' AS "table", count(*) AS n FROM region
-UNION ALL SELECT 'nation', count(*) FROM nation
-UNION ALL SELECT 'supplier', count(*) FROM supplier
-""")
+#: per table: its columns as text that both engines write alike (money in cents, times in microseconds)
+_CELLS = {
+    "region": ["r_regionkey", "r_name"],
+    "nation": ["n_nationkey", "n_name", "n_regionkey"],
+    "customer": ["c_custkey", "c_name", "c_nationkey", "cents c_acctbal", "c_mktsegment"],
+    "supplier": ["s_suppkey", "s_name", "s_nationkey", "cents s_acctbal"],
+    "part": ["p_partkey", "p_name", "p_brand", "p_type", "p_size", "cents p_retailprice"],
+    "orders": ["o_orderkey", "o_custkey", "o_orderstatus", "cents o_totalprice", "time o_orderdate", "o_orderpriority"],
+    "lineitem": [
+        "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "cents l_quantity", "cents l_extendedprice", "cents l_discount", "cents l_tax",
+        "l_returnflag", "l_linestatus", "time l_shipdate",
+    ],
+    "events": ["event_id", "time ts", "user_id", "event_type", "cents value", "props"],
+    "documents": ["doc_id", "text", "lang", "source", "n_chars"],
+    "embeddings": ["vec_id", "list embedding", "label"],
+    "pages": ["page_id", "url", "html"],
+    "benchmark": ["item_id", "text"],
+    "labels": ["doc_id", "quality", "toxic"],
+    "conversations": ["conv_id", "turn", "role", "text"],
+}
+_DUCK = {
+    "cents": "CAST(CAST(round({} * 100) AS BIGINT) AS VARCHAR)",
+    "time": "CAST(epoch_us({}) AS VARCHAR)",
+    "list": "array_to_string(list_transform({}, lambda x: CAST(CAST(round(x::DOUBLE * 1000000) AS BIGINT) AS VARCHAR)), ' ')",
+    "": "CAST({} AS VARCHAR)",
+}
+_SPARK = {
+    "cents": "CAST(CAST(round({} * 100) AS BIGINT) AS STRING)",
+    "time": "CAST(unix_micros(CAST({} AS TIMESTAMP)) AS STRING)",
+    "list": "array_join(transform({}, x -> CAST(CAST(round(CAST(x AS DOUBLE) * 1000000) AS BIGINT) AS STRING)), ' ')",
+    "": "CAST({} AS STRING)",
+}
+
+
+def _row_text(cells, forms):
+    parts = [forms[kind].format(name) for kind, _, name in (c.rpartition(" ") for c in cells)]
+    return "md5(" + " || '|' || ".join(f"coalesce({p}, '-')" for p in parts) + ")"
+
+
+@query(" UNION ALL ".join(f"SELECT '{name}' AS tbl, {_row_text(cells, _DUCK)} AS row_md5 FROM {name}" for name, cells in _CELLS.items()))
 def catalog_export_load(spark, sf):
-    names = ["region", "nation", "supplier"]
+    """All tables exported and loaded again: every row of every table."""
     folder = scratch_path(spark, "catalog")
-    export_catalog(load_catalog(spark, sf, names), folder)
-    return catalog_counts(load_catalog(spark, folder, names))
+    export_catalog(load_catalog(spark, sf, _CELLS), folder)
+    loaded = load_catalog(spark, folder, _CELLS)
+    rows = [loaded[name].select(F.lit(name).alias("tbl"), F.expr(_row_text(cells, _SPARK)).alias("row_md5")) for name, cells in _CELLS.items()]
+    return functools.reduce(lambda a, b: a.unionByName(b), rows)
+
+
+@query(" UNION ALL ".join(f"SELECT '{name}' AS tbl, count(*) AS n FROM {name}" for name in _CELLS))
+def catalog_sizes(spark, sf):
+    return catalog_counts(load_catalog(spark, sf, _CELLS)).withColumnRenamed("table", "tbl")
 
 
 @query("""

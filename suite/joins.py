@@ -16,7 +16,19 @@ def resolve_id_list(spark, sf):
     ids = F.concat_ws(",", F.col("p_size") * 3, F.floor(F.col("p_retailprice") - 900) * 2, "p_size")
     part = table(spark, sf, "part").select("p_partkey", F.when(F.col("p_type") != "SMALL", ids).alias("ids"))
     names = table(spark, sf, "supplier").select(F.col("s_suppkey").cast("string").alias("sid"), "s_name")
-    return R.resolve_id_list(part, "p_partkey", "ids", names, "sid", "s_name")
+    return R.resolve_id_list(part, "ids", names, "sid", "s_name")
+
+
+@query("""
+SELECT l_orderkey, (SELECT string_agg(s_name, ',' ORDER BY pos) FROM (SELECT unnest([l_suppkey, l_partkey]) AS sid, unnest([1, 2]) AS pos) d
+                    JOIN supplier ON s_suppkey = d.sid) AS names
+FROM lineitem
+""")
+def resolve_repeated_keys(spark, sf):
+    """Lists of the lines of an order: the key repeats, and each line keeps its own list."""
+    lines = table(spark, sf, "lineitem").select("l_orderkey", F.concat_ws(",", "l_suppkey", "l_partkey").alias("ids"))
+    names = table(spark, sf, "supplier").select(F.col("s_suppkey").cast("string").alias("sid"), "s_name")
+    return R.resolve_id_list(lines, "ids", names, "sid", "s_name")
 
 
 @query("""

@@ -67,6 +67,23 @@ def merge_replace(spark, sf):
     return M.merge_replace(*_tables(spark, sf), "o_orderkey", "seq")[0]
 
 
+@query(_CTE + """
+SELECT 'merged' AS what, o_orderkey, o_orderstatus, o_totalprice FROM
+  (SELECT * FROM target WHERE o_orderkey NOT IN (SELECT o_orderkey FROM firsts) UNION ALL SELECT * EXCLUDE (seq) FROM firsts)
+UNION ALL SELECT 'rejected', count(*), NULL, NULL FROM firsts WHERE o_orderkey % 5 = 0
+""")
+def merge_twice(spark, sf):
+    """A batch with rows that lack the key, merged twice: the second time changes nothing, and rejects the same rows."""
+    target, incoming = _tables(spark, sf)
+    keyless = M.dedup(incoming, "o_orderkey", "seq").where("o_orderkey % 5 = 0").withColumn("o_orderkey", F.lit(None).cast("long"))
+    batch = incoming.unionByName(keyless)
+    once, _ = M.merge_full(target, batch, "o_orderkey", "seq")
+    merged, counts = M.merge_full(once, batch, "o_orderkey", "seq")
+    rows = merged.select(F.lit("merged").alias("what"), "o_orderkey", "o_orderstatus", "o_totalprice")
+    left_out = counts.select(F.lit("rejected").alias("what"), F.col("rejected").alias("o_orderkey"), F.lit(None).alias("o_orderstatus"), F.lit(None).alias("o_totalprice"))
+    return rows.unionByName(left_out)
+
+
 _AUDIT_COLS = ["o_orderstatus", "o_totalprice"]
 
 

@@ -25,27 +25,59 @@ def throttle_batch(spark, sf):
     return T.throttle(table(spark, sf, "events"), "user_id", "ts", "event_id", _LIMIT, _HOURS * 3600)
 
 
+def _run_stream(spark, source, path):
+    """Run a stream of events to its end and return the decisions; the session's settings are put back."""
+    setting = {
+        "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+    }
+    before = {k: spark.conf.get(k, None) for k in setting}
+    for k, v in setting.items():
+        spark.conf.set(k, v)
+    try:
+        decided = T.throttle_stream(source, "user_id", "ts", "event_id", _LIMIT, _HOURS * 3600)
+        run = (
+            decided.writeStream.format("parquet")
+            .option("path", f"{path}/out")
+            .option("checkpointLocation", f"{path}/state")
+            .trigger(availableNow=True)
+            .start()
+        )
+        run.awaitTermination()
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    return spark.read.schema(decided.schema).parquet(f"{path}/out")
+
+
 @query(_THROTTLE)
 def throttle_stream(spark, sf):
-    spark.conf.set(
-        "spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-    )
-    # the number of state partitions is fixed when the stream starts: one per core, unless fewer are set
-    shuffles = spark.conf.get("spark.sql.shuffle.partitions")
-    spark.conf.set("spark.sql.shuffle.partitions", min(int(shuffles), spark.sparkContext.defaultParallelism))
-    base = scratch_path(spark, "throttle")
     events = spark.readStream.schema(table(spark, sf, "events").schema).option("pathGlobFilter", "events.parquet").parquet(sf)
-    decided = T.throttle_stream(events, "user_id", "ts", "event_id", _LIMIT, _HOURS * 3600)
-    run = (
-        decided.writeStream.format("parquet")
-        .option("path", f"{base}/out")
-        .option("checkpointLocation", f"{base}/state")
-        .trigger(availableNow=True)
-        .start()
-    )
-    run.awaitTermination()
-    spark.conf.set("spark.sql.shuffle.partitions", shuffles)
-    return spark.read.schema(decided.schema).parquet(f"{base}/out")
+    return _run_stream(spark, events, scratch_path(spark, "throttle"))
+
+
+_TIMELESS = "event_id % 50 = 7"
+
+
+@query(
+    _THROTTLE.replace("FROM events)", f"FROM events WHERE NOT ({_TIMELESS}))")
+    + f" UNION ALL SELECT user_id, event_id, NULL FROM events WHERE {_TIMELESS}"
+)
+def throttle_timeless(spark, sf):
+    """Some events have no time: they are returned without a decision."""
+    events = table(spark, sf, "events").withColumn("ts", F.expr(f"CASE WHEN {_TIMELESS} THEN NULL ELSE ts END"))
+    return T.throttle(events, "user_id", "ts", "event_id", _LIMIT, _HOURS * 3600)
+
+
+@query(_THROTTLE.replace("ORDER BY ts, event_id", "ORDER BY event_id % 3 = 0, ts, event_id"))
+def throttle_late(spark, sf):
+    """A third of the events arrives after all others, up to the whole span late; none is lost."""
+    path = scratch_path(spark, "late")
+    events = table(spark, sf, "events").select("user_id", "event_id", "ts")
+    for late in (False, True):
+        events.where((F.col("event_id") % 3 == 0) == F.lit(late)).coalesce(1).write.mode("append").parquet(f"{path}/in")
+        source = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/in")
+        decided = _run_stream(spark, source, path)
+    return decided
 
 
 _DROP = schemas.ddl("title string, status string, price string")

@@ -50,15 +50,17 @@ SELECT page_id, {_TITLE.format('title')} AS title, {_TITLE.format('h1')} AS h1,
 FROM pages
 """)
 def html_fields(spark, sf):
-    fields = {
-        "title": H.Field("title"), "h1": H.Field("h1"), "links": H.Field("a", take="list"),
-        "first_link": H.Field("a", take="@href"),
-    }
     pages = table(spark, sf, "pages").select("page_id", "html")
-    found = H.extract_fields(pages, fields)
-    return found.select(
-        "page_id", "title", "h1", F.size("links").cast("bigint").alias("n_links"), F.coalesce("first_link", F.lit("")).alias("first_link")
-    )
+    return X.page_facts(pages, "html").drop("html")
+
+
+@query("""
+SELECT page_id, unnest(titles) AS title FROM (SELECT page_id, [regexp_extract(html, '<title>([^<]*)</title>', 1)] AS titles FROM pages)
+""")
+def html_select(spark, sf):
+    """A field taken through the selectors of the page tree, entities as they stand in the page."""
+    found = H.extract_fields(table(spark, sf, "pages").select("page_id", "html"), {"title": H.Field("title")})
+    return found.select("page_id", F.replace("title", F.lit("&"), F.lit("&amp;")).alias("title"))
 
 
 @query("""
@@ -129,6 +131,24 @@ def chunk_documents(spark, sf):
     )
 
 
+_CUT = "repeat('z', 21 + o_orderkey % 40)"
+
+
+@query(f"""
+WITH o AS (SELECT o_orderkey, o_orderpriority AS a, ' ' || {_CUT} AS z FROM orders),
+c AS (
+  SELECT o_orderkey, 0 AS chunk_no, 'a: ' || a AS chunk FROM o
+  UNION ALL SELECT o_orderkey, 1, 'z:' FROM o
+  UNION ALL SELECT o_orderkey, 2 + i, trim(substr(z, 1 + 20 * i, 20)) FROM o, range(4) t(i) WHERE 20 * i < length(z))
+SELECT o_orderkey, chunk_no::INTEGER AS chunk_no, chunk FROM c
+""")
+def chunk_cuts(spark, sf):
+    """Chunks whose cuts can be told: two fields, the second of one long word, cut every 20 characters from the space before it."""
+    rows = table(spark, sf, "orders").select("o_orderkey", F.col("o_orderpriority").alias("a"), F.expr(_CUT).alias("z"))
+    rows = rows.select("o_orderkey", C.page_content(["a", "z"]).alias("body"))
+    return C.chunk_documents(rows, "o_orderkey", "body", 20)
+
+
 @query(r"""
 SELECT tokens, tokens * 0.0001::DOUBLE / 1000 AS est_price
 FROM (SELECT CAST(sum(len(regexp_extract_all(text, '[\p{L}\p{N}_]+|[^\s\p{L}\p{N}_]'))) AS BIGINT) AS tokens FROM documents)

@@ -3,9 +3,10 @@
 import pytest
 
 import __spark_entry__ as entry
+from suite.registry import QUERIES
 from tests import oracle
 
-NAMES = sorted(entry.queries())
+NAMES = sorted(QUERIES)
 
 
 @pytest.fixture(scope="module")
@@ -27,9 +28,12 @@ def plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("name", [n for n in NAMES if n not in ("throttle_stream", "ingest_stream", "knn_approx", "batch_search")])
+@pytest.mark.parametrize("name", NAMES)
 def test_no_cross_joins(spark, sf, name):
     text = plan(entry.queries()[name](spark, sf))
+    if name == "knn_approx":
+        assert text.count("BroadcastNestedLoopJoin") <= 2  # two one-row results side by side
+        return
     assert "CartesianProduct" not in text and "BroadcastNestedLoopJoin" not in text
 
 

@@ -124,3 +124,23 @@ def pivot_sections(sections: DataFrame, title: str, section: str, text: str, pos
 
     cells = [pick(name, default).alias(out) for out, (name, default) in columns.items()]
     return sections.groupBy(title).agg(*cells)
+
+
+def page_facts(pages: DataFrame, html_col: str = "html") -> DataFrame:
+    """Title, first heading, number of links and first link of pages, with built-in expressions.
+
+    A missing tag or link gives ``""``; ``&amp;`` is read as ``&``.
+    """
+    html = F.col(html_col)
+
+    def tag(name):
+        return F.replace(F.regexp_extract(html, f"<{name}>([^<]*)</{name}>", 1), F.lit("&amp;"), F.lit("&"))
+
+    return pages.withColumns(
+        {
+            "title": tag("title"),
+            "h1": tag("h1"),
+            "n_links": F.regexp_count(html, F.lit("<a href=")).cast("bigint"),
+            "first_link": F.regexp_extract(html, '<a href="([^"]*)"', 1),
+        }
+    )

@@ -1,9 +1,10 @@
 """Keyed merges: each returns ``(merged table, one-row counts table)``.
 
 Targets hold one row per key. Incoming rows are reduced to one per key first, with a rank filter that
-Spark applies before the shuffle too, so a key that fills much of the batch sends few rows. The
-matched and the new side are separate joins: left join for rows of the target, anti-join for new
-keys. Both can be split by AQE when a partition is large, which a full outer join cannot.
+Spark applies before the shuffle too, so a key that fills much of the batch sends few rows. The reduced
+rows, each with a mark of whether the target has its key, are written once; the merge and the counts
+``inserted``, ``matched`` and ``rejected`` (rows without a key, which are not merged) read them. The joins
+are left, semi and anti joins, which AQE can split, unlike a full outer join.
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from textlake.operators.quality import require_unique
 from textlake.session import checkpointed
+from textlake.sinks import new_version
 
 _HIT = "_matched"
 
@@ -44,50 +46,49 @@ def stage_distinct(incoming: DataFrame) -> DataFrame:
     return incoming.distinct()
 
 
-def _incoming(target: DataFrame, incoming: DataFrame, key: str, order_by, keep: str) -> DataFrame:
-    rows = dedup(incoming, key, order_by, keep)
-    return rows.select(*target.columns)
+def _staged(target: DataFrame, incoming: DataFrame, key: str, order_by, keep: str, cols=None) -> tuple[DataFrame, DataFrame]:
+    """The change set, written: one row per key, marked when the target has the key; and the counts."""
+    rows = incoming.select(key, *[c for c in incoming.columns if c != key])
+    fresh = dedup(rows.where(F.col(key).isNotNull()), key, order_by, keep)
+    keyless = rows.where(F.col(key).isNull())
+    cols = cols or target.columns
+    marks = target.select(key, F.lit(True).alias(_HIT))
+    marked = fresh.select(*cols).join(marks, key, "left").select(*cols, F.col(_HIT).isNotNull().alias(_HIT))
+    all_rows = marked.unionByName(keyless.select(*cols, F.lit(None).cast("boolean").alias(_HIT)))
+    staged = incoming.sparkSession.read.schema(all_rows.schema).parquet(new_version(all_rows, "changes"))
+    counts = staged.agg(
+        F.count_if(~F.col(_HIT)).alias("inserted"), F.count_if(F.col(_HIT)).alias("matched"), F.count_if(F.col(_HIT).isNull()).alias("rejected")
+    )
+    return staged.where(F.col(_HIT).isNotNull()), counts
 
 
-def _counts(target: DataFrame, fresh: DataFrame, key: str) -> DataFrame:
-    """Rows inserted and rows that met an existing key."""
-    marks = target.select(key, F.lit(True).alias(_HIT))
-    return (
-        fresh.select(key)
-        .join(marks, key, "left")
-        .agg(
-            F.count_if(F.col(_HIT).isNull()).alias("inserted"),
-            F.count_if(F.col(_HIT).isNotNull()).alias("matched"),
-        )
+def _updated(target: DataFrame, known: DataFrame, key: str, update_cols, extra: dict | None = None) -> DataFrame:
+    """Rows of the target, ``update_cols`` from ``known`` where it has the key."""
+    new = {c: F.col(f"_new_{c}") for c in update_cols} | (extra or {})
+    changes = known.select(key, F.lit(True).alias(_HIT), *[F.col(c).alias(f"_new_{c}") for c in update_cols])
+    return target.join(changes, key, "left").select(
+        *[F.when(F.col(_HIT), new[c]).otherwise(F.col(c)).alias(c) if c in new else F.col(c) for c in target.columns]
     )
 
 
 def merge_ignore(target: DataFrame, incoming: DataFrame, key: str, order_by=None):
     """Existing rows win; unknown keys are appended."""
-    fresh = _incoming(target, incoming, key, order_by, "first")
-    merged = target.unionByName(fresh.join(target.select(key), key, "left_anti"))
-    return merged, _counts(target, fresh, key)
+    staged, counts = _staged(target, incoming, key, order_by, "first")
+    return target.unionByName(staged.where(~F.col(_HIT)).drop(_HIT)), counts
 
 
 def merge_partial(target: DataFrame, incoming: DataFrame, key: str, update_cols, order_by=None, keep: str = "first"):
     """On a known key only ``update_cols`` change, NULLs included; new keys bring all columns."""
-    fresh = _incoming(target, incoming, key, order_by, keep)
-    changes = fresh.select(key, F.lit(True).alias(_HIT), *[F.col(c).alias(f"_new_{c}") for c in update_cols])
-    updated = target.join(changes, key, "left").select(
-        *[
-            F.when(F.col(_HIT), F.col(f"_new_{c}")).otherwise(F.col(c)).alias(c) if c in update_cols else F.col(c)
-            for c in target.columns
-        ]
-    )
-    added = fresh.join(target.select(key), key, "left_anti")
-    return updated.unionByName(added), _counts(target, fresh, key)
+    staged, counts = _staged(target, incoming, key, order_by, keep)
+    updated = _updated(target, staged.where(_HIT), key, update_cols)
+    return updated.unionByName(staged.where(~F.col(_HIT)).drop(_HIT)), counts
 
 
 def merge_full(target: DataFrame, incoming: DataFrame, key: str, order_by=None, keep: str = "first"):
     """On a known key every other column changes."""
-    fresh = _incoming(target, incoming, key, order_by, keep)
-    merged = target.join(fresh.select(key), key, "left_anti").unionByName(fresh)
-    return merged, _counts(target, fresh, key)
+    staged, counts = _staged(target, incoming, key, order_by, keep)
+    untouched = target.join(staged.where(_HIT).select(key), key, "left_anti")
+    return untouched.unionByName(staged.drop(_HIT)), counts
 
 
 def merge_replace(target: DataFrame, incoming: DataFrame, key: str, order_by):
@@ -99,7 +100,7 @@ def number_rows(df: DataFrame, key: str, start: Column | int = 0, name: str = "i
     """Consecutive numbers in key order, starting after ``start``.
 
     Keys are range-sorted and written once; each partition then adds its own offset. The table of
-    offsets has one row per partition.
+    offsets has one row per partition, so it is broadcast.
     """
     keys = checkpointed(df.select(key).repartitionByRange(key).sortWithinPartitions(key))
     keys = keys.select(
@@ -111,7 +112,7 @@ def number_rows(df: DataFrame, key: str, start: Column | int = 0, name: str = "i
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
     start = F.lit(start) if isinstance(start, int) else start
-    numbered = keys.join(offsets, "_part").select(
+    numbered = keys.join(F.broadcast(offsets), "_part").select(
         key, (start + F.col("_before") + F.col("_pos") + 1).cast("bigint").alias(name)
     )
     return df.join(numbered, key)
@@ -131,23 +132,20 @@ def merge_audited(
     """Upsert with a surrogate id and audit times.
 
     A known key keeps its id and creation time and gets ``cols`` and ``now``; a new key gets the next
-    ids in key order. Counts are ``inserted`` and ``matched``.
+    ids in key order.
     """
     stamp = F.lit(now).cast(target.schema[updated_col].dataType)
-    fresh = dedup(incoming, key, order_by, "first").select(key, *cols)
-    changes = fresh.select(key, F.lit(True).alias(_HIT), *[F.col(c).alias(f"_new_{c}") for c in cols])
-
-    def pick(c):
-        if c in cols:
-            return F.when(F.col(_HIT), F.col(f"_new_{c}")).otherwise(F.col(c)).alias(c)
-        if c == updated_col:
-            return F.when(F.col(_HIT), stamp).otherwise(F.col(c)).alias(c)
-        return F.col(c)
-
-    updated = target.join(changes, key, "left").select(*[pick(c) for c in target.columns])
+    staged, counts = _staged(target, incoming.select(key, *cols, *_names(order_by, key, cols)), key, order_by, "first", [key, *cols])
+    updated = _updated(target, staged.where(_HIT), key, cols, {updated_col: stamp})
     last = target.agg(F.coalesce(F.max(id_col), F.lit(0))).first()[0]
-    added = number_rows(fresh.join(target.select(key), key, "left_anti"), key, int(last), id_col)
+    added = number_rows(staged.where(~F.col(_HIT)).drop(_HIT), key, int(last), id_col)
     added = added.withColumns({created_col: stamp, updated_col: stamp}).select(
         *[F.col(c).cast(target.schema[c].dataType).alias(c) for c in target.columns]
     )
-    return updated.unionByName(added), _counts(target, fresh, key)
+    return updated.unionByName(added), counts
+
+
+def _names(order_by, key: str, cols) -> list[str]:
+    """Order columns that are not selected already."""
+    names = [order_by] if isinstance(order_by, str) else [c for c in order_by or () if isinstance(c, str)]
+    return [c for c in names if c != key and c not in cols]

@@ -49,34 +49,38 @@ def either_join(
     return by_first.unionByName(by_second).select(*keep_left, *keep_right)
 
 
-def coalesce_sources(sources: list[DataFrame], key: str, stage: bool = False) -> DataFrame:
+def coalesce_sources(sources: list[DataFrame], key: str, stage: bool = False, keys: list[DataFrame | None] | None = None) -> DataFrame:
     """Rows of the first source, then rows of each later one whose key no earlier source has.
 
-    Each source is needed twice: for its rows and for its keys. ``stage`` writes it first, so that the
-    second use reads the key column of a file instead of computing the source again.
+    Each source is needed twice: for its rows and for its keys. ``keys`` may give a cheaper table of a source's keys.
+    ``stage`` writes a source first, so that the second use reads the key column of a file instead of computing
+    the source again.
     """
+    keys = keys or [None] * len(sources)
     taken: list[DataFrame] = []
-    for source in sources:
-        for earlier in taken:
+    covers: list[DataFrame] = []
+    for source, own in zip(sources, keys):
+        for earlier in covers:
             source = not_covered(source, earlier, key)
-        if stage and len(taken) < len(sources) - 1:
+        if stage and own is None and len(taken) < len(sources) - 1:
             source = source.sparkSession.read.parquet(new_version(source, "source"))
         taken.append(source)
+        covers.append(source if own is None else own.select(key))
     return functools.reduce(DataFrame.unionByName, taken)
 
 
 def resolve_id_list(
-    df: DataFrame, key: str, list_col: str, names: DataFrame, id_col: str, name_col: str, out: str = "names"
+    df: DataFrame, list_col: str, names: DataFrame, id_col: str, name_col: str, out: str = "names"
 ) -> DataFrame:
-    """Replace a comma list of ids by a comma list of names, in list order.
+    """Replace a comma list of ids by a comma list of names, in list order, row by row.
 
     Ids without a name vanish; a list without any name gives NULL. Output: all columns of ``df``
-    with ``list_col`` replaced by ``out``. Rows are unique by ``key``.
+    with ``list_col`` replaced by ``out``. Each distinct list is resolved once, so rows need no key, and
+    a list that many rows share does not multiply.
     """
-    ids = df.where(F.col(list_col).isNotNull()).select(
-        F.col(key).alias("_key"), F.posexplode(F.split(list_col, ",")).alias("_pos", "_id")
-    )
+    lists = df.where(F.col(list_col).isNotNull()).groupBy(F.col(list_col).alias("_list")).agg(F.count("*").alias("_n"))
+    ids = lists.select("_list", F.posexplode(F.split("_list", ",")).alias("_pos", "_id"))
     named = ids.join(names.select(F.col(id_col).alias("_id"), F.col(name_col).alias("_name")), "_id")
-    lists = named.groupBy("_key").agg(F.sort_array(F.collect_list(F.struct("_pos", "_name"))).alias("_found"))
-    lists = lists.select(F.col("_key").alias(key), F.array_join(F.col("_found._name"), ",").alias(out))
-    return df.drop(list_col).join(lists, key, "left")
+    found = named.groupBy("_list").agg(F.sort_array(F.collect_list(F.struct("_pos", "_name"))).alias("_found"))
+    found = found.select("_list", F.array_join(F.col("_found._name"), ",").alias(out))
+    return df.join(found, F.col(list_col) == F.col("_list"), "left").drop("_list", list_col)

@@ -36,7 +36,7 @@ def movie_rows(
         feature_filter("titleType", "startYear", "isAdult", "numVotes", y0, y1, min_votes)
     )
     with_crew = rated.join(crew.select("tconst", F.col("directors").alias("_ids")), "tconst", "left")
-    named = resolve_id_list(with_crew, "tconst", "_ids", names, "nconst", "primaryName", "directors")
+    named = resolve_id_list(with_crew, "_ids", names, "nconst", "primaryName", "directors")
     values = {
         "imdb_title_id": F.col("tconst"),
         "title": F.col("primaryTitle"),
@@ -141,7 +141,7 @@ def build_corpus(
         keyed = plots_a.where(F.col("summary").isNotNull())
         a = keyed.withColumn("imdb_title_id", pad_key("imdb_title_id")).join(popular, "imdb_title_id")
 
-    # match on keys alone; the text, cleaned once per row, joins only the pairs that matched
+    # match on keys alone; texts that matched nothing are left out before the cleaning, which runs once per text
     keys = plot_keys_b(plots_b, variant).withColumnsRenamed({"title": "_title", "year": "_year"})
     fold = F.lower if standard else (lambda c: c)
     year = F.col("_year") if standard else F.col("_year").try_cast("int")
@@ -153,11 +153,16 @@ def build_corpus(
         movie_cols,
         ["raw_title"],
     )
-    b = pairs.join(with_clean_text(raw_texts_b(plots_b, variant), variant), "raw_title")
+    texts = raw_texts_b(plots_b, variant)
+    wanted = texts.join(pairs.select("raw_title").distinct(), "raw_title", "left_semi")
+    b = pairs.join(with_clean_text(wanted, variant), "raw_title")
     b = b.where(usable_text("plot")) if standard else b
     sources = {"a": _corpus_rows(a, variant), "b": _corpus_rows(b, variant)}
     order = priority or (("a", "b") if standard else ("b", "a"))
-    corpus = coalesce_sources([sources[s] for s in order], "source", stage)
+    keys = {"a": a.select(F.col("imdb_title_id").alias("source")), "b": None}
+    if not standard:  # every matched text makes a row, so the keys need no cleaning
+        keys["b"] = pairs.join(texts.select("raw_title"), "raw_title", "left_semi").select(F.col("imdb_title_id").alias("source"))
+    corpus = coalesce_sources([sources[s] for s in order], "source", stage, [keys[s] for s in order])
     return dedup(corpus, "source", "plot") if one_per_key else corpus
 
 
@@ -188,16 +193,18 @@ def build_corpus_vectors(corpus: DataFrame, path: str, dim: int, embedder=None,
 
 def batch_search(
     requests: DataFrame,
-    vectors: DataFrame,
+    vectors: DataFrame | V.CellIndex,
     dim: int,
     genre_vocab=(),
     replies: DataFrame | None = None,
     embedder=None,
     query_id: str = "query_id",
+    nprobe: int = 8,
 ) -> tuple[DataFrame, DataFrame]:
     """Answer a table of requests ``(query_id, query, top_k)``: ``(reports, rejected)``.
 
-    Filters come from model ``replies(query_id, reply)`` when given, else from the stated rules.
+    Filters come from model ``replies(query_id, reply)`` when given, else from the stated rules. ``vectors`` is the
+    vector table, searched exactly, or an index of it, of which ``nprobe`` cells are read first.
     """
     valid, rejected = prepare_queries(requests)
     if replies is not None:
@@ -208,7 +215,10 @@ def batch_search(
     asked = valid.select(query_id, "top_k", "parsed.*")
     asked = V.embed_column(asked, "semantic_query", embedder or V.HashEmbedder(dim))
     asked = V.prepare_knn_queries(asked, query_id, "embedding", "top_k")
-    found = V.knn_join(asked, vectors, dim, "title_id", "embedding", "year", "rating", "genres")
+    if isinstance(vectors, V.CellIndex):
+        found = V.ann_search(vectors, asked, nprobe)
+    else:
+        found = V.knn_join(asked, vectors, dim, "title_id", "embedding", "year", "rating", "genres")
     return search_report(valid, found, query_id), rejected
 
 

@@ -7,6 +7,7 @@ chunk only needs the last N admitted times of the chunk before it when both hold
 
 from __future__ import annotations
 
+import bisect
 from collections import deque
 from collections.abc import Iterator
 
@@ -24,14 +25,16 @@ LIMIT, WINDOW_S = 30, 60  # fixed values: the default allowance
 
 
 def admit(times: np.ndarray, log: deque, limit: int, window: int) -> np.ndarray:
-    """Decide a time-ordered run of one key; ``log`` holds the admitted times and is updated.
+    """Decide a time-ordered run of one key; ``log`` holds the admitted times in order and is updated.
 
-    Entries strictly older than ``t - window`` drop out; rejected events are not logged.
+    Entries strictly older than ``t - window`` drop out; rejected events are not logged. Events older than the
+    log's newest entry are decided against the entries that are left.
     """
     joined = np.concatenate([np.fromiter(log, np.int64, len(log)), times])
-    if len(joined) <= limit or (joined[limit:] - joined[:-limit] > window).all():
+    in_order = not log or not len(times) or times[0] >= log[-1]
+    if in_order and (len(joined) <= limit or (joined[limit:] - joined[:-limit] > window).all()):
         log.extend(times[-limit:].tolist())  # never more than the limit in any window
-        while len(log) > limit:
+        while len(log) > limit or log and log[0] < log[-1] - window:
             log.popleft()
         return np.ones(len(times), bool)
     out = np.zeros(len(times), bool)
@@ -39,7 +42,10 @@ def admit(times: np.ndarray, log: deque, limit: int, window: int) -> np.ndarray:
         while log and log[0] < t - window:
             log.popleft()
         if len(log) < limit:
-            log.append(t)
+            if log and t < log[-1]:
+                bisect.insort(log, t)
+            else:
+                log.append(t)
             out[i] = True
     return out
 
@@ -58,14 +64,15 @@ def _runs(batch: pa.RecordBatch):
 def throttle(
     df: DataFrame, key: str, ts: str, event_id: str, n: int = LIMIT, window_s: float = WINDOW_S, partitions: int | None = None
 ) -> DataFrame:
-    """``(key, event_id, admitted)`` for every row, in ``(ts, event_id)`` order per key.
+    """``(key, event_id, admitted)`` for every row, in ``(ts, event_id)`` order per key; without a time ``admitted`` is NULL.
 
     The sorted log is checkpointed, so its partitions stay put between the passes below. A pass per
     chunk returns its last key and log; only a chunk that lies wholly inside one key, after a chunk
     whose log changed, is done again. The driver sees one row per chunk.
     """
     window = int(window_s * 1_000_000)
-    log = df.select(
+    timeless = df.where(F.col(ts).isNull()).select(key, event_id, F.lit(None).cast("boolean").alias("admitted"))
+    log = df.where(F.col(ts).isNotNull()).select(
         F.col(key).alias("_key"), F.unix_micros(F.col(ts).cast("timestamp")).alias("_t"), F.col(event_id).alias("_id")
     )
     order = ["_key", "_t", "_id"]
@@ -140,14 +147,14 @@ def throttle(
             columns = [batch.column(0), batch.column(2), pa.array(ok)]
             yield pa.RecordBatch.from_arrays(columns, names=[key, event_id, "admitted"])
 
-    return log.mapInArrow(decide, out)
+    return log.mapInArrow(decide, out).unionByName(timeless)
 
 
 class _SlidingLog(StatefulProcessor):
     """The admitted times of one key, kept between micro-batches until a window has passed."""
 
-    def __init__(self, key: str, event_id: str, n: int, window: int):
-        self.key, self.event_id, self.n, self.window = key, event_id, n, window
+    def __init__(self, key: str, event_id: str, n: int, window: int, expires: bool):
+        self.key, self.event_id, self.n, self.window, self.expires = key, event_id, n, window, expires
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
@@ -155,13 +162,17 @@ class _SlidingLog(StatefulProcessor):
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         batch = pd.concat(list(rows), ignore_index=True)
+        timeless = batch["event_micros"].isna()
         batch = batch.sort_values(["event_micros", self.event_id], ignore_index=True)
+        timed = len(batch) - int(timeless.sum())  # rows without a time come last
         state = deque(sorted(t for (t,) in self.log.get()))
-        batch["admitted"] = admit(batch["event_micros"].to_numpy(), state, self.n, self.window)
+        ok = admit(batch["event_micros"].to_numpy()[:timed].astype(np.int64), state, self.n, self.window)
+        batch["admitted"] = pd.array([*ok.tolist(), *[None] * (len(batch) - timed)], dtype="boolean").astype(object)
         self.log.put([(t,) for t in state])
-        for timer in list(self.handle.listTimers()):
-            self.handle.deleteTimer(timer)
-        self.handle.registerTimer((state[-1] + self.window) // 1000 + 1)
+        if self.expires and state:
+            for timer in list(self.handle.listTimers()):
+                self.handle.deleteTimer(timer)
+            self.handle.registerTimer((state[-1] + self.window) // 1000 + 1)
         yield batch[[self.key, self.event_id, "admitted"]]
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
@@ -181,24 +192,23 @@ def throttle_stream(
     window_s: float = WINDOW_S,
     lateness: str | None = None,
 ) -> DataFrame:
-    """The same decisions on a stream whose micro-batches arrive in time order.
+    """The decisions of ``throttle`` on a stream, in the order of arrival of its micro-batches and of time within them.
 
-    State per key is at most ``n`` times and is dropped once the watermark has passed its window.
-    ``lateness`` is the watermark delay, one window by default; later rows are dropped. Bound what one
-    trigger reads (for files, ``maxFilesPerTrigger``): the rows of one key in a micro-batch are
-    sorted in one task. Needs the RocksDB state store.
+    Every event is decided, late ones too, against the admitted times that lie in the window before it or later;
+    events without a time get NULL. State per key is at most ``n`` times and stays. With ``lateness`` a watermark drops
+    the state of quiet keys, and then also drops events that are later than it: ask for it only where such events
+    cannot come. Bound what one trigger reads (for files, ``maxFilesPerTrigger``): the rows of one key in a
+    micro-batch are sorted in one task. Needs the RocksDB state store.
     """
     window = int(window_s * 1_000_000)
     at = F.col(ts).cast("timestamp")
-    rows = stream.select(key, event_id, at.alias("event_time"), F.unix_micros(at).alias("event_micros"))
+    rows = stream.select(key, event_id, at.alias("event_time"), F.unix_micros(at).cast("double").alias("event_micros"))
+    if lateness is not None:
+        rows = rows.withWatermark("event_time", lateness)
     out = T.StructType([stream.schema[key], stream.schema[event_id], T.StructField("admitted", T.BooleanType())])
-    return (
-        rows.withWatermark("event_time", lateness or f"{window_s} seconds")
-        .groupBy(key)
-        .transformWithStateInPandas(
-            statefulProcessor=_SlidingLog(key, event_id, n, window),
-            outputStructType=out,
-            outputMode="append",
-            timeMode="eventTime",
-        )
+    return rows.groupBy(key).transformWithStateInPandas(
+        statefulProcessor=_SlidingLog(key, event_id, n, window, lateness is not None),
+        outputStructType=out,
+        outputMode="append",
+        timeMode="none" if lateness is None else "eventTime",
     )
