@@ -101,3 +101,29 @@ def ingest_stream(spark, sf):
         batch.write.mode("append").option("header", True).option("escape", '"').csv(f"{base}/drop")
         I.ingest_folder(spark, f"{base}/drop", _DROP, "title", f"{base}/table", f"{base}/bad", f"{base}/seen")
     return I.read_merged(spark, f"{base}/table", _DROP, "title")
+
+
+@query("""
+SELECT 'row' AS what, CAST(o_orderkey AS VARCHAR) AS title, o_orderstatus AS status, CAST(CAST(round(o_totalprice * 100) AS BIGINT) AS VARCHAR) AS price
+FROM orders WHERE o_orderstatus <> 'P'
+UNION ALL SELECT 'file', o_orderstatus, CASE WHEN o_orderstatus = 'P' THEN 'bad' ELSE 'imported' END,
+  CASE WHEN o_orderstatus = 'P' THEN 'no column price' ELSE CAST(count(*) AS VARCHAR) END FROM orders GROUP BY o_orderstatus
+""")
+def ingest_by_name(spark, sf):
+    """Files with their columns in another order, with one too many and with one missing; and what became of each file."""
+    base = scratch_path(spark, "named")
+    rows = table(spark, sf, "orders").select(
+        F.col("o_orderkey").cast("string").alias("title"), F.col("o_orderstatus").alias("status"),
+        F.round(F.col("o_totalprice") * 100).cast("bigint").cast("string").alias("price"), F.lit("x").alias("extra"),
+    )
+    for status, columns in (("O", ["price", "title", "status"]), ("F", ["extra", "status", "price", "title"]), ("P", ["title", "status"])):
+        part = rows.where(F.col("status") == status).select(*columns)
+        part.coalesce(1).write.option("header", True).csv(f"{base}/drop/{status}")
+    I.ingest_folder(spark, f"{base}/drop/*", _DROP, "title", f"{base}/table", f"{base}/bad", f"{base}/seen", status=f"{base}/status")
+    merged = I.read_merged(spark, f"{base}/table", _DROP, "title").select(F.lit("row").alias("what"), "title", "status", "price")
+    files = spark.read.schema(I.STATUS).option("recursiveFileLookup", True).parquet(f"{base}/status")
+    files = files.select(
+        F.lit("file").alias("what"), F.regexp_extract("file", "/drop/(.)/", 1).alias("title"), "status",
+        F.coalesce("reason", F.col("good_rows").cast("string")).alias("price"),
+    )
+    return merged.unionByName(files)

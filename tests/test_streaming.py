@@ -91,8 +91,18 @@ def test_ingest(spark, tmp_path):
     I.ingest_folder(*args)
     want = {**first, "B": ("s2", None), "C": ("s", "p")}
     assert table() == want
-    bad = spark.read.parquet(args[5]).collect()
-    assert {(r.file.rsplit("/", 1)[1], r.record.strip()) for r in bad} == {("2.csv", "X,s,p")}
-    compacted = I.compact(spark, args[4], schemas.PLOTS_B, "title", str(tmp_path / "compact"))
-    assert {r.title for r in compacted.collect()} == set(want)
-    assert compacted.where(F.col("title") == "B").count() == 1
+    bad = spark.read.option("recursiveFileLookup", True).parquet(args[5]).collect()
+    assert {(r.file.rsplit("/", 1)[1], r.record) for r in bad} == {("2.csv", None)}
+    compacted = I.compact(spark, args[4], schemas.PLOTS_B, "title")
+    assert {r.title for r in compacted.collect()} == set(want) and table() == want
+    assert len(list((tmp_path / "table").iterdir())) == 1
+    # a lost checkpoint reads all files again and changes nothing; columns bind by name
+    (drop / "5.csv").write_text("plot,more,external_links,title,summary\np9,x,l9,A,s9\n")
+    lost = (*args[:6], str(tmp_path / "seen2"))
+    I.ingest_folder(*lost, status=str(tmp_path / "status"))
+    assert table() == {**want, "A": ("s9", "p9")}
+    found = spark.read.option("recursiveFileLookup", True).parquet(str(tmp_path / "status")).collect()
+    got = {r.file.rsplit("/", 1)[1]: (r.status, r.reason, r.good_rows, r.bad_rows) for r in found}
+    assert got["1.csv"][0] == got["4.csv"][0] == got["5.csv"][0] == "imported"
+    assert got["2.csv"] == ("bad", "no column external_links", 0, 0)
+    assert len(got) == len(found) == 4
