@@ -23,7 +23,6 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
@@ -32,7 +31,7 @@ from textlake.llm.components import connected
 
 THRESHOLD = 0.93
 MISS = 1e-3
-BUCKET = 32  # members of a bucket, about, if vectors lie evenly
+BUCKET = 256  # members of a bucket, about, if vectors lie evenly
 BLOCK = 1024
 SIGMAS = 6.0
 
@@ -105,19 +104,20 @@ def _coder(bits: int, tables: int, seed: int):
 
 def _compare(threshold: float, seed: int):
     """Compare a block of a bucket with itself or another: (node, links, root) of nodes that have links."""
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("node", ignore_index=True)
-        table = int(rows["table"].iat[0])
-        node, side, copies = rows["node"].to_numpy(), rows["side"].to_numpy(), rows["copies"].to_numpy()
-        exact = np.stack(rows["vector"].to_numpy()).astype(np.float64)
-        unit = _unit(exact)
-        keys = np.stack(rows["keys"].to_numpy())[:, :table]
-        codes = np.stack([np.frombuffer(c, np.uint8) for c in rows["code"]])
+    schema = pa.schema([(name, pa.int64()) for name in ("node", "links", "root")])
+
+    def run(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by("node").combine_chunks()
+        n, table = rows.num_rows, rows["table"][0].as_py()
+        flat = lambda name: np.asarray(rows[name].combine_chunks().flatten()).reshape(n, -1)
+        node, side, copies = (rows[c].to_numpy() for c in ("node", "side", "copies"))
+        unit = _unit(flat("vector").astype(np.float64))
+        keys = flat("keys")[:, :table]
+        codes = np.frombuffer(b"".join(rows["code"].to_pylist()), np.uint8).reshape(n, -1)
         found, error = estimate(codes, rows["factor"].to_numpy(), unit, seed)
         open_ = found + SIGMAS * error[:, None] >= threshold
         open_ = np.triu(open_ | open_.T, 1)
-        if rows["i"].iat[0] != rows["j"].iat[0]:
+        if rows["i"][0] != rows["j"][0]:
             open_ &= side[:, None] != side[None, :]
         a, b = np.nonzero(open_)
         links = np.zeros(len(node), np.int64)
@@ -133,7 +133,7 @@ def _compare(threshold: float, seed: int):
             left.append(i)
             right.append(j)
         if not left or not links.any():
-            return pd.DataFrame({"node": [], "links": [], "root": []}, dtype="int64")
+            return schema.empty_table()
         i, j = np.concatenate(left), np.concatenate(right)
         root = np.arange(len(node))
         while True:
@@ -145,7 +145,7 @@ def _compare(threshold: float, seed: int):
             if (before == root).all():
                 break
         some = np.flatnonzero(links)
-        return pd.DataFrame({"node": node[some], "links": links[some], "root": node[root[some]]})
+        return pa.table([node[some], links[some], node[root[some]]], schema=schema)
 
     return run
 
@@ -167,7 +167,7 @@ def duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "em
     coded = written(
         same.select("node", "grp", "copies", "vector", _coder(bits, tables, seed)("vector").alias("c")).select("node", "grp", "copies", "vector", "c.*"), "codes"
     )
-    found = _tasks(coded).groupBy("grp", "dim", "table", "key", "i", "j").applyInPandas(_compare(threshold, seed), "node long, links long, root long")
+    found = _tasks(coded).groupBy("grp", "dim", "table", "key", "i", "j").applyInArrow(_compare(threshold, seed), "node long, links long, root long")
     found = written(found, "links")
     roots = connected(found.select(F.col("node").alias("a"), F.col("root").alias("b")))
     counts = found.groupBy("node").agg(F.sum("links").alias("links"))
