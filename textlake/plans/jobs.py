@@ -12,8 +12,10 @@ from textlake.functions.scalars import (
     NO_LINKS, build_url, clean_markup, clean_title, extract_id, extract_year, pad_key, runtime_minutes, split_lower,
 )
 from textlake.operators import vectors as V
-from textlake.operators.aggregates import weighted_top
-from textlake.operators.merge import dedup, merge_audited, merge_full, merge_partial
+from textlake.operators.aggregates import token_cost, weighted_top
+from textlake.operators.chunking import chunk_documents, page_content
+from textlake.operators.extract import expand_category, extract_wiki_sections, pivot_sections, section_name
+from textlake.operators.merge import dedup, merge_audited, merge_full, merge_partial, stage_distinct
 from textlake.operators.relational import coalesce_sources, either_join, not_covered, resolve_id_list
 from textlake.operators.search import extract_filters, parse_replies, prepare_queries, search_report
 from textlake.sinks import materialize
@@ -191,6 +193,33 @@ def build_corpus_vectors(corpus: DataFrame, path: str, dim: int, embedder=None,
     return V.build_vectors(rows, dim, path, target, order_by="plot")
 
 
+def embed_documents(
+    rows: DataFrame, id_col: str, cols: list[str], path: str, dim: int, embedder=None, size: int = 1000, overlap: int = 0, batch: int = 64
+) -> tuple[DataFrame, DataFrame]:
+    """Rows as pages of ``name: value`` lines, cut into chunks and embedded: ``(chunk vectors, token price)``.
+
+    Chunks are named by the row's id and their number in it; the price is that of the pages.
+    """
+    pages = rows.select(F.col(id_col), page_content(cols).alias("content"))
+    chunks = chunk_documents(pages, id_col, "content", size, overlap)
+    named = chunks.select(F.concat_ws("-", F.col(id_col).cast("string"), "chunk_no").alias("chunk_id"), id_col, "chunk_no", "chunk")
+    vectors = V.embed_column(named, "chunk", embedder or V.HashEmbedder(dim), batch)
+    return V.build_vectors(vectors, dim, path, key="chunk_id"), token_cost(pages, "content")
+
+
+def load_wiki_plots(plots: DataFrame, edges: DataFrame, roots: DataFrame, docs: DataFrame, max_depth: int = 1):
+    """Merge the sections of the wikitext pages below some categories into the plots table: ``(merged, counts)``.
+
+    ``docs(title, text)`` holds the pages fetched so far; a page without a document, or whose text is NULL, is left
+    out of this run and keeps what is stored. Every page is taken once, however many categories list it.
+    """
+    wanted = expand_category(edges, roots, max_depth).select(F.col("page").alias("title")).distinct()
+    pages = docs.join(wanted, "title", "left_semi").where(F.col("text").isNotNull())
+    sections = extract_wiki_sections(pages, "title", "text").withColumn("section", section_name("path"))
+    wide = pivot_sections(sections, "title", "section", "text", "pos")
+    return merge_full(plots, stage_distinct(wide), "title")
+
+
 def batch_search(
     requests: DataFrame,
     vectors: DataFrame | V.CellIndex,
