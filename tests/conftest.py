@@ -5,7 +5,7 @@ import pytest
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
-from textlake.session import local_session  # noqa: E402
+from textlake.session import clear_scratch, local_session  # noqa: E402
 
 
 @pytest.fixture(scope="session")
@@ -18,6 +18,7 @@ def spark():
         },
     )
     yield session
+    clear_scratch(session)
 
 
 @pytest.fixture(scope="session")

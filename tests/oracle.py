@@ -53,7 +53,7 @@ def compare(df, con, sql):
 
 def main():
     import __spark_entry__ as entry
-    from textlake.session import local_session
+    from textlake.session import clear_scratch, local_session
 
     sf = sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.01"
     names = sys.argv[2:] or list(entry.queries())
@@ -67,6 +67,7 @@ def main():
             note = compare(df, con, sql) if sql else f"(no SQL) {df.count()} rows"
         except Exception as e:  # report and go on
             note = f"ERROR {type(e).__name__}: {str(e)[:600]}"
+        clear_scratch(spark)
         failed = note is not None and not note.startswith("(no SQL)")
         bad += failed
         print(f"{'FAIL' if failed else 'ok  '} {name:26s} {time.time() - start:6.1f}s {note or ''}", flush=True)

@@ -50,8 +50,18 @@ def _local_dir() -> str:
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh path below the shared folder."""
-    return os.path.join(shared_dir(spark), "textlake", f"{name}-{uuid.uuid4().hex}")
+    """A fresh path below this application's part of the shared folder."""
+    return os.path.join(_own_dir(spark), f"{name}-{uuid.uuid4().hex}")
+
+
+def _own_dir(spark: SparkSession) -> str:
+    return os.path.join(shared_dir(spark), "textlake", spark.sparkContext.applicationId)
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Remove the intermediate tables of this application. DataFrames that still read them cannot be used afterwards."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_own_dir(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def checkpointed(df):
