@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from textlake.session import shared_dir
+from textlake.session import scratch_path
 
 BLANK = r"[\x20\x09-\x0D]"
 NOT_BLANK = r"[^\x20\x09-\x0D]+"
@@ -23,7 +23,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
     Rows of a table written this way keep their values (ids made by a function included) however often it is read.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/llm/{name}-{uuid.uuid4().hex}"
+    path = scratch_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

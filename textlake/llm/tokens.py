@@ -21,7 +21,7 @@ from pyarrow import fs
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from textlake.llm.common import written
-from textlake.session import shared_dir
+from textlake.session import scratch_path
 
 BLOCK_TOKENS = 1 << 20
 SEPARATOR = 50256
@@ -36,7 +36,7 @@ def write_token_files(docs: DataFrame, tokenizer, id_col: str = "doc_id", text_c
 
     The returned table is written first, so it names the files of the attempts that succeeded and no others.
     """
-    folder = f"{shared_dir(docs.sparkSession).rstrip('/')}/llm/tokens-{uuid.uuid4().hex}"
+    folder = scratch_path(docs.sparkSession, "tokens")
     kind = docs.select(F.col(id_col).alias("doc_id")).schema["doc_id"].dataType.simpleString()
     end = np.array([separator], dtype).tobytes()
 
