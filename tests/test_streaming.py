@@ -50,6 +50,15 @@ def test_throttle_edges(spark):
     assert got == {0: True, 1: True, 2: False, 3: False, 4: True, 5: True}
 
 
+def test_gaps_make_chunks_independent(spark, caplog):
+    """One client with nearly all events in bursts that a quiet window parts: one more pass at most, however many chunks."""
+    rows = [("hot" if i % 20 else "b", i, START + timedelta(seconds=i // 50 * 1000 + i % 50)) for i in range(2000)]
+    with caplog.at_level("INFO", logger="textlake"):
+        got = decided(T.throttle(spark.createDataFrame(rows, SCHEMA), "client", "ts", "event_id", 3, 60, partitions=30))
+    assert got == expected(rows, 3, 60)
+    assert int(caplog.records[-1].getMessage().split()[2]) <= 3
+
+
 def test_stream_equals_batch(spark, tmp_path):
     rows = sorted(events(9, 300), key=lambda r: (r[2], r[1]))
     rows = [(c or "none", e, t) for c, e, t in rows]

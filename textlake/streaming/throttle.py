@@ -8,6 +8,7 @@ chunk only needs the last N admitted times of the chunk before it when both hold
 from __future__ import annotations
 
 import bisect
+import logging
 from collections import deque
 from collections.abc import Iterator
 
@@ -21,6 +22,8 @@ from pyspark.sql.streaming.stateful_processor import StatefulProcessor, Stateful
 
 from textlake.session import checkpointed
 
+logger = logging.getLogger("textlake")
+
 LIMIT, WINDOW_S = 30, 60  # fixed values: the default allowance
 
 
@@ -67,8 +70,9 @@ def throttle(
     """``(key, event_id, admitted)`` for every row, in ``(ts, event_id)`` order per key; without a time ``admitted`` is NULL.
 
     The sorted log is checkpointed, so its partitions stay put between the passes below. A pass per
-    chunk returns its last key and log; only a chunk that lies wholly inside one key, after a chunk
-    whose log changed, is done again. The driver sees one row per chunk.
+    chunk returns its last key and log; only a chunk that lies wholly inside one key, follows another within
+    the window, and whose predecessor's log changed, is done again, and only its rows are read for that. The
+    driver sees one row per chunk. A key without a quiet window across m chunks can take m passes.
     """
     window = int(window_s * 1_000_000)
     timeless = df.where(F.col(ts).isNull()).select(key, event_id, F.lit(None).cast("boolean").alias("admitted"))
@@ -87,6 +91,8 @@ def throttle(
             T.StructField("first", key_type),
             T.StructField("last", key_type),
             T.StructField("log", T.ArrayType(T.LongType())),
+            T.StructField("from", T.LongType()),
+            T.StructField("to", T.LongType()),
         ]
     )
 
@@ -96,8 +102,11 @@ def throttle(
             if only is not None and chunk not in only:
                 return
             first, current, state, empty = None, None, deque(starts.get(chunk, ())), True
+            begins = ends = None
             for batch in batches:
                 times = batch.column(1).to_numpy(zero_copy_only=False)
+                if batch.num_rows:
+                    begins, ends = int(times[0]) if begins is None else begins, int(times[-1])
                 for k, lo, hi in _runs(batch):
                     if empty:
                         first, empty = k, False
@@ -112,15 +121,24 @@ def throttle(
                         "first": pa.array([first], arrow_key),
                         "last": pa.array([current], arrow_key),
                         "log": pa.array([list(state)], pa.list_(pa.int64())),
+                        "from": pa.array([begins], pa.int64()),
+                        "to": pa.array([ends], pa.int64()),
                     }
                 )
 
-        return {r["chunk"]: r for r in log.mapInArrow(run, summary).collect()}
+        rows = log if only is None else log.where(F.spark_partition_id().isin(sorted(only)))
+        return {r["chunk"]: r for r in rows.mapInArrow(run, summary).collect()}
 
     chunks = last_logs({}, None)
     ordered = sorted(chunks)
-    follows = {b: a for a, b in zip(ordered, ordered[1:]) if chunks[a]["last"] == chunks[b]["first"]}
+    # a chunk that begins more than a window after the one before needs nothing of it
+    follows = {
+        b: a
+        for a, b in zip(ordered, ordered[1:])
+        if chunks[a]["last"] == chunks[b]["first"] and chunks[b]["from"] - chunks[a]["to"] <= window
+    }
     starts: dict[int, list[int]] = {}
+    passes = 1
     while True:
         fresh = {b: chunks[a]["log"] for b, a in follows.items()}
         changed = {b for b in follows if fresh[b] != starts.get(b)}
@@ -129,6 +147,8 @@ def throttle(
         if not again:
             break
         chunks |= last_logs(starts, again)
+        passes += 1
+    logger.info("%d chunks, %d passes", len(ordered), passes)
 
     out = T.StructType(
         [T.StructField(key, key_type), T.StructField(event_id, id_type), T.StructField("admitted", T.BooleanType())]
