@@ -1,7 +1,9 @@
 from pyspark.sql import functions as F
 
 from suite.registry import query, table
+from textlake import schemas
 from textlake.operators import aggregates as A, chunking as C, extract as X, html as H
+from textlake.plans import jobs
 from textlake.functions.scalars import NO_LINKS, NO_PLOT, NO_SUMMARY
 
 
@@ -74,6 +76,34 @@ FROM part WHERE p_type <> 'LARGE' AND p_brand <> 'Brand#1'
 """)
 def listing_pages(spark, sf):
     """One listing block per part, with every credit layout; LARGE lacks votes, Brand#1 a year."""
+    return H.extract_listing(_pages(spark, sf)).drop("MetaScore")
+
+
+@query("""
+SELECT coalesce(t.id, r.id) AS imdb_title_id, coalesce(t.title, r.title) AS title, coalesce(r.rating, t.rating) AS rating, coalesce(r.votes, t.votes) AS votes
+FROM (SELECT 'tt' || p_partkey AS id, 'old' AS title, 1.0::DOUBLE AS rating, 1 AS votes FROM part WHERE p_size <= 20) t
+FULL JOIN (SELECT 'tt' || p_partkey AS id, p_name AS title, p_retailprice AS rating, p_partkey::INTEGER AS votes FROM part WHERE p_type <> 'LARGE' AND p_brand <> 'Brand#1') r
+ON t.id = r.id
+""")
+def listing_load(spark, sf):
+    """Listing pages of many blocks, some of them on two pages, merged into the movies table: known titles get new figures only."""
+    one = _pages(spark, sf)
+    many = one.groupBy(F.col("p_partkey") % 50).agg(F.array_join(F.collect_list("html"), "").alias("html")).select("html")
+    old = {"imdb_title_id": F.concat(F.lit("tt"), F.col("p_partkey").cast("string")), "title": F.lit("old"), "IMDb_rating": F.lit(1), "ratingCount": F.lit(1)}
+    target = table(spark, sf, "part").where("p_size <= 20").select(*[old.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in schemas.MOVIES])
+    merged, _ = jobs.load_listing(target, many.unionByName(one.where("p_partkey % 5 = 0").select("html")))
+    return merged.select("imdb_title_id", "title", F.col("IMDb_rating").cast("double").alias("rating"), F.col("ratingCount").alias("votes"))
+
+
+@query("""
+SELECT p_partkey, 0 AS block, CASE WHEN p_type = 'LARGE' THEN 'no votes' ELSE 'no year' END AS reason
+FROM part WHERE p_type = 'LARGE' OR p_brand = 'Brand#1'
+""")
+def listing_rejects(spark, sf):
+    return H.listing_rejects(_pages(spark, sf))
+
+
+def _pages(spark, sf):
     size, text = F.col("p_size"), F.lit
     year = F.when(F.col("p_brand") == "Brand#1", "(I)").otherwise(
         F.concat(text("(I) ("), (size + 1950).cast("string"), text(")"))
@@ -95,8 +125,7 @@ def listing_pages(spark, sf):
         ),
         text("</div>"),
     )
-    pages = table(spark, sf, "part").select(F.concat(text("<html><body>"), block, text("</body></html>")).alias("html"))
-    return H.extract_listing(pages).drop("MetaScore")
+    return table(spark, sf, "part").select("p_partkey", F.concat(text("<html><body>"), block, text("</body></html>")).alias("html"))
 
 
 @query(f"""

@@ -179,18 +179,27 @@ def _credits(container: Node) -> dict:
 
 
 def _listing_records(html: str):
+    """A (record, None) or (None, reason) for every title block of a page."""
     for container in LISTING_CONTAINER.find_all(parse(html)):
         rating, votes = LISTING_RATING.value(container), LISTING_VOTES.value(container)
         year, link = LISTING_YEAR.value(container), LISTING_LINK.value(container)
-        if rating is None or votes is None or year is None or link is None:
+        found = {"rating": rating, "votes": votes, "year": year, "link": link}
+        missing = [name for name, value in found.items() if value is None]
+        if missing:
+            yield None, f"no {missing[0]}"
             continue
-        if not _NUMERIC.fullmatch(rating) or link.count("/") < 2:
+        if not _NUMERIC.fullmatch(rating):
+            yield None, "rating is no number"
+            continue
+        if link.count("/") < 2:
+            yield None, "link has no id"
             continue
         year = year.replace("(", "").replace(")", "")
         year = year.split(" ")[1] if " " in year else year
         if year == UNNUMBERED_YEAR:
+            yield None, "no year"
             continue
-        yield {
+        record = {
             "imdb_title_id": link.split("/")[2],
             "year": year,
             "IMDb_rating": float(rating),
@@ -198,13 +207,14 @@ def _listing_records(html: str):
             **{name: f.value(container) for name, f in LISTING_FIELDS.items()},
             **_credits(container),
         }
+        yield record, None
 
 
 def extract_listing(pages: DataFrame, html_col: str = "html") -> DataFrame:
     """One row per title block of a listing page.
 
     Blocks without a numeric rating, a vote count, a year or a title link are left out, as are those
-    whose only year text is the disambiguation mark.
+    whose only year text is the disambiguation mark; ``listing_rejects`` returns them.
     """
     columns = T.StructType.fromDDL(LISTING_SCHEMA).names
 
@@ -212,7 +222,7 @@ def extract_listing(pages: DataFrame, html_col: str = "html") -> DataFrame:
         rows = []
         for batch in batches:
             for html in batch[html_col]:
-                rows.extend(_listing_records(html))
+                rows.extend(record for record, _ in _listing_records(html) if record is not None)
                 if len(rows) >= 10_000:
                     yield pd.DataFrame(rows, columns=columns, dtype=object)
                     rows = []
@@ -222,6 +232,22 @@ def extract_listing(pages: DataFrame, html_col: str = "html") -> DataFrame:
     return pages.select(html_col).mapInPandas(run, LISTING_SCHEMA)
 
 
+def listing_rejects(pages: DataFrame, html_col: str = "html") -> DataFrame:
+    """One row per title block that ``extract_listing`` leaves out: the page's other columns, ``block`` (its number) and ``reason``."""
+    kept = [f for f in pages.schema if f.name != html_col]
+    schema = T.StructType([*kept, T.StructField("block", T.IntegerType()), T.StructField("reason", T.StringType())])
+
+    def run(batches):
+        for batch in batches:
+            found = batch[html_col].map(lambda html: [(i, why) for i, (_, why) in enumerate(_listing_records(html)) if why])
+            out = batch.drop(columns=[html_col]).assign(_found=found)[found.map(len) > 0].explode("_found", ignore_index=True)
+            if len(out):
+                out["block"], out["reason"] = out["_found"].map(lambda x: x[0]), out["_found"].map(lambda x: x[1])
+                yield out.drop(columns=["_found"])
+
+    return pages.mapInPandas(run, schema)
+
+
 def _with_columns(pages: DataFrame, html_col: str, extra: str, record) -> DataFrame:
     """All columns of ``pages`` except the HTML, plus those ``record(html)`` gives."""
     kept = [f for f in pages.schema if f.name != html_col]

@@ -15,6 +15,7 @@ from textlake.operators import vectors as V
 from textlake.operators.aggregates import token_cost, weighted_top
 from textlake.operators.chunking import chunk_documents, page_content
 from textlake.operators.extract import expand_category, extract_wiki_sections, pivot_sections, section_name
+from textlake.operators.html import extract_listing
 from textlake.operators.merge import dedup, merge_audited, merge_full, merge_partial, stage_distinct
 from textlake.operators.relational import coalesce_sources, either_join, not_covered, resolve_id_list
 from textlake.operators.search import extract_filters, parse_replies, prepare_queries, search_report
@@ -26,6 +27,7 @@ log = logging.getLogger("textlake")
 # fixed values: thresholds and the columns a metadata refresh changes
 MIN_RATING_COUNT = 1000
 REFRESHED = ["IMDb_rating", "ratingCount", "directors"]
+LISTED = ["IMDb_rating", "MetaScore", "ratingCount"]
 TITLE_URL = "https://www.imdb.com/title/"
 EXPORT_LIMIT, EXPORT_MIN_RATING, EXPORT_MIN_VOTES = 10_000, 7.0, 10_000
 
@@ -60,6 +62,16 @@ def import_metadata(target: DataFrame, basics, ratings, crew, names, y0: int, y1
     return merge_partial(target, rows, "imdb_title_id", REFRESHED)
 
 
+def load_listing(target: DataFrame, pages: DataFrame, html_col: str = "html"):
+    """Merge the title blocks of listing pages into the movies table: ``(merged, counts)``.
+
+    Blocks that repeat collapse first. A known title gets the rating, the score and the vote count of its block; a new one all columns.
+    """
+    rows = extract_listing(pages, html_col)
+    shaped = rows.select(*[F.col(f.name).try_cast(f.dataType).alias(f.name) for f in target.schema])
+    return merge_partial(target, stage_distinct(shaped), "imdb_title_id", LISTED)
+
+
 def plot_keys_b(plots_b: DataFrame, variant: str = "standard") -> DataFrame:
     """What the second plot source is matched by, next to its own key; reads no plot text."""
     links = F.col("external_links")
