@@ -26,9 +26,10 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
 from textlake.llm import bytetext as bt, training
+from textlake.llm.common import written
 
 BUCKETS = 1 << 18
-SAMPLE = 12_000
+SAMPLE = 8_000
 FACTORS = 8
 HEADS = (3, 4, 5, 6)
 LEAST = 4
@@ -98,16 +99,12 @@ class Machine:
         return self
 
 
-def telling(doc: np.ndarray, bucket: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Buckets whose rates in the documents of the two classes differ clearly."""
-    n1 = y.sum()
-    n0 = len(y) - n1
-    in1 = np.bincount(bucket, y[doc], BUCKETS)
-    both = np.bincount(bucket, minlength=BUCKETS)
-    rate = both / len(y)
-    error = np.sqrt(np.maximum(rate * (1 - rate), 1e-12) * (1 / n0 + 1 / n1))
-    z = np.abs(in1 / n1 - (both - in1) / n0) / error
-    return np.flatnonzero((both >= LEAST) & (z >= DEVIATIONS))
+def telling(n: np.ndarray, n1: np.ndarray, docs: int, docs1: int) -> np.ndarray:
+    """Whether the rates of buckets in the two classes differ clearly; ``n`` documents have a bucket, ``n1`` of them toxic."""
+    rate = n / docs
+    error = np.sqrt(np.maximum(rate * (1 - rate), 1e-12) * (1 / (docs - docs1) + 1 / docs1))
+    z = np.abs(n1 / docs1 - (n - n1) / (docs - docs1)) / error
+    return (n >= LEAST) & (z >= DEVIATIONS)
 
 
 def buckets(text: Column) -> Column:
@@ -128,14 +125,21 @@ def buckets(text: Column) -> Column:
 def fit(docs: DataFrame, labels: DataFrame, keep: Column, id_col: str = "doc_id", text_col: str = "text", label: str = "toxic", sample: int = SAMPLE, max_chars: int = training.MAX_CHARS) -> Machine | None:
     """Fit on a bounded sample of labelled rows; None if it does not hold both labels."""
     rows = training.labelled(docs, labels, label, keep, id_col, text_col, sample, max_chars)
-    rows = rows.select("id", "y", buckets(F.col("text")).alias("b")).orderBy("id").toArrow()
-    y = np.asarray(rows["y"].combine_chunks(), dtype=float)
+    rows = written(rows.select("id", "y", buckets(F.col("text")).alias("b")), "sample")
+    y = np.asarray(rows.orderBy("id").select("y").toArrow()["y"].combine_chunks(), dtype=float)
     if len(np.unique(y)) < 2:
         return None
-    lists = rows["b"].combine_chunks()
+    # one row per bucket at most
+    sums = rows.select("y", F.explode("b").alias("bucket")).groupBy("bucket").agg(F.count("*").alias("n"), F.sum("y").alias("n1")).toArrow()
+    used = np.sort(sums["bucket"].to_numpy()[telling(sums["n"].to_numpy(), sums["n1"].to_numpy(), len(y), int(y.sum()))])
+
+    def narrowed(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for lists in batches:
+            yield pa.array([b[np.isin(b, used)] for b in (np.asarray(x.values) for x in lists)], pa.list_(pa.int32()))
+
+    lists = rows.orderBy("id").select(F.arrow_udf(narrowed, "array<int>")("b").alias("b")).toArrow()["b"].combine_chunks()
     doc = np.repeat(np.arange(len(y)), np.asarray(lists.value_lengths()))
-    bucket = np.asarray(lists.flatten()).astype(np.int64)
-    return Machine(telling(doc, bucket, y)).fit(doc, bucket, y)
+    return Machine(used).fit(doc, np.asarray(lists.flatten()).astype(np.int64), y)
 
 
 def score(text: Column, model) -> Column:
