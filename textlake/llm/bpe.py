@@ -20,9 +20,9 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
-from textlake.llm.common import fresh
+from textlake.llm import bytetext as bt
 
 BREAK = "Ā"  # outside Latin-1, so no token crosses it
 REMEMBERED = 300_000  # pieces of the newer of two generations kept in a worker's memory; only speed depends on it
@@ -238,20 +238,25 @@ def decode(docs: DataFrame, tokenizer, ids_col: str = "token_ids", out_col: str
 def recoded(docs: DataFrame, tokenizer, text_col: str = "text", ids_col: str = "token_ids") -> DataFrame:
     """Encode every text, and put what its ids decode to in its place; one pass. A NULL text becomes an empty one.
 
-    Ids that do not decode to valid UTF-8 are an error: whole texts always do.
+    Ids that do not decode to valid UTF-8 are an error: whole texts always do. Rows leave a task in pieces of about 4 MB of text,
+    so a task holds the ids of a piece and no more.
     """
+    kept = docs.drop(ids_col)
+    schema = T.StructType([*kept.schema.fields, T.StructField(ids_col, T.ArrayType(T.IntegerType()))])
+    at = kept.columns.index(text_col)
 
-    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = tokenizer.value.build()
-        for texts in batches:
-            found = [t.encode(x.as_py()) for x in texts]
-            ends = np.cumsum([0] + [len(x) // 4 for x in found]).astype(np.int32)
-            ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(found), "<u4").astype(np.int32)))
-            yield pa.StructArray.from_arrays([ids, pa.array([t.decode(x).decode() for x in found], pa.string())], ["ids", "text"])
-
-    made = fresh("made")
-    out = docs.withColumn(made, F.arrow_udf(run, "struct<ids:array<int>,text:string>")(F.col(text_col)))
-    return out.withColumns({text_col: F.col(f"{made}.text"), ids_col: F.col(f"{made}.ids")}).drop(made)
+        for batch in batches:
+            for first, texts in bt.slices(batch.column(at)):
+                found = [t.encode(x.as_py()) for x in texts]
+                ends = np.cumsum([0] + [len(x) // 4 for x in found]).astype(np.int32)
+                ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(found), "<i4")))
+                columns = batch.slice(first, len(texts)).columns
+                columns[at] = pa.array([t.decode(x).decode() for x in found], columns[at].type)
+                yield pa.RecordBatch.from_arrays([*columns, ids], schema.names)
+
+    return kept.mapInArrow(run, schema)
 
 
 def digests(docs: DataFrame, tokenizer, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
