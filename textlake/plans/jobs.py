@@ -240,12 +240,13 @@ def batch_search(
     replies: DataFrame | None = None,
     embedder=None,
     query_id: str = "query_id",
-    nprobe: int = 8,
+    nprobe: int | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """Answer a table of requests ``(query_id, query, top_k)``: ``(reports, rejected)``.
 
     Filters come from model ``replies(query_id, reply)`` when given, else from the stated rules. ``vectors`` is the
-    vector table, searched exactly, or an index of it, of which ``nprobe`` cells are read first.
+    vector table, searched exactly, or an index of it, of which ``nprobe`` cells are read first, by default as
+    many as ``ann_search`` finds needed.
     """
     valid, rejected = prepare_queries(requests)
     if replies is not None:
