@@ -3,6 +3,7 @@
 import hashlib
 import math
 import random
+import string
 import re
 
 import pytest
@@ -138,6 +139,21 @@ def test_allow_list():
     assert [k for *_, k in s.entropy("q7Xk2LmP9vRt4WzB8nYc5Jd")] == ["entropy_base64"]
 
 
+def test_keys_without_digits():
+    """Random keys of letters have spans; words in one case or capitalised, with separators, have none."""
+    s, rng = secrets.Scanner(), random.Random(5)
+    for alphabet in (string.ascii_letters, string.ascii_letters + "+/"):
+        for width in (24, 32, 44):
+            for _ in range(50):
+                key = "".join(rng.choice(alphabet) for _ in range(width))
+                assert [k for *_, k in s.entropy(f"key is {key}.")], key
+    words = "the-quick_brown/fox-jumps-over-lazy-dogs", "SPHINX_OF_BLACK_QUARTZ_JUDGE", "The-Quick-Brown-Fox/Jumps-Over_", "=====/Vexing_jumps-over-LAZY="
+    for text in words:
+        assert len(text) >= secrets.WINDOW and not s.entropy(text), text
+    assert not s.entropy("abc-" * 50_000 + "Abc")  # and in linear time
+    assert not s.entropy("Ab" + "x" * 30 + "Cd")
+
+
 def test_secrets_in_spark(spark):
     rows = [(i, t, "s") for i, t in enumerate(SAMPLES)] + [(None, "secret=abcdef", None), (1, "", "x")]
     df = spark.createDataFrame(rows, "doc_id long, text string, spans string")

@@ -34,9 +34,11 @@ WINDOW = 20
 #: class: characters, bits per character from which a window counts. A window of 20 random characters has about 3.5
 #: bits (hexadecimal) or 4.1 (base64), ordinary words of that length about 3.2.
 CLASSES = {"entropy_hex": ("0-9A-Fa-f", 3.0), "entropy_base64": ("A-Za-z0-9+/_=-", 3.7)}
-#: Candidates that are no secrets: words without digits, numbers, runs of the alphabet or of digits, UUIDs.
+#: Candidates that are no secrets: words (in one case or with a capital first) joined by separators, numbers, runs of the
+#: alphabet or of digits, UUIDs. Case that changes within a word, as in random keys, is left to the threshold.
+_WORD = r"(?:[A-Z]?[a-z]++|[A-Z]++)"
 ALLOWED = (
-    r"[A-Za-z+/_=-]*",
+    rf"[+/_=-]*+(?:{_WORD}[+/_=-]++)*+{_WORD}?",
     r"[0-9+/_=-]*",
     r"(?i:0123456789abcdef|abcdefghijklmnopqrstuvwxyz|1234567890|[+/_=-])+",
     r"[0-9A-Fa-f]{8}(-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}",
@@ -51,7 +53,7 @@ class Scanner:
         # a run of enough characters is found whole by a greedy match, so shorter runs need no match of their own
         self.access = re.compile(r"AKIA[A-Z0-9]{%d,}" % (ACCESS_LEAST - 4))
         self.hex = re.compile(r"[0-9a-f]{%d,}" % HEX_LEAST)
-        self.log = [0.0] + [c * math.log2(c) for c in range(1, window + 1)]
+        self.log = [0.0] + [c * math.log2(c) for c in range(1, window + 2)]  # a window holds one more while it moves
 
     def base(self, text: str) -> list[tuple[int, int, str]]:
         found = [(m.start(), m.end(), "assign") for m in self.assign.finditer(text) if m.end(2) - m.start(2) >= ASSIGN_LEAST]
