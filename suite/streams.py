@@ -6,6 +6,7 @@ from textlake.session import scratch_path
 from textlake.streaming import ingest as I, throttle as T
 
 _LIMIT, _HOURS = 3, 6
+_ROWS = 50_000  # of a file, and so of a trigger
 
 _THROTTLE = f"""
 WITH RECURSIVE ev AS (
@@ -49,10 +50,17 @@ def _run_stream(spark, source, path):
     return spark.read.schema(decided.schema).parquet(f"{path}/out")
 
 
+def _one_file_a_trigger(spark, events, path):
+    return spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/in")
+
+
 @query(_THROTTLE)
 def throttle_stream(spark, sf):
-    events = spark.readStream.schema(table(spark, sf, "events").schema).option("pathGlobFilter", "events.parquet").parquet(sf)
-    return _run_stream(spark, events, scratch_path(spark, "throttle"))
+    """The events in files of bounded rows by time, one file a trigger."""
+    path = scratch_path(spark, "throttle")
+    events = table(spark, sf, "events").select("user_id", "event_id", "ts")
+    T.write_in_order(events, "ts", "event_id", f"{path}/in", _ROWS)
+    return _run_stream(spark, _one_file_a_trigger(spark, events, path), path)
 
 
 _TIMELESS = "event_id % 50 = 7"
@@ -74,9 +82,8 @@ def throttle_late(spark, sf):
     path = scratch_path(spark, "late")
     events = table(spark, sf, "events").select("user_id", "event_id", "ts")
     for late in (False, True):
-        events.where((F.col("event_id") % 3 == 0) == F.lit(late)).coalesce(1).write.mode("append").parquet(f"{path}/in")
-        source = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/in")
-        decided = _run_stream(spark, source, path)
+        T.write_in_order(events.where((F.col("event_id") % 3 == 0) == F.lit(late)), "ts", "event_id", f"{path}/in", _ROWS)
+        decided = _run_stream(spark, _one_file_a_trigger(spark, events, path), path)
     return decided
 
 

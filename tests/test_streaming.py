@@ -2,6 +2,7 @@ import collections
 import random
 from datetime import datetime, timedelta
 
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -79,6 +80,35 @@ def test_stream_equals_batch(spark, tmp_path):
     assert decided(spark.read.parquet(str(tmp_path / "out"))) == expected(rows, 3, 60)
 
 
+def test_triggers_are_bounded_and_in_order(spark, tmp_path, monkeypatch):
+    """The stream queries read a hot key's events a bounded number at a time, in order of time."""
+    from suite import streams
+
+    rows = [(c or "none", e, t) for c, e, t in events(11, 700, hot=0.7)]
+    sf = str(tmp_path / "sf")
+    random.Random(2).shuffle(rows)
+    spark.createDataFrame(rows, "user_id string, event_id long, ts timestamp").repartition(5).write.parquet(f"{sf}/events.parquet")
+    read = []
+    plain = streams._run_stream
+
+    def watched(session, source, path):
+        out = plain(session, source, path)
+        read[:] = [pq.read_metadata(f).num_rows for f in (tmp_path / path.rpartition("/")[2]).glob("in/*.parquet")]
+        read.append(len(list((tmp_path / path.rpartition("/")[2]).glob("state/commits/[0-9]*"))))
+        return out
+
+    monkeypatch.setattr(streams, "_run_stream", watched)
+    monkeypatch.setattr(streams, "_ROWS", 150)
+    monkeypatch.setattr(streams, "scratch_path", lambda _, name: str(tmp_path / name))
+    for query, late in ((streams.throttle_stream, False), (streams.throttle_late, True)):
+        got = decided(query(spark, sf))
+        first = [r for r in rows if not (late and r[1] % 3 == 0)]
+        want = expected(first, streams._LIMIT, streams._HOURS * 3600)
+        assert len(got) == 700 and {e: got[e] for e in want} == want
+        *sizes, triggers = read
+        assert sum(sizes) == 700 and max(sizes) <= 150 and triggers >= len(sizes) >= 5
+
+
 def test_ingest(spark, tmp_path):
     drop = tmp_path / "drop"
     drop.mkdir()

@@ -9,6 +9,8 @@ from __future__ import annotations
 
 import bisect
 import logging
+import re
+import time
 from collections import deque
 from collections.abc import Iterator
 
@@ -170,6 +172,28 @@ def throttle(
     return log.mapInArrow(decide, out).unionByName(timeless)
 
 
+def write_in_order(df: DataFrame, ts: str, event_id: str, path: str, rows: int) -> None:
+    """Add events to a folder in files of at most ``rows`` rows, by time, for a stream with ``maxFilesPerTrigger``.
+
+    A file source reads files by modification time, so the new ones get times in the order of their ranges.
+    """
+    begun = int(time.time() * 1000)
+    spark = df.sparkSession
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+
+    def parts():
+        names = [s.getPath().getName() for s in fs.listStatus(folder)] if fs.exists(folder) else []
+        return {n: m for n in names if (m := re.match(r"part-(\d+)-.*?(?:-c(\d+))?\.", n))}
+
+    old = parts()
+    ordered = df.repartitionByRange(ts, event_id).sortWithinPartitions(ts, event_id)
+    ordered.write.mode("append").option("maxRecordsPerFile", rows).parquet(path)
+    new = {n: (int(m[1]), int(m[2] or 0)) for n, m in parts().items() if n not in old}
+    for i, name in enumerate(sorted(new, key=new.get)):
+        fs.setTimes(spark._jvm.org.apache.hadoop.fs.Path(folder, name), begun + 10 * i, -1)
+
+
 class _SlidingLog(StatefulProcessor):
     """The admitted times of one key, kept between micro-batches until a window has passed."""
 
@@ -217,8 +241,8 @@ def throttle_stream(
     Every event is decided, late ones too, against the admitted times that lie in the window before it or later;
     events without a time get NULL. State per key is at most ``n`` times and stays. With ``lateness`` a watermark drops
     the state of quiet keys, and then also drops events that are later than it: ask for it only where such events
-    cannot come. Bound what one trigger reads (for files, ``maxFilesPerTrigger``): the rows of one key in a
-    micro-batch are sorted in one task. Needs the RocksDB state store.
+    cannot come. The rows of one key in a micro-batch are sorted in one task, so bound what one trigger reads: files of
+    bounded rows (``write_in_order``) and ``maxFilesPerTrigger``. Needs the RocksDB state store.
     """
     window = int(window_s * 1_000_000)
     at = F.col(ts).cast("timestamp")
