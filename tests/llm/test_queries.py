@@ -15,7 +15,7 @@ def test_query(spark, sf, name):
 
 def test_all_are_registered():
     assert set(queries.QUERIES) | {"pipeline"} <= set(entry.queries())
-    assert len({n.split("_")[0] for n in queries.QUERIES}) == 10
+    assert len({n.split("_")[0] for n in queries.QUERIES}) == 13
 
 
 def test_pipeline(spark, sf):

@@ -6,7 +6,7 @@ import functools
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from textlake.llm import bpe, chat, embed, exact, mixing, near, quality, secrets, tokens, toxicity
+from textlake.llm import bpe, chat, embed, exact, lexical, mixing, near, quality, repair, sampling, secrets, tokens, toxicity
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -126,3 +126,83 @@ def op2_quality(spark, sf):
 @query()
 def op4_toxicity(spark, sf):
     return toxicity.classify(table(spark, sf, "documents"), table(spark, sf, "labels"))
+
+
+_AUDIT_COLUMNS = ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")
+
+
+def damaged(rows: DataFrame) -> DataFrame:
+    """The damage that the query repairs: a checksum of conversation and turn picks it."""
+    blank = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(" "))
+    hurt = F.crc32(F.concat(blank("conv_id"), F.lit(":"), blank("turn"))) % 20
+    text = F.when(F.col("hurt") == 1, "").when(F.col("hurt") == 2, F.regexp_replace(blank("text"), "[.!?]", "")).otherwise(blank("text"))
+    role = F.when(F.col("hurt") == 4, "user").otherwise(blank("role"))
+    kept = rows.withColumn("hurt", hurt).where("hurt <> 0").select("conv_id", "turn", role.alias("role"), text.alias("text"), "hurt")
+    times = F.when(F.col("hurt") == 3, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1)))
+    return kept.select("conv_id", "turn", "role", "text", F.explode(times)).drop("col")
+
+
+@query(r"""
+WITH b AS (SELECT conv_id, turn, COALESCE(role, ' ') AS role, COALESCE(text, ' ') AS text, COALESCE(conv_id::VARCHAR, ' ') || ':' || COALESCE(turn::VARCHAR, ' ') AS s FROM conversations),
+h AS (SELECT *, xor(list_reduce(flatten(list_transform(string_split(s, ''), lambda ch: [ascii(ch)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1])),
+        lambda a, x: CASE WHEN x >= 0 THEN xor(a, x) ELSE xor(a >> 1, 3988292384 * (a & 1)) END, 4294967295::BIGINT), 4294967295) % 20 AS hurt FROM b),
+d AS (SELECT conv_id, turn, CASE WHEN hurt = 4 THEN 'user' ELSE role END AS role,
+             CASE hurt WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, unnest(CASE WHEN hurt = 3 THEN [1, 2] ELSE [1] END) AS again
+      FROM h WHERE hurt <> 0),
+p AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, again) AS place, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, again) AS seen FROM d),
+f AS (SELECT *, left(role, 1) AS i, CASE WHEN NOT regexp_matches(text, '[^ 	-
+]') THEN 'blank' WHEN seen > 1 THEN 'duplicate'
+             WHEN right(regexp_replace(text, '[ 	-
+]', '', 'g'), 1) NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault FROM p),
+n AS (SELECT conv_id, max(turn) - min(turn) + 1 - count(DISTINCT turn) AS gaps, count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate,
+             count(*) FILTER (fault = 'truncated') AS truncated, list({'i': i, 'f': fault, 'r': role, 't': text} ORDER BY place) AS rows FROM f GROUP BY conv_id),
+-- four states (nothing, s, u, a); each holds the least of (cost, audit); 9999999 marks one that cannot be reached
+v AS (SELECT *, list_reduce(rows, lambda z, x: list_transform([1], lambda one: {
+  'e': {'c': z.e.c + 4, 'a': z.e.a || 'D'},
+  's': list_min([{'c': z.s.c + 4, 'a': z.s.a || 'D'}, {'c': z.e.c + CASE WHEN x.i = 's' AND x.f NOT IN ('blank', 'duplicate') THEN CASE WHEN x.f = 'truncated' THEN 3 ELSE 0 END ELSE 9999999 END, 'a': z.e.a || 'K'}]),
+  'u': list_min([{'c': z.u.c + 4, 'a': z.u.a || 'D'}] || list_transform([z.e, z.s, z.a], lambda y: {
+         'c': y.c + CASE WHEN x.f IN ('blank', 'duplicate') THEN 9999999 ELSE CASE WHEN x.f = 'truncated' THEN 3 ELSE 0 END + CASE WHEN x.i = 'u' THEN 0 ELSE 3 END END,
+         'a': y.a || CASE WHEN x.i = 'u' THEN 'K' ELSE 'R' END})),
+  'a': list_min([{'c': z.a.c + 4, 'a': z.a.a || 'D'}, {
+         'c': z.u.c + CASE WHEN x.f IN ('blank', 'duplicate') THEN 9999999 ELSE CASE WHEN x.f = 'truncated' THEN 3 ELSE 0 END + CASE WHEN x.i = 'a' THEN 0 ELSE 3 END END,
+         'a': z.u.a || CASE WHEN x.i = 'a' THEN 'K' ELSE 'R' END}])})
+  .list_transform(lambda y: {'e': y.e, 's': y.s, 'a': y.a, 'u': list_min([y.u, {'c': y.e.c + 3, 'a': y.e.a || 'I'}, {'c': y.s.c + 3, 'a': y.s.a || 'I'}, {'c': y.a.c + 3, 'a': y.a.a || 'I'}])})
+  .list_transform(lambda y: {'e': y.e, 's': y.s, 'u': y.u, 'a': list_min([y.a, {'c': y.u.c + 3, 'a': y.u.a || 'I'}])})[1],
+  {'e': {'c': 0, 'a': ''}, 's': {'c': 9999999, 'a': ''}, 'u': {'c': 3, 'a': 'I'}, 'a': {'c': 6, 'a': 'II'}}) AS z FROM n),
+w AS (SELECT *, list_min([z.e, z.a]) AS best FROM v),
+-- replay: the audit's letters take rows in order
+q AS (SELECT conv_id, unnest(string_split(best.a, '')) AS letter, generate_subscripts(string_split(best.a, ''), 1) AS k, rows FROM w WHERE best.a <> ''),
+o AS (SELECT conv_id, k, letter, rows[count(*) FILTER (letter <> 'I') OVER (PARTITION BY conv_id ORDER BY k)] AS x, count(*) FILTER (letter <> 'D') OVER (PARTITION BY conv_id ORDER BY k) AS m FROM q),
+c AS (SELECT *, m + CASE WHEN first_value(letter || x.i) OVER (PARTITION BY conv_id ORDER BY k) = 'Ks' THEN 1 ELSE 0 END AS parity FROM (SELECT * FROM o WHERE letter <> 'D')),
+r AS (SELECT conv_id, string_agg(CASE WHEN letter = 'K' THEN x.r WHEN parity % 2 = 1 THEN 'user' ELSE 'assistant' END || ':' || CASE WHEN letter = 'I' THEN '' ELSE x.t END, chr(10) ORDER BY k) AS whole FROM c GROUP BY conv_id),
+l AS (SELECT conv_id, count(*) AS illegal FROM (SELECT conv_id, i, lag(i) OVER (PARTITION BY conv_id ORDER BY place) AS before FROM f) WHERE before IS NOT NULL AND before || i NOT IN ('su', 'ua', 'au') GROUP BY conv_id),
+a AS (SELECT DISTINCT conv_id FROM conversations)
+SELECT a.conv_id, COALESCE(gaps, 0)::BIGINT AS gaps, COALESCE(blank, 0) AS blank, COALESCE(duplicate, 0) AS duplicate, COALESCE(truncated, 0) AS truncated, COALESCE(illegal, 0) AS illegal,
+       COALESCE(best.c, 0)::BIGINT AS cost, COALESCE(best.a, '') AS audit, sha256(COALESCE(whole, '')) AS repaired_sha256
+FROM a LEFT JOIN w ON a.conv_id IS NOT DISTINCT FROM w.conv_id LEFT JOIN r ON a.conv_id IS NOT DISTINCT FROM r.conv_id LEFT JOIN l ON a.conv_id IS NOT DISTINCT FROM l.conv_id
+""")
+def op11_repair(spark, sf):
+    rows = table(spark, sf, "conversations")
+    found = repair.audits(damaged(rows)).withColumnRenamed("conv_id", "own")
+    every = rows.select("conv_id").distinct().join(found, F.col("conv_id").eqNullSafe(F.col("own")), "left")
+    counts = [F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in _AUDIT_COLUMNS]
+    return every.select("conv_id", *counts, F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("repaired_sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"))
+
+
+@query()
+def op13_fingerprints(spark, sf):
+    return sampling.fingerprints(table(spark, sf, "documents"))
+
+
+@query(r"""
+WITH t AS (SELECT doc_id, row_number() OVER () AS row, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+s AS (SELECT count(*) AS n, sum(len(w))::BIGINT AS l FROM t WHERE len(w) > 0),
+q AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark),
+p AS (SELECT row, doc_id, term, n, count(*) AS tf FROM (SELECT row, doc_id, len(w)::BIGINT AS n, unnest(w) AS term FROM t) WHERE term IN (SELECT term FROM q) GROUP BY row, doc_id, term, n),
+f AS (SELECT term, floor(1000 * ln((2 * (SELECT n FROM s) + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS weight FROM p GROUP BY term),
+r AS (SELECT row, doc_id, term, weight * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * p.n * s.n) // s.l))) AS part FROM p JOIN f USING (term), s),
+c AS (SELECT item_id, row, doc_id, sum(part)::BIGINT AS score FROM q JOIN r USING (term) GROUP BY item_id, row, doc_id HAVING sum(part) > 0)
+SELECT item_id, (row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id))::INTEGER AS rank, doc_id, score FROM c QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) <= 50
+""")
+def op12_search(spark, sf):
+    return lexical.ranked(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
