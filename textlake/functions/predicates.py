@@ -77,26 +77,6 @@ def where_bounds(df: DataFrame, bounds: Bounds | None, **cols) -> DataFrame:
     return df if clause is None else df.where(clause)
 
 
-#: a row of bounds with its number
-BOUNDS_TYPE = "struct<no:int,year_from:double,year_to:double,min_rating:double,genres:array<string>>"
-
-
-def passes(bounds: Column, year: Column | None = None, rating: Column | None = None, genres: Column | None = None) -> Column:
-    """Whether a row's values meet a struct of bounds; absent bounds allow all, a missing value meets none."""
-
-    def met(limit: Column, test: Column | None) -> Column:
-        return limit.isNull() if test is None else limit.isNull() | F.coalesce(test, F.lit(False))
-
-    wanted = bounds["genres"]
-    shared = None if genres is None else F.arrays_overlap(F.transform(genres, F.lower), F.transform(wanted, F.lower))
-    return (
-        met(bounds["year_from"], None if year is None else year >= bounds["year_from"])
-        & met(bounds["year_to"], None if year is None else year <= bounds["year_to"])
-        & met(bounds["min_rating"], None if rating is None else rating >= bounds["min_rating"])
-        & ((F.coalesce(F.size(wanted), F.lit(0)) == 0) | met(wanted, shared))
-    )
-
-
 def has_filter(parsed) -> Column:
     """True when any bound of a parsed-query struct is present."""
     p = _col(parsed)
