@@ -9,7 +9,7 @@ weighs w = floor(1000 ln((2N + 2) / (2 df + 1))), and a document's score is the
 dictionary, its documents (terms and impacts), and the blocks of its posting lists. A list of more than ``BLOCK``
 documents is clustered: leaders are spread over the documents in order of a sign code of random projections, every
 document joins the leader whose code is nearest, and large clusters are cut. A block's summary is the largest impact
-of every term among its documents, in steps of 4096 rounded up. Shorter lists are one block, bounded by the list's maximum.
+of every term among its documents, in steps of 4096 rounded up (a bitmap of the terms, a byte for each). Shorter lists are one block, bounded by the list's maximum.
 
 ``search`` meets each shard with the queries. A query's lists are read from the rarest on. A list's blocks are skipped
 only where the summary's bound is below the k-th best score known; once the bounds of all lists left add up to less, the
@@ -42,7 +42,7 @@ _INSIDE = np.zeros(256, bool)
 _INSIDE[[*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[0x41:0x5B] += 32
-INDEX = "shard int, kind int, at int, doc_id long, ids array<int>, vals array<int>, hashes array<long>, members array<int>"
+INDEX = "shard int, kind int, at int, doc_id long, ids array<int>, vals array<int>, hashes array<long>, members array<int>, present binary, top binary"
 DICTIONARY, DOCUMENT, BLOCKS = 0, 1, 2
 
 
@@ -151,7 +151,7 @@ def _index_shard(n_docs: int, n_terms: int, block: int):
         impact = (1_000_000_000 * tf) // (1000 * tf + 20 * np.repeat(m, np.diff(ptr)))
         doc_ids = column("doc_id")
         lists = Lists(hashes, np.arange(len(n)), ptr, ids, impact)
-        at, members, top, terms_at = [], [], [], []
+        at, members, present, top = [], [], [], []
         codes = lists.codes()
         slot = np.zeros(len(hashes), np.int64)
         for t in np.flatnonzero(np.diff(lists.list_ptr) > block):
@@ -161,13 +161,7 @@ def _index_shard(n_docs: int, n_terms: int, block: int):
                 np.maximum.at(slot, ids[places], impact[places])
                 found = np.flatnonzero(slot)
                 at.append(t), members.append(part)
-                terms_at.append(found), top.append(-(-slot[found] // STEP))
-
-        def ragged(parts: list[np.ndarray], kind_) -> pa.Array:
-            flat = np.concatenate(parts) if parts else np.zeros(0, np.int64)
-            off = np.concatenate([[0], np.cumsum([len(p) for p in parts])]).astype(np.int32)
-            return pa.ListArray.from_arrays(pa.array(off), pa.array(flat.astype(kind_)))
-
+                present.append(np.packbits(slot > 0).tobytes()), top.append((-(-slot[found] // STEP)).astype(np.uint8).tobytes())
         docs = pa.table(
             {
                 "shard": pa.array(np.full(len(n), shard, np.int32)),
@@ -178,6 +172,8 @@ def _index_shard(n_docs: int, n_terms: int, block: int):
                 "vals": pa.ListArray.from_arrays(pa.array(ptr.astype(np.int32)), pa.array(impact.astype(np.int32))),
                 "hashes": pa.nulls(len(n), pa.list_(pa.int64())),
                 "members": pa.nulls(len(n), pa.list_(pa.int32())),
+                "present": pa.nulls(len(n), pa.binary()),
+                "top": pa.nulls(len(n), pa.binary()),
             }
         )
         k = len(at)
@@ -187,10 +183,15 @@ def _index_shard(n_docs: int, n_terms: int, block: int):
                 "kind": pa.array(np.full(k, BLOCKS, np.int32)),
                 "at": pa.array(np.array(at, np.int32)),
                 "doc_id": pa.nulls(k, pa.int64()),
-                "ids": ragged(terms_at, np.int32),
-                "vals": ragged(top, np.int32),
+                "ids": pa.nulls(k, pa.list_(pa.int32())),
+                "vals": pa.nulls(k, pa.list_(pa.int32())),
                 "hashes": pa.nulls(k, pa.list_(pa.int64())),
-                "members": ragged(members, np.int32),
+                "members": pa.ListArray.from_arrays(
+                    pa.array(np.concatenate([[0], np.cumsum([len(m) for m in members])]).astype(np.int32)),
+                    pa.array(np.concatenate([np.zeros(0, np.int32), *members]).astype(np.int32)),
+                ),
+                "present": pa.array(present, pa.binary()),
+                "top": pa.array(top, pa.binary()),
             }
         )
         head = pa.table(
@@ -203,6 +204,8 @@ def _index_shard(n_docs: int, n_terms: int, block: int):
                 "vals": pa.nulls(1, pa.list_(pa.int32())),
                 "hashes": pa.array([hashes], pa.list_(pa.int64())),
                 "members": pa.nulls(1, pa.list_(pa.int32())),
+                "present": pa.nulls(1, pa.binary()),
+                "top": pa.nulls(1, pa.binary()),
             }
         )
         return pa.concat_tables([head, docs, blocks])
@@ -255,7 +258,10 @@ class Shard(Lists):
         at = np.asarray(blocks.column("at"))
         self.block_range = np.searchsorted(at, np.arange(len(self.hashes) + 1))
         self.member_ptr, self.members = ends(blocks, "members"), flat(blocks, "members")
-        self.top_ptr, self.top_ids, self.top = ends(blocks, "ids"), flat(blocks, "ids"), flat(blocks, "vals").astype(np.int64)
+        bits = np.frombuffer(b"".join(blocks.column("present").to_pylist()), np.uint8).reshape(len(at), -1) if len(at) else np.zeros((0, 1), np.uint8)
+        row, self.top_ids = np.nonzero(np.unpackbits(bits, axis=1))
+        self.top_ptr = np.searchsorted(row, np.arange(len(at) + 1))
+        self.top = np.frombuffer(b"".join(blocks.column("top").to_pylist()), np.uint8).astype(np.int64)
         self.weights = np.zeros(len(self.hashes), np.int64)
         self.skipped = self.scored = 0
 
