@@ -148,4 +148,34 @@ def category_expand(spark, sf):
         .unionByName(edges("supplier", "s_nationkey", "n", "s_suppkey", "s", "page"))
     )
     roots = table(spark, sf, "region").select(F.concat(F.lit("r"), F.col("r_regionkey").cast("string")).alias("root"))
-    return expand_category(graph, roots, max_depth=1)
+    return expand_category(graph, roots, max_depth=1).select("root", "page")
+
+
+@query("""
+WITH RECURSIVE e AS (
+  SELECT c_custkey // 2 AS parent, c_custkey AS child FROM customer WHERE c_custkey > 1
+  UNION ALL SELECT c_custkey, c_custkey // 8 FROM customer WHERE c_custkey % 7 = 0
+  UNION ALL SELECT c_custkey, c_custkey FROM customer WHERE c_custkey % 5 = 0),
+r AS (SELECT c_custkey AS root, c_custkey AS node, 0 AS depth FROM customer WHERE c_custkey IN (1, 3, 14)
+      UNION SELECT root, child, depth + 1 FROM r JOIN e ON parent = node WHERE depth < 24),
+n AS (SELECT root, node, min(depth) AS depth FROM r GROUP BY root, node),
+p AS (SELECT root, o_orderkey AS page, min(depth) AS depth FROM n JOIN orders ON o_custkey = node GROUP BY root, o_orderkey),
+w AS (SELECT page, row_number() OVER (ORDER BY page) AS place FROM (SELECT DISTINCT page FROM p))
+SELECT 'c' || root AS root, place, page, depth FROM p JOIN w USING (page)
+""")
+def category_depths(spark, sf):
+    """A tree of customers about ten levels deep, with edges back to ancestors and to themselves; orders are the pages, in sorted order."""
+    from textlake.operators.extract import expand_category, work_list
+
+    key = F.col("c_custkey")
+    name = lambda c: F.concat(F.lit("c"), c.cast("string"))
+    customers = table(spark, sf, "customer").select("c_custkey")
+    half, eighth = F.floor(key / 2).cast("long"), F.floor(key / 8).cast("long")
+    graph = customers.where("c_custkey > 1").select(name(half).alias("parent"), name(key).alias("child"))
+    graph = graph.unionByName(customers.where("c_custkey % 7 = 0").select(name(key).alias("parent"), name(eighth).alias("child")))
+    graph = graph.unionByName(customers.where("c_custkey % 5 = 0").select(name(key).alias("parent"), name(key).alias("child")))
+    pages = table(spark, sf, "orders").select(name(F.col("o_custkey")).alias("parent"), F.lpad(F.col("o_orderkey").cast("string"), 12, "0").alias("child"), F.lit("page").alias("kind"))
+    roots = customers.where("c_custkey IN (1, 3, 14)").select(name(key).alias("root"))
+    found = expand_category(graph.withColumn("kind", F.lit("category")).unionByName(pages), roots, max_depth=None)
+    placed = found.join(work_list(found), "page")
+    return placed.select("root", "place", F.col("page").cast("long").alias("page"), "depth")

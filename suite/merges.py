@@ -2,6 +2,7 @@ from pyspark.sql import functions as F
 
 from suite.registry import query, table
 from textlake.operators import merge as M, quality as Q
+from textlake.session import scratch_path
 
 _COLS = ["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderpriority"]
 
@@ -162,3 +163,28 @@ def quality_violations(spark, sf):
         .unionByName(nulls.select(F.lit("not_null").alias("check_name"), F.col("column").alias("col"), "n"))
         .unionByName(bounds.select(F.lit("bound").alias("check_name"), F.col("rule").alias("col"), "n"))
     )
+
+
+@query("""
+WITH d AS (SELECT d.*, quality, toxic FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id)
+SELECT 'rows' AS "check", NULL AS "column", count(*) AS n FROM d
+UNION ALL SELECT 'null', 'doc_id', 0 UNION ALL SELECT 'null', 'quality', count(*) FROM d WHERE quality IS NULL
+UNION ALL SELECT 'rule', 'long_enough', count(*) FROM d WHERE NOT length(text) >= 200
+UNION ALL SELECT 'rule', 'good', count(*) FROM d WHERE quality IS NULL OR quality <> 1
+UNION ALL SELECT 'unique', 'source', count(*) FROM (SELECT source FROM documents GROUP BY 1 HAVING count(*) > 1)
+UNION ALL SELECT 'written', NULL, sum(n_chars)::BIGINT FROM d
+UNION ALL SELECT 'empty result', NULL, 1
+""")
+def checked_write(spark, sf):
+    """A table checked in the pass that writes it; a result without rows is refused."""
+    docs = table(spark, sf, "documents").join(table(spark, sf, "labels"), "doc_id", "left")
+    rules = {"long_enough": F.length("text") >= 200, "good": F.col("quality") == 1}
+    written, report = Q.write_checked(docs, scratch_path(spark, "checked"), ["doc_id", "quality"], rules, "source")
+    try:
+        Q.write_checked(docs.where(F.length("text") < 0), scratch_path(spark, "none"), message="no documents")
+        refused = 0
+    except Q.QualityError:
+        refused = 1
+    none = F.lit(None).cast("string").alias("column")
+    more = written.agg(F.sum("n_chars").alias("n")).select(F.lit("written").alias("check"), none, "n")
+    return report.unionByName(more).unionByName(spark.range(1).select(F.lit("empty result").alias("check"), none, F.lit(refused).cast("long").alias("n")))

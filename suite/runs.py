@@ -20,18 +20,22 @@ two AS (SELECT imdb_title_id FROM fits WHERE place <= 250),
 new AS (SELECT imdb_title_id, (SELECT count(*) FROM one) + row_number() OVER (ORDER BY imdb_title_id) AS id FROM two WHERE imdb_title_id NOT IN (SELECT imdb_title_id FROM one))
 SELECT imdb_title_id AS what, id, 2024 AS created, CASE WHEN imdb_title_id IN (SELECT imdb_title_id FROM two) THEN 2025 ELSE 2024 END AS updated FROM one
 UNION ALL SELECT imdb_title_id, id, 2025, 2025 FROM new
-UNION ALL SELECT 'log', 2024, (SELECT count(*) FROM one), 0
-UNION ALL SELECT 'log', 2025, (SELECT count(*) FROM new), (SELECT count(*) FROM one WHERE imdb_title_id IN (SELECT imdb_title_id FROM two))
+UNION ALL SELECT 'log', 2024, (SELECT count(*) FROM one), 0 WHERE EXISTS (FROM fits)
+UNION ALL SELECT 'log', 2025, (SELECT count(*) FROM new), (SELECT count(*) FROM one WHERE imdb_title_id IN (SELECT imdb_title_id FROM two)) WHERE EXISTS (FROM fits)
 """)
 def export_log(spark, sf):
-    """Two exports, the second of more rows: ids, times of making and change, and the log of both runs."""
+    """Two exports, the second of more rows: ids, times of making and change, and the log of both runs.
+
+    An export that no movie qualifies for writes nothing: the table stays as it is and the log has no row.
+    """
     base = scratch_path(spark, "export")
     rows, target = movies(spark, sf), spark.createDataFrame([], schemas.EXPORT)
+    log = spark.createDataFrame([], schemas.IMPORT_LOG)
     for year, limit in ((2024, 100), (2025, 250)):
-        jobs.export_ranked(rows, target, f"{year}-01-01", f"{base}/{year}", f"{base}/log", limit, 5.0, 10_000)
-        target = spark.read.parquet(f"{base}/{year}")
+        if jobs.export_ranked(rows, target, f"{year}-01-01", f"{base}/{year}", f"{base}/log", limit, 5.0, 10_000) is not None:
+            target, log = spark.read.parquet(f"{base}/{year}"), spark.read.parquet(f"{base}/log")
     table_ = target.select(F.col("imdb_title_id").alias("what"), "id", F.year("created_at").alias("created"), F.year("updated_at").alias("updated"))
-    log = spark.read.parquet(f"{base}/log").select(
+    log = log.select(
         F.lit("log").alias("what"), F.year("started_at").cast("long").alias("id"), F.col("rows_inserted").alias("created"), F.col("rows_updated").alias("updated")
     )
     return table_.unionByName(log)
@@ -40,16 +44,16 @@ def export_log(spark, sf):
 @query(f"""
 WITH d AS (SELECT doc_id, {_letters("text")} AS v, {_letters("lang || source")} AS w FROM documents)
 SELECT doc_id::VARCHAR AS title_id, CASE WHEN doc_id % 3 = 0 THEN array_to_string(list_transform(w, lambda x: x::BIGINT::VARCHAR), ' ')
-  ELSE array_to_string(list_transform(v, lambda x: x::BIGINT::VARCHAR), ' ') END AS numbers FROM d WHERE doc_id % 3 <> 1 OR doc_id % 2 = 0
+  ELSE array_to_string(list_transform(v, lambda x: x::BIGINT::VARCHAR), ' ') END AS numbers FROM d
 """)
 def vectors_upsert(spark, sf):
-    """A vector table and an upsert of it: every third row changes (the later of two changes counts), some are new."""
+    """A vector table and an upsert of it: every third row changes (the later of two changes counts), every third is new."""
     docs = table(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("title_id"), "text", F.concat("lang", "source").alias("other"), "doc_id")
     shape = lambda rows, text, at: V.embed_column(rows.select("title_id", F.col(text).alias("plot"), F.lit(at).alias("at")), "plot", count_letters)
     first = docs.where("doc_id % 3 <> 1")
     old = V.build_vectors(shape(first, "text", 0), len(_LETTERS), scratch_path(spark, "vectors"))
     third = docs.where("doc_id % 3 = 0")
-    new = docs.where("doc_id % 3 = 1 AND doc_id % 2 = 0")
+    new = docs.where("doc_id % 3 = 1")
     changes = shape(third, "text", 1).unionByName(shape(third, "other", 2)).unionByName(shape(new, "text", 1))
     merged = V.build_vectors(changes, len(_LETTERS), scratch_path(spark, "vectors"), old, key="title_id", order_by="at")
     return merged.select("title_id", F.array_join(F.transform("embedding", lambda x: x.cast("long").cast("string")), " ").alias("numbers"))

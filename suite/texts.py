@@ -60,8 +60,8 @@ def html_fields(spark, sf):
 SELECT page_id, unnest(titles) AS title FROM (SELECT page_id, [regexp_extract(html, '<title>([^<]*)</title>', 1)] AS titles FROM pages)
 """)
 def html_select(spark, sf):
-    """A field taken through the selectors of the page tree, entities as they stand in the page."""
-    found = H.extract_fields(table(spark, sf, "pages").select("page_id", "html"), {"title": H.Field("title")})
+    """The text of an element, entities as they stand in the page."""
+    found = H.extract_texts(table(spark, sf, "pages").select("page_id", "html"), {"title": ("title",)})
     return found.select("page_id", F.replace("title", F.lit("&"), F.lit("&amp;")).alias("title"))
 
 

@@ -89,9 +89,34 @@ def test_detail_sections(spark):
 
 
 def test_fields(spark):
-    html = "<h1 class='a b'>H</h1><ul><li><a href='/1'>x</a><li><a href='/2'>y</a></ul>"
-    fields = {
-        "h": H.Field("h1", "b"), "links": H.Field("a", take="list"), "second": H.Field("a", nth=1, take="@href"), "none": H.Field("h2"),
-    }
-    row = H.extract_fields(spark.createDataFrame([(7, html)], "id int, html string"), fields).first()
-    assert (row.id, row.h, row.links, row.second, row.none) == (7, "H", ["x", "y"], "/2", None)
+    html = "<h1 class='a b'>H &eacute;&#8217;&#x1F600;&nope;&amp;lt;</h1><!-- <h2>x</h2> --><p data-x=\"1\">y <b>z</b></p>"
+    fields = {"h": ("h1", "class", "b", True), "whole": ("h1", "class", "b"), "p": ("p", "data-x", "1"), "none": ("h2",)}
+    row = H.extract_texts(spark.createDataFrame([(7, html)], "id int, html string"), fields).first()
+    assert (row.id, row.h, row.whole, row.p, row.none) == (7, "H é’😀&nope;&lt;", None, "y z", None)
+
+
+def test_listing_rejects_and_ends_of_blocks(spark):
+    """A block ends with its own closing tag, so what follows it on the page fills none of its gaps."""
+    good = listing(body="<div><div>deep</div></div>")
+    page = "<strong>1</strong>" + listing(rating="") + good + "<strong>9</strong>" + listing(rating="<strong>n/a</strong>") + listing(votes="") + listing(year="(I)")
+    page += good.replace("/title/tt01/?r", "tt01") + '<div class="other"><strong>3</strong></div>'
+    df = spark.createDataFrame([(5, page), (6, None), (7, "")], "page int, html string")
+    assert [(r.page, r.block, r.reason) for r in H.listing_rejects(df).orderBy("block").collect()] == [
+        (5, 0, "no rating"), (5, 2, "rating is no number"), (5, 3, "no votes"), (5, 4, "no year"), (5, 5, "link has no id"),
+    ]
+    assert [(r.imdb_title_id, r.IMDb_rating) for r in H.extract_listing(df).collect()] == [("tt01", 7.5)]
+    plan = H.listing_blocks(df)._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Pandas" not in plan and "Arrow" not in plan
+
+
+def test_depth_and_work_list(spark):
+    """A chain of eight levels with a way back: every page with its least depth, in sorted order."""
+    edges = [(f"c{i}", f"c{i + 1}", "category") for i in range(8)] + [("c8", "c0", "category"), ("c3", "c3", "category")]
+    edges += [(f"c{i}", f"p{9 - i}", "page") for i in range(9)] + [("c7", "p9", "page"), ("c5", None, "page")]
+    graph = spark.createDataFrame(edges, "parent string, child string, kind string")
+    roots = spark.createDataFrame([("c0",), ("c6",)], "root string")
+    found = X.expand_category(graph, roots, None)
+    rows = {(r.root, r.page): r.depth for r in found.where("page IS NOT NULL").collect()}
+    assert {p: d for (root, p), d in rows.items() if root == "c0"} == {f"p{9 - i}": i for i in range(9)}
+    assert rows[("c6", "p9")] == 1 and rows[("c6", "p4")] == 8 and len(rows) == 18
+    assert [(r.place, r.page) for r in X.work_list(found).orderBy("place").collect()] == [(i, f"p{i}") for i in range(1, 10)]

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from textlake.functions.scalars import NO_LINKS, NO_PLOT, NO_SUMMARY, clean_section
+from textlake.operators.merge import number_rows
 from textlake.session import checkpointed
 
 # ---- fixed values: sections that are kept, and the texts that stand in for missing ones --------
@@ -15,42 +18,39 @@ SECTION_COLUMNS = {
     "external_links": ("External links", NO_LINKS),
 }
 # ----------------------------------------------------------------------------------------------
-_HEADING = r"(?md)^={1,6}[^\n]+?={1,6}[ \t]*$"
+# before a line that is a heading
+_AT_HEADING = r"\n(?=={1,6}[^\n]+?={1,6}[ \t]*(?:\n|\z))"
 
 
-def expand_category(edges: DataFrame, roots: DataFrame, max_depth: int = 1) -> DataFrame:
-    """Pages below the root categories, entering sub-categories while depth remains.
+def expand_category(edges: DataFrame, roots: DataFrame, max_depth: int | None = 1) -> DataFrame:
+    """Pages below the root categories, entering sub-categories while depth remains: ``(root, page, depth)``.
 
-    ``edges(parent, child, kind)`` with kind ``page`` or ``category``; ``roots(root)``. Returns the
-    distinct ``(root, page)`` pairs. Each level is one join; a category seen for a root is not
-    entered again, so cycles end early.
+    ``edges(parent, child, kind)`` with kind ``page`` or ``category``; ``roots(root)``. A page's ``depth`` is the least
+    number of sub-categories between it and the root; ``max_depth`` None goes on to the end. Each level is one join and
+    one anti-join with the categories entered so far, so cycles end and every category is entered once for a root;
+    levels are written, so the plan stays small however deep the graph is.
     """
     level = roots.select("root", F.col("root").alias("_at")).distinct()
-    seen, found = level, None
-    for depth in range(max_depth + 1):
+    seen, found, depth = level, [], 0
+    while True:
         below = level.join(edges, F.col("_at") == F.col("parent")).select("root", "child", "kind")
-        pages = below.where(F.col("kind") == "page").select("root", F.col("child").alias("page")).distinct()
-        found = pages if found is None else found.unionByName(pages)
+        found.append(below.where(F.col("kind") == "page").select("root", F.col("child").alias("page"), F.lit(depth).alias("depth")))
         if depth == max_depth:
             break
         level = below.where(F.col("kind") == "category").select("root", F.col("child").alias("_at")).distinct()
         level = level.join(seen, ["root", "_at"], "left_anti")
-        if max_depth > 2:
-            level, found = checkpointed(level), checkpointed(found)
+        if max_depth is None or max_depth > 2:
+            level = checkpointed(level)
             if level.isEmpty():
                 break
         seen = seen.unionByName(level)
-    return found.distinct()
-
+        depth += 1
+    return functools.reduce(DataFrame.unionByName, found).groupBy("root", "page").agg(F.min("depth").alias("depth"))
 
-def _heading_level(heading: Column) -> Column:
-    ahead = F.length(F.regexp_extract(heading, r"^=+", 0))
-    behind = F.length(F.regexp_extract(heading, r"=+$", 0))
-    return F.least(ahead, behind)
 
-
-def _before(text: Column, mark: Column) -> Column:
-    return F.call_function("substring_index", text, mark, F.lit(1))
+def work_list(pages: DataFrame, page: str = "page") -> DataFrame:
+    """The distinct pages in sorted order: ``(place, page)``, places from 1. Sorted by range, not in one task."""
+    return number_rows(pages.select(page).where(F.col(page).isNotNull()).distinct(), page, name="place").select("place", page)
 
 
 def extract_wiki_sections(
@@ -61,47 +61,41 @@ def extract_wiki_sections(
     Position 0 is the text before the first heading. A level-2 section is kept when its heading is in
     ``include``, with the text up to its first sub-heading; a sub-section only if it directly
     continues a kept section and its own heading is in ``include``. ``path`` is the title followed
-    by the headings as written. All of it is built-in expressions; one fold over the headings of a
-    document tracks the open path.
+    by the headings as written.
+
+    One pass cuts the text at its headings. A fold over the heading lines alone carries the open path; texts are taken
+    from the pieces of kept sections only, and rows stay where they are.
     """
     text, title = F.col(text_col), F.col(title_col)
-    heads = F.transform(F.regexp_extract_all(text, F.lit(_HEADING), F.lit(0)), lambda h: F.rtrim(h, F.lit(" \t")))
-    bodies = F.split(text, _HEADING)
     wanted = F.array(*[F.lit(x) for x in include])
-    kept_type = "array<struct<pos:int,path:array<string>,text:string>>"
+    pieces = F.split(F.concat(F.lit("\n"), text), _AT_HEADING)
+    line = lambda piece: F.rtrim(F.call_function("substring_index", piece, F.lit("\n"), F.lit(1)), F.lit(" \t"))
+    cut = docs.where(text.isNotNull()).select(title.cast("string").alias(title_col), pieces.alias("_pieces"))
+    cut = cut.withColumn("_heads", F.transform(F.slice("_pieces", 2, F.greatest(F.size("_pieces") - 1, F.lit(0))), line))
 
     def step(state, i):
         heading = F.get(F.col("_heads"), i)
-        level = _heading_level(heading)
+        level = F.least(F.length(heading) - F.length(F.ltrim(heading, F.lit("="))), F.length(heading) - F.length(F.rtrim(heading, F.lit("="))))
         open_path = F.slice(state["path"], 1, F.least(F.size(state["path"]), F.greatest(level - 1, F.lit(1))))
-        attached = (level >= 2) & (F.size(open_path) == level - 1)
-        keep = attached & F.array_contains(wanted, F.trim(heading, F.lit("= ")))
+        keep = (level >= 2) & (F.size(open_path) == level - 1) & F.array_contains(wanted, F.trim(heading, F.lit("= ")))
         path = F.when(keep, F.concat(open_path, F.array(heading))).otherwise(open_path)
-        # the text ends where the heading's own characters appear again
-        body = _before(F.get(F.col("_bodies"), i + 1), heading)
-        row = F.struct((i + 1).cast("int").alias("pos"), path.alias("path"), body.alias("text"))
-        rows = F.when(keep, F.concat(state["rows"], F.array(row))).otherwise(state["rows"])
-        return F.struct(path.alias("path"), rows.alias("rows"))
-
-    lead = F.when(
-        F.size("_heads") > 0, _before(F.get(F.col("_bodies"), F.lit(0)), F.get(F.col("_heads"), F.lit(0)))
-    ).otherwise(text)
-    first = F.struct(
-        F.array(title).alias("path"),
-        F.array(F.struct(F.lit(0).alias("pos"), F.array(title).alias("path"), F.col("_lead").alias("text")))
-        .cast(kept_type)
-        .alias("rows"),
-    )
-    indexes = F.when(F.size("_heads") > 0, F.sequence(F.lit(0), F.size("_heads") - 1)).otherwise(
-        F.array().cast("array<int>")
-    )
-    split = (
-        docs.where(text.isNotNull())
-        .select(title.cast("string").alias(title_col), text, heads.alias("_heads"), bodies.alias("_bodies"))
-        .withColumn("_lead", lead)
-    )
-    folded = F.aggregate(indexes, first, step, lambda s: s["rows"])
-    out = split.select(title_col, F.inline(folded))
+        row = F.struct((i + 1).cast("int").alias("pos"), path.alias("path"))
+        return F.struct(path.alias("path"), F.when(keep, F.concat(state["rows"], F.array(row))).otherwise(state["rows"]).alias("rows"))
+
+    start = F.array(title.cast("string"))
+    first = F.array(F.struct(F.lit(0).alias("pos"), start.alias("path"))).cast("array<struct<pos:int,path:array<string>>>")
+    indexes = F.when(F.size("_heads") > 0, F.sequence(F.lit(0), F.size("_heads") - 1)).otherwise(F.array().cast("array<int>"))
+    kept = F.aggregate(indexes, F.struct(start.alias("path"), first.alias("rows")), step, lambda s: s["rows"])
+    out = cut.select(title_col, "_pieces", "_heads", F.inline(kept))
+    # a piece ends with the line end that the next heading begins after; its text ends where its heading's (the lead's:
+    # the first heading's) own characters appear again
+    piece = F.get("_pieces", F.col("pos"))
+    head = F.get("_heads", F.greatest(F.col("pos") - 1, F.lit(0)))
+    whole = F.concat(piece, F.when((F.col("pos") + 1 < F.size("_pieces")) & (F.length(piece) > 0), "\n").otherwise(""))
+    after = F.length(F.call_function("substring_index", piece, F.lit("\n"), F.lit(1)))
+    body = F.when(F.col("pos") == 0, F.substring(whole, 2, 2147483647)).otherwise(F.substring(whole, after + 1, F.lit(2147483647)))
+    body = F.when(head.isNull(), body).otherwise(F.call_function("substring_index", body, head, F.lit(1)))
+    out = out.select(title_col, "pos", "path", body.alias("text"))
     return out.withColumn("text", clean_section("text")) if clean else out
 
 

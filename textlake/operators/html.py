@@ -1,296 +1,223 @@
-"""Field extraction from web pages.
+"""Field extraction from web pages with built-in expressions.
 
-Pages are parsed one at a time inside ``mapInPandas`` with the standard library's tokenizer; what to
-take from a page is data (``Field``), so the same code serves other layouts.
+Pages are cut at the opening tags of what is looked for; a cut that has to end at its own closing tag is followed by
+counting tags of its kind. Fields are then patterns over short pieces. No page is parsed as a whole and no Python runs.
+
+An element counts with its closing tag; attributes are quoted; an attribute's value holds no ``>``. Comments are no
+part of a page. Character references are read by number, and by the names of the HTML 4 set.
 """
 
 from __future__ import annotations
 
-import re
-from dataclasses import dataclass, field
-from html.parser import HTMLParser
-
-import pandas as pd
-from pyspark.sql import DataFrame, types as T
-
-_VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-_NUMERIC = re.compile(r"\s*[+-]?(\d+\.?\d*|\.\d+)\s*")
-
-
-class Node:
-    """An element; ``kids`` holds elements and text in page order."""
-
-    __slots__ = ("tag", "attrs", "kids", "up", "_below")
-
-    def __init__(self, tag, attrs=(), up=None):
-        self.tag, self.attrs, self.kids, self.up, self._below = tag, dict(attrs), [], up, None
-
-    def walk(self):
-        stack = list(reversed(self.kids))
-        while stack:
-            kid = stack.pop()
-            yield kid
-            if isinstance(kid, Node):
-                stack.extend(reversed(kid.kids))
-
-    def below(self, tag):
-        """Elements of one tag inside this one, in page order; sorted out once per element."""
-        if self._below is None:
-            self._below = {}
-            for kid in self.walk():
-                if isinstance(kid, Node):
-                    self._below.setdefault(kid.tag, []).append(kid)
-        return self._below.get(tag, ())
-
-    def strings(self):
-        return [k for k in self.walk() if isinstance(k, str)]
-
-    def text(self):
-        return "".join(self.strings())
-
-    def spaced_text(self):
-        return " ".join(s for s in (t.strip() for t in self.strings()) if s)
-
-
-class _Builder(HTMLParser):
-    def __init__(self):
-        super().__init__(convert_charrefs=True)
-        self.root = self.here = Node("")
-
-    def handle_starttag(self, tag, attrs):
-        node = Node(tag, [(k, v or "") for k, v in attrs], self.here)
-        self.here.kids.append(node)
-        if tag not in _VOID:
-            self.here = node
-
-    def handle_startendtag(self, tag, attrs):
-        self.here.kids.append(Node(tag, [(k, v or "") for k, v in attrs], self.here))
-
-    def handle_endtag(self, tag):
-        node = self.here
-        while node.up is not None and node.tag != tag:
-            node = node.up
-        if node.up is not None:
-            self.here = node.up
-
-    def handle_data(self, data):
-        self.here.kids.append(data)
-
-
-def parse(html: str) -> Node:
-    builder = _Builder()
-    builder.feed(html or "")
-    builder.close()
-    return builder.root
-
-
-@dataclass(frozen=True)
-class Field:
-    """Where one value sits: tag, class (``""`` = none set), attributes, and what to take."""
-
-    tag: str
-    cls: str | None = None
-    attrs: dict = field(default_factory=dict)
-    nth: int = 0
-    take: str = "text"  # text, strip, spaced, list, or @attribute
-    inside: "Field | None" = None
-
-    def hits(self, node) -> bool:
-        if any(node.attrs.get(k) != v for k, v in self.attrs.items()):
-            return False
-        if self.cls is None:
-            return True
-        own = node.attrs.get("class", "")
-        return own == self.cls or (" " not in self.cls and self.cls in own.split())
-
-    def find_all(self, node):
-        if self.inside is not None:
-            outer = next(iter(self.inside.find_all(node)), None)
-            return [] if outer is None else [n for n in outer.below(self.tag) if self.hits(n)]
-        return [n for n in node.below(self.tag) if self.hits(n)]
-
-    def value(self, node):
-        found = self.find_all(node)
-        if self.take == "list":
-            return [n.text() for n in found]
-        if self.nth >= len(found):
-            return None
-        hit = found[self.nth]
-        if self.take.startswith("@"):
-            return hit.attrs.get(self.take[1:])
-        text = hit.spaced_text() if self.take == "spaced" else hit.text()
-        return text.strip() if self.take == "strip" else text
+from html.entities import name2codepoint
 
+from pyspark.sql import Column, DataFrame, functions as F
 
 # ---- fixed values: the listing and detail layouts ---------------------------------------------
-LISTING_CONTAINER = Field("div", "lister-item mode-advanced")
-LISTING_LINK = Field("a", take="@href")
-LISTING_RATING = Field("strong")
-LISTING_YEAR = Field("span", "lister-item-year", inside=Field("h3"))
-LISTING_VOTES = Field("span", attrs={"name": "nv"}, take="@data-value")
-LISTING_CREDITS = Field("p", "")
-LISTING_FIELDS = {
-    "title": Field("a", inside=Field("h3")),
-    "certificate": Field("span", "certificate"),
-    "genre": Field("span", "genre", take="strip"),
-    "runtime": Field("span", "runtime"),
-    "description": Field("p", "text-muted", nth=1, take="spaced"),
-    "MetaScore": Field("span", "metascore"),
-}
+LISTING_BLOCK = ("div", "class", "lister-item mode-advanced")
+YEAR_CLASS, CERTIFICATE_CLASS, GENRE_CLASS, RUNTIME_CLASS = "lister-item-year", "certificate", "genre", "runtime"
+DESCRIPTION_CLASS, SCORE_CLASS = "text-muted", "metascore"
+VOTES = ("span", "name", "nv")
+VOTES_VALUE = "data-value"
 DETAIL_SECTIONS = {
-    "summary": Field("div", attrs={"data-testid": "sub-section-summaries"}),
-    "plot": Field("div", attrs={"data-testid": "sub-section-synopsis"}),
+    "summary": ("div", "data-testid", "sub-section-summaries"),
+    "plot": ("div", "data-testid", "sub-section-synopsis"),
 }
-DETAIL_DROPPED = {"summary": Field("span", attrs={"data-reactroot": ""})}
+DETAIL_DROPPED = {"summary": ("span", "data-reactroot", "")}
 ONE_DIRECTOR, MANY_DIRECTORS = "Director:", "Directors:"
 UNNUMBERED_YEAR = "I"
 # ----------------------------------------------------------------------------------------------
+_NUMERIC = r"\s*[+-]?(\d+\.?\d*|\.\d+)\s*"
+_TAG = r"<[^>]*>"
 
-LISTING_SCHEMA = (
-    "imdb_title_id string, title string, year string, certificate string, genre string, runtime string, "
-    "description string, IMDb_rating double, MetaScore string, ratingCount string, directors string, stars string"
-)
 
+# ---- pieces of pages ----------------------------------------------------------------------------
 
-def _credits(container: Node) -> dict:
-    """Directors and stars, told apart by the label before the first link."""
-    block = next(iter(LISTING_CREDITS.find_all(container)), None)
-    links = [] if block is None else block.below("a")
-    if not links:
-        return {}
-    row = links[0].up.kids
-    at = next(i for i, kid in enumerate(row) if kid is links[0])
-    if at == 0:
-        return {}
-    label = row[at - 1] if isinstance(row[at - 1], str) else row[at - 1].text()
-    after = [k for k in row[at:] if isinstance(k, Node)]
-    if label.strip() == ONE_DIRECTOR:
-        stars = [k.text() for k in after[1:] if k.tag == "a"]
-        return {"directors": after[0].text(), "stars": ",".join(stars)}
-    if label.strip() == MANY_DIRECTORS:
-        cut = next((i for i, k in enumerate(after) if k.tag == "span"), None)
-        if cut is None:
-            return {}
-        return {
-            "directors": ",".join(k.text() for k in after[:cut]),
-            "stars": ",".join(k.text() for k in after[cut:] if k.tag == "a"),
-        }
-    return {"stars": ",".join(k.text() for k in links)}
-
-
-def _listing_records(html: str):
-    """A (record, None) or (None, reason) for every title block of a page."""
-    for container in LISTING_CONTAINER.find_all(parse(html)):
-        rating, votes = LISTING_RATING.value(container), LISTING_VOTES.value(container)
-        year, link = LISTING_YEAR.value(container), LISTING_LINK.value(container)
-        found = {"rating": rating, "votes": votes, "year": year, "link": link}
-        missing = [name for name, value in found.items() if value is None]
-        if missing:
-            yield None, f"no {missing[0]}"
-            continue
-        if not _NUMERIC.fullmatch(rating):
-            yield None, "rating is no number"
-            continue
-        if link.count("/") < 2:
-            yield None, "link has no id"
-            continue
-        year = year.replace("(", "").replace(")", "")
-        year = year.split(" ")[1] if " " in year else year
-        if year == UNNUMBERED_YEAR:
-            yield None, "no year"
-            continue
-        record = {
-            "imdb_title_id": link.split("/")[2],
-            "year": year,
-            "IMDb_rating": float(rating),
-            "ratingCount": votes,
-            **{name: f.value(container) for name, f in LISTING_FIELDS.items()},
-            **_credits(container),
-        }
-        yield record, None
 
+def opening(tag: str, attr: str | None = None, value: str | None = None, word: bool = False) -> str:
+    """A pattern for an opening tag; with ``word`` the value is one of the attribute's words."""
+    if attr is None:
+        return rf"(?is:<{tag}\b[^>]*>)"
+    around = (r"(?:[^\"']*\s)?", r"(?:\s[^\"']*)?") if word else ("", "")
+    return rf"(?is:<{tag}\b(?=[^>]*\s{attr}\s*=\s*[\"']{around[0]}{value}{around[1]}[\"'])[^>]*>)"
 
-def extract_listing(pages: DataFrame, html_col: str = "html") -> DataFrame:
-    """One row per title block of a listing page.
 
-    Blocks without a numeric rating, a vote count, a year or a title link are left out, as are those
-    whose only year text is the disambiguation mark; ``listing_rejects`` returns them.
+def element(tag: str, attr: str | None = None, value: str | None = None, word: bool = False) -> str:
+    """A pattern for an element that holds none of its kind; group 1 is its content."""
+    return opening(tag, attr, value, word) + rf"(?is:(.*?)</{tag}\s*>)"
+
+
+def every(html: Column, pattern: str, group: int = 1) -> Column:
+    return F.regexp_extract_all(html, F.lit(pattern), F.lit(group))
+
+
+def first(html: Column, pattern: str, group: int = 1) -> Column:
+    """NULL where nothing matches."""
+    return F.get(every(html, pattern, group), F.lit(0))
+
+
+def attribute(tag: Column, name: str) -> Column:
+    return first(tag, rf"(?i)\s{name}\s*=\s*[\"']([^\"']*)[\"']")
+
+
+def without_comments(html: Column) -> Column:
+    return F.regexp_replace(html, r"(?s)<!--.*?-->", "")
+
+
+def unescaped(text: Column) -> Column:
+    """Character references as characters; unknown ones stay."""
+    names = F.from_json(F.lit("{" + ",".join(f'"{n}":{c}' for n, c in name2codepoint.items()) + '}'), "map<string,int>")  # a constant
+
+    def read(token: Column) -> Column:
+        body = F.substring(token, 2, F.length(token) - 2)
+        number = (
+            F.when(body.rlike(r"^#\d{1,7}$"), F.substring(body, 2, 7).cast("int"))
+            .when(body.rlike(r"^#[xX][0-9a-fA-F]{1,6}$"), F.conv(F.substring(body, 3, 6), 16, 10).cast("int"))
+            .otherwise(F.element_at(names, body))
+        )
+        known = token.endswith(";") & token.startswith("&") & number.between(1, 0x10FFFF) & ~number.between(0xD800, 0xDFFF)
+        return F.when(known, F.decode(F.unhex(F.lpad(F.hex(number), 8, "0")), "UTF-32")).otherwise(token)
+
+    parts = F.transform(F.regexp_extract_all(text, F.lit(r"&#?\w{1,10};|&|[^&]+"), F.lit(0)), read)
+    return F.when(F.contains(text, F.lit("&")), F.array_join(parts, "")).otherwise(text)
+
+
+def plain(html: Column) -> Column:
+    """The text of a piece: its tags taken away."""
+    return unescaped(F.regexp_replace(html, _TAG, ""))
+
+
+def spaced(html: Column) -> Column:
+    """The text of a piece, its strings trimmed and joined by spaces."""
+    strings = F.transform(F.split(html, _TAG), lambda s: F.regexp_replace(unescaped(s), r"(?U)^\s+|\s+$", ""))
+    return F.array_join(F.filter(strings, lambda s: s != ""), " ")
+
+
+def balanced(after: Column, tag: str) -> Column:
+    """What lies between an opening tag and its own closing tag; ``after`` is the page after the opening tag.
+
+    The text is cut at closing tags. An element is over at the first of them by which as many have closed as have
+    opened, itself included; without one it lasts to the end.
+    """
+    pieces = F.split(after, rf"(?i)</{tag}\s*>")
+    opened = F.transform(pieces, lambda p: F.regexp_count(p, F.lit(rf"(?i)<{tag}\b")))
+    start = F.struct(F.lit(1).alias("open"), F.lit(0).alias("n"))
+    step = lambda s, k: F.when(s["open"] == 0, s).otherwise(F.struct((s["open"] + k - 1).alias("open"), (s["n"] + 1).alias("n")))
+    last = F.aggregate(opened, start, step, lambda s: s["n"])
+    return F.when(after.isNotNull(), F.array_join(F.slice(pieces, 1, last), f"</{tag}>"))
+
+
+def blocks(pages: DataFrame, html_col: str, tag: str, attr: str, value: str) -> DataFrame:
+    """One row per element of a page that is not inside another of its kind: the page's other columns, block (from 0), piece."""
+    pieces = F.split(without_comments(F.col(html_col)), opening(tag, attr, value))
+    kept = [c for c in pages.columns if c != html_col]
+    rows = pages.select(*kept, F.posexplode(F.slice(pieces, 2, F.size(pieces))).alias("block", "_after"))
+    return rows.select(*kept, "block", balanced(F.col("_after"), tag).alias("piece"))
+
+
+# ---- listing pages ------------------------------------------------------------------------------
+
+
+def _credits(piece: Column) -> tuple[Column, Column]:
+    """Directors and stars, told apart by the label before the first link."""
+    block = first(piece, r"(?is:<p\b(?![^>]*\sclass\s*=\s*[\"'][^\"'])[^>]*>)(?is:(.*?)</p\s*>)")
+    before = first(block, r"(?is)^(.*?)<a\b")
+    links = first(block, r"(?is)(<a\b.*)$")
+    names = lambda html: F.array_join(F.transform(every(html, element("a")), plain), ",")
+    tail = F.regexp_extract(before, r"([^<>]*)$", 1)
+    said = F.when(tail != "", tail).otherwise(F.regexp_extract(before, r">([^<>]*)</\w+\s*>$", 1))
+    label = F.when(before != "", F.regexp_replace(said, r"(?U)^\s+|\s+$", ""))
+    of_many, rest = first(links, r"(?is)^(.*?)<span\b"), first(links, r"(?is)^.*?<span\b(.*)$")
+    people = F.transform(every(links, element("a")), plain)
+    directors = F.when(label == ONE_DIRECTOR, F.get(people, F.lit(0))).when(label == MANY_DIRECTORS, F.when(of_many.isNotNull(), names(of_many)))
+    stars = (
+        F.when(label == ONE_DIRECTOR, F.array_join(F.slice(people, 2, F.greatest(F.size(people) - 1, F.lit(0))), ","))
+        .when(label == MANY_DIRECTORS, F.when(of_many.isNotNull(), names(rest)))
+        .when(label.isNotNull(), F.array_join(people, ","))
+    )
+    return directors, stars
+
+
+def listing_blocks(pages: DataFrame, html_col: str = "html") -> DataFrame:
+    """Every title block of listing pages in one pass: the page's other columns, ``block``, the record's columns, ``reason``.
+
+    ``reason`` says why a block is no record: it lacks a numeric rating, a vote count, a year or a title link, or its
+    only year text is the disambiguation mark.
     """
-    columns = T.StructType.fromDDL(LISTING_SCHEMA).names
+    piece = F.col("piece")
+    by_class = lambda tag, name: first(piece, element(tag, "class", name, word=True))
+    found = blocks(pages, html_col, *LISTING_BLOCK)
+    kept = [c for c in found.columns if c != "piece"]
+    head = first(piece, element("h3"))
+    link = attribute(first(piece, opening("a"), 0), "href")
+    votes = attribute(first(piece, opening(*VOTES), 0), VOTES_VALUE)
+    rating = plain(first(piece, element("strong")))
+    directors, stars = _credits(piece)
+    found = found.select(*kept, "piece", head.alias("_head"), link.alias("_link"), votes.alias("ratingCount"), rating.alias("_rating"), directors.alias("directors"), stars.alias("stars"))
+    said = F.translate(plain(first(F.col("_head"), element("span", "class", YEAR_CLASS, word=True))), "()", "")
+    year = F.when(F.contains(said, F.lit(" ")), F.get(F.split(said, " "), F.lit(1))).otherwise(said)
+    found = found.withColumn("year", year)
+    reason = (
+        F.when(F.col("_rating").isNull(), "no rating")
+        .when(F.col("ratingCount").isNull(), "no votes")
+        .when(F.col("year").isNull(), "no year")
+        .when(F.col("_link").isNull(), "no link")
+        .when(~F.col("_rating").rlike(f"^{_NUMERIC}$"), "rating is no number")
+        .when(F.regexp_count("_link", F.lit("/")) < 2, "link has no id")
+        .when(F.col("year") == UNNUMBERED_YEAR, "no year")
+    )
+    return found.select(
+        *kept,
+        F.get(F.split("_link", "/"), F.lit(2)).alias("imdb_title_id"),
+        plain(first(F.col("_head"), element("a"))).alias("title"),
+        "year",
+        plain(by_class("span", CERTIFICATE_CLASS)).alias("certificate"),
+        F.regexp_replace(plain(by_class("span", GENRE_CLASS)), r"(?U)^\s+|\s+$", "").alias("genre"),
+        plain(by_class("span", RUNTIME_CLASS)).alias("runtime"),
+        spaced(F.get(every(piece, element("p", "class", DESCRIPTION_CLASS, word=True)), F.lit(1))).alias("description"),
+        F.trim("_rating").try_cast("double").alias("IMDb_rating"),
+        plain(by_class("span", SCORE_CLASS)).alias("MetaScore"),
+        "ratingCount",
+        "directors",
+        "stars",
+        reason.alias("reason"),
+    )
+
+
+LISTING_COLUMNS = "imdb_title_id title year certificate genre runtime description IMDb_rating MetaScore ratingCount directors stars".split()
 
-    def run(batches):
-        rows = []
-        for batch in batches:
-            for html in batch[html_col]:
-                rows.extend(record for record, _ in _listing_records(html) if record is not None)
-                if len(rows) >= 10_000:
-                    yield pd.DataFrame(rows, columns=columns, dtype=object)
-                    rows = []
-        if rows:
-            yield pd.DataFrame(rows, columns=columns, dtype=object)
 
-    return pages.select(html_col).mapInPandas(run, LISTING_SCHEMA)
+def extract_listing(pages: DataFrame, html_col: str = "html") -> DataFrame:
+    """One row per title block of a listing page; ``listing_rejects`` returns the blocks that are left out."""
+    return listing_blocks(pages.select(html_col), html_col).where("reason IS NULL").select(*LISTING_COLUMNS)
 
 
 def listing_rejects(pages: DataFrame, html_col: str = "html") -> DataFrame:
-    """One row per title block that ``extract_listing`` leaves out: the page's other columns, ``block`` (its number) and ``reason``."""
-    kept = [f for f in pages.schema if f.name != html_col]
-    schema = T.StructType([*kept, T.StructField("block", T.IntegerType()), T.StructField("reason", T.StringType())])
-
-    def run(batches):
-        for batch in batches:
-            found = batch[html_col].map(lambda html: [(i, why) for i, (_, why) in enumerate(_listing_records(html)) if why])
-            out = batch.drop(columns=[html_col]).assign(_found=found)[found.map(len) > 0].explode("_found", ignore_index=True)
-            if len(out):
-                out["block"], out["reason"] = out["_found"].map(lambda x: x[0]), out["_found"].map(lambda x: x[1])
-                yield out.drop(columns=["_found"])
-
-    return pages.mapInPandas(run, schema)
-
-
-def _with_columns(pages: DataFrame, html_col: str, extra: str, record) -> DataFrame:
-    """All columns of ``pages`` except the HTML, plus those ``record(html)`` gives."""
-    kept = [f for f in pages.schema if f.name != html_col]
-    added = T.StructType.fromDDL(extra)
-    schema = T.StructType(kept + added.fields)
-
-    def run(batches):
-        for batch in batches:
-            rows = [record(html) for html in batch[html_col]]
-            out = batch.drop(columns=[html_col])
-            for name in added.names:
-                out[name] = pd.Series([r[name] for r in rows], index=out.index, dtype=object)
-            yield out
-
-    return pages.mapInPandas(run, schema)
-
-
-def extract_sections_html(
-    pages: DataFrame, html_col: str = "html", sections: dict = DETAIL_SECTIONS, dropped: dict = DETAIL_DROPPED
-) -> DataFrame:
-    """Text of marked page sections, whitespace collapsed; a missing section gives ``""``."""
-
-    def record(html):
-        root, out = parse(html), {}
-        for name, where in sections.items():
-            section = next(iter(where.find_all(root)), None)
-            if section is None:
-                out[name] = ""
-                continue
-            for span in dropped[name].find_all(section) if name in dropped else ():
-                span.kids = []
-            out[name] = " ".join(section.spaced_text().split())
-        return out
-
-    return _with_columns(pages, html_col, ", ".join(f"{n} string" for n in sections), record)
-
-
-def extract_fields(pages: DataFrame, fields: dict[str, Field], html_col: str = "html") -> DataFrame:
-    """One column per ``Field``; a ``list`` field gives an array."""
-    extra = ", ".join(f"{n} {'array<string>' if f.take == 'list' else 'string'}" for n, f in fields.items())
-
-    def record(html):
-        root = parse(html)
-        return {name: f.value(root) for name, f in fields.items()}
-
-    return _with_columns(pages, html_col, extra, record)
+    """One row per title block that is no record: the page's other columns, ``block`` (its number) and ``reason``."""
+    kept = [c for c in pages.columns if c != html_col]
+    return listing_blocks(pages, html_col).where("reason IS NOT NULL").select(*kept, "block", "reason")
+
+
+# ---- detail pages -------------------------------------------------------------------------------
+
+
+def extract_sections_html(pages: DataFrame, html_col: str = "html", sections: dict = DETAIL_SECTIONS, dropped: dict = DETAIL_DROPPED) -> DataFrame:
+    """Text of marked page sections, whitespace collapsed; a missing section gives ``""``. Other columns stay."""
+    kept = [c for c in pages.columns if c != html_col]
+    html = without_comments(F.col(html_col))
+    out = []
+    for name, (tag, attr, value) in sections.items():
+        after = F.get(F.split(html, opening(tag, attr, value), 2), F.lit(1))
+        inside = balanced(after, tag)
+        if name in dropped:
+            inside = F.regexp_replace(inside, element(*dropped[name]), "<>")
+        text = F.regexp_replace(F.regexp_replace(spaced(inside), r"(?U)\s+", " "), "^ | $", "")
+        out.append(F.coalesce(text, F.lit("")).alias(name))
+    return pages.select(*kept, *out)
+
+
+def extract_texts(pages: DataFrame, fields: dict[str, tuple], html_col: str = "html") -> DataFrame:
+    """The text of the first element for each field, a tuple for ``element``; NULL if there is none. Other columns stay."""
+    kept = [c for c in pages.columns if c != html_col]
+    html = without_comments(F.col(html_col))
+    return pages.select(*kept, *[plain(first(html, element(*where))).alias(name) for name, where in fields.items()])

@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from textlake.operators.quality import require_unique
+from textlake.operators.quality import observed, require_unique
 from textlake.session import checkpointed
 from textlake.sinks import new_version
 
@@ -55,10 +55,11 @@ def _staged(target: DataFrame, incoming: DataFrame, key: str, order_by, keep: st
     marks = target.select(key, F.lit(True).alias(_HIT))
     marked = fresh.select(*cols).join(marks, key, "left").select(*cols, F.col(_HIT).isNotNull().alias(_HIT))
     all_rows = marked.unionByName(keyless.select(*cols, F.lit(None).cast("boolean").alias(_HIT)))
-    staged = incoming.sparkSession.read.schema(all_rows.schema).parquet(new_version(all_rows, "changes"))
-    counts = staged.agg(
-        F.count_if(~F.col(_HIT)).alias("inserted"), F.count_if(F.col(_HIT)).alias("matched"), F.count_if(F.col(_HIT).isNull()).alias("rejected")
-    )
+    spark, hit = incoming.sparkSession, F.col(_HIT)
+    # counted in the pass that writes the rows
+    watched, counts = observed(all_rows, {"inserted": F.count_if(~hit), "matched": F.count_if(hit), "rejected": F.count_if(hit.isNull())})
+    staged = spark.read.schema(all_rows.schema).parquet(new_version(watched, "changes"))
+    counts = spark.createDataFrame([tuple(counts().values())], "inserted long, matched long, rejected long")
     return staged.where(F.col(_HIT).isNotNull()), counts
 
 
