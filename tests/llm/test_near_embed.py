@@ -5,6 +5,7 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pandas as pd
 import pytest
 
 from textlake.llm import components, embed, near
@@ -158,9 +159,36 @@ def test_embeddings(spark):
 
 def test_embeddings_in_small_blocks(spark, monkeypatch):
     monkeypatch.setattr(embed, "BLOCK", 4)
+    monkeypatch.setattr(embed, "CHUNK", 3)
     test_embeddings(spark)
 
 
+def test_embeddings_in_hash_tables(spark, monkeypatch):
+    """Groups larger than a bucket meet through keys."""
+    monkeypatch.setattr(embed, "BUCKET", 8)
+    assert embed.tables_for(60)[0] == 3
+    test_embeddings(spark)
+
+
+def test_planted_links_at_the_threshold(spark):
+    """Twenty thousand pairs a little above 0.93, and as many a little below, in a few labels; each has its one link or none."""
+    rng = np.random.default_rng(12)
+    n = 20_000
+    a = rng.normal(size=(n, 64))
+    a /= np.linalg.norm(a, axis=1, keepdims=True)
+    b = rng.normal(size=a.shape)
+    b -= (a * b).sum(axis=1, keepdims=True) * a
+    b /= np.linalg.norm(b, axis=1, keepdims=True)
+    cosine = rng.uniform(0.9301, 0.935, n)
+    cosine[n // 2 :] = rng.uniform(0.925, 0.9299, n - n // 2)
+    b = cosine[:, None] * a + np.sqrt(1 - cosine**2)[:, None] * b
+    table = pd.DataFrame({"vec_id": np.arange(2 * n), "embedding": [v.tolist() for v in np.concatenate([a, b])], "label": np.tile(np.arange(n) % 3, 2)})
+    got = embed.duplicates(spark.createDataFrame(table, "vec_id long, embedding array<double>, label int")).toPandas().sort_values("vec_id")
+    want = np.tile(np.arange(n) < n // 2, 2).astype(int)
+    assert (got["n_links"].to_numpy() == want).all()
+    assert (got["component_id"].to_numpy() == np.where(want == 1, np.arange(2 * n) % n, np.arange(2 * n))).all()
+
+
 def test_embeddings_of_nothing(spark):
     assert embed.duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>, label int")).collect() == []
 
@@ -179,7 +207,7 @@ def test_codes_estimate_without_bias():
 
 
 def test_recall_at_the_threshold():
-    bits, tables = embed.tables_for(5000)
+    bits, tables = embed.tables_for(10**8)
     rng = np.random.default_rng(9)
     a = rng.normal(size=(3000, 64))
     a /= np.linalg.norm(a, axis=1, keepdims=True)
@@ -188,4 +216,4 @@ def test_recall_at_the_threshold():
     b = 0.93 * a + (1 - 0.93**2) ** 0.5 * b / np.linalg.norm(b, axis=1, keepdims=True)
     turn = embed.rotation(64, bits * tables, 11)
     same = ((a.astype(np.float32) @ turn >= 0) == (b.astype(np.float32) @ turn >= 0)).reshape(len(a), tables, bits).all(axis=2).any(axis=1)
-    assert same.mean() > 0.99
+    assert bits == 11 and same.all()

@@ -5,11 +5,12 @@ and <x, o> is stored with it. <x, q> / <x, o> estimates <o, q> without bias for
 sqrt((1 - <x, o>^2) / <x, o>^2 / (bits - 1)); a pair is computed exactly, in double precision, unless its estimate
 lies six standard errors below the threshold. No pair is accepted on an estimate.
 
-Pairs are looked for in buckets: further rotations give every vector one key per table, and vectors of one group
-(label and dimension) meet where a key is equal. Key length follows the size of the largest group, so that buckets stay
-small, and the number of tables follows from it, so that a pair exactly at the threshold is missed with probability
-``miss`` at every input size (closer pairs far less). Equal vectors are one class before that. Large buckets are
-compared in blocks; tasks return counts per vector and the links that join components, never pairs.
+All pairs of a group (label and dimension) meet as long as no group has more than ``BUCKET`` distinct vectors: then no
+link is lost. Beyond, pairs are looked for in buckets of about that size: further rotations give every vector one key per
+table, and vectors meet where a key is equal. Key length follows the size of the largest group, and the number of tables
+follows from it, so that a pair exactly at the threshold is missed with probability ``miss`` at every size (closer
+pairs far less). Equal vectors are one class before that. Buckets are compared in blocks; tasks return counts per vector
+and the links that join components, never pairs.
 
 Defined results: a NULL label, or a vector that is NULL, empty, zero or has NULL, NaN or infinite components, links with
 nothing; vectors of different dimensions do not link; rows that repeat an id are vectors of their own; other columns
@@ -30,16 +31,19 @@ from textlake.llm.common import written
 from textlake.llm.components import connected
 
 THRESHOLD = 0.93
-MISS = 1e-3
-BUCKET = 256  # members of a bucket, about, if vectors lie evenly
-BLOCK = 1024
+MISS = 1e-9
+BUCKET = 65_536  # members of a bucket, about, if vectors lie evenly
+BLOCK = 4096
+CHUNK = 256  # rows of a block whose estimates are held at a time
 SIGMAS = 6.0
 
 
 def tables_for(largest: int, threshold: float = THRESHOLD, miss: float = MISS) -> tuple[int, int]:
     """Bits of a key and number of tables for a largest group of so many vectors."""
     same = 1 - math.acos(threshold) / math.pi  # of one bit of two vectors at the threshold
-    bits = max(2, math.ceil(math.log2(max(1, largest) / BUCKET + 1)))
+    bits = max(0, math.ceil(math.log2(max(1, largest) / BUCKET)))
+    if bits == 0:  # one bucket: the whole group
+        return 0, 1
     return bits, math.ceil(math.log(miss) / math.log(1 - same**bits))
 
 
@@ -91,8 +95,10 @@ def _coder(bits: int, tables: int, seed: int):
             for dim in np.unique(size):
                 at = np.flatnonzero(size == dim)
                 unit = _unit(np.asarray(rows.take(pa.array(at)).flatten(), dtype=np.float64).reshape(len(at), dim))
-                side = (unit.astype(np.float32) @ rotation(int(dim), bits * tables, seed) >= 0).reshape(len(at), tables, bits)
-                found = (side * power).sum(axis=2)
+                found = np.zeros((len(at), tables), np.int64)
+                if bits:
+                    side = (unit.astype(np.float32) @ rotation(int(dim), bits * tables, seed) >= 0).reshape(len(at), tables, bits)
+                    found = (side * power).sum(axis=2)
                 code, factor = encode(unit, seed)
                 for k, i in enumerate(at):
                     keys[i], codes[i], factors[i] = found[k], code[k].tobytes(), float(factor[k])
@@ -114,42 +120,51 @@ def _compare(threshold: float, seed: int):
         unit = _unit(flat("vector").astype(np.float64))
         keys = flat("keys")[:, :table]
         codes = np.frombuffer(b"".join(rows["code"].to_pylist()), np.uint8).reshape(n, -1)
-        found, error = estimate(codes, rows["factor"].to_numpy(), unit, seed)
-        open_ = found + SIGMAS * error[:, None] >= threshold
-        open_ = np.triu(open_ | open_.T, 1)
-        if rows["i"][0] != rows["j"][0]:
-            open_ &= side[:, None] != side[None, :]
-        a, b = np.nonzero(open_)
-        links = np.zeros(len(node), np.int64)
-        left, right = [], []
-        for k in range(0, len(a), 1 << 16):
-            i, j = a[k : k + (1 << 16)], b[k : k + (1 << 16)]
-            new = ~(keys[i] == keys[j]).any(axis=1)  # not met in an earlier table
-            i, j = i[new], j[new]
-            near = np.einsum("ij,ij->i", unit[i], unit[j]) >= threshold
-            i, j = i[near], j[near]
-            np.add.at(links, i, copies[j])
-            np.add.at(links, j, copies[i])
-            left.append(i)
-            right.append(j)
-        if not left or not links.any():
-            return schema.empty_table()
-        i, j = np.concatenate(left), np.concatenate(right)
-        root = np.arange(len(node))
-        while True:
-            before = root.copy()
-            low = np.minimum(root[i], root[j])
-            np.minimum.at(root, i, low)
-            np.minimum.at(root, j, low)
-            root = root[root]
-            if (before == root).all():
-                break
-        some = np.flatnonzero(links)
-        return pa.table([node[some], links[some], node[root[some]]], schema=schema)
+        factor = rows["factor"].to_numpy()
+        one, two = rows["i"][0].as_py(), rows["j"][0].as_py()
+        first, second = np.flatnonzero(side == one), np.flatnonzero(side == two)
+        links, root = np.zeros(n, np.int64), np.arange(n)
+        for lo in range(0, len(first), CHUNK):
+            some = first[lo : lo + CHUNK]
+            open_ = _open(codes, factor, unit, some, second, threshold, seed)
+            if one == two:
+                open_ &= second[None, :] > some[:, None]
+            a, b = np.nonzero(open_)
+            for k in range(0, len(a), 1 << 16):
+                i, j = some[a[k : k + (1 << 16)]], second[b[k : k + (1 << 16)]]
+                new = ~(keys[i] == keys[j]).any(axis=1)  # not met in an earlier table
+                i, j = i[new], j[new]
+                near = np.einsum("ij,ij->i", unit[i], unit[j]) >= threshold
+                i, j = i[near], j[near]
+                np.add.at(links, i, copies[j])
+                np.add.at(links, j, copies[i])
+                _join(root, i, j)
+        found = np.flatnonzero(links)
+        return pa.table([node[found], links[found], node[root[found]]], schema=schema) if len(found) else schema.empty_table()
 
     return run
 
 
+def _open(codes, factor, unit, a: np.ndarray, b: np.ndarray, threshold: float, seed: int) -> np.ndarray:
+    """Pairs (a x b) that the estimates, each from either side's code, leave open."""
+    one, error = estimate(codes[a], factor[a], unit[b], seed)
+    open_ = one + SIGMAS * error[:, None] >= threshold
+    other, error = estimate(codes[b], factor[b], unit[a], seed)
+    return open_ | (other + SIGMAS * error[:, None] >= threshold).T
+
+
+def _join(root: np.ndarray, i: np.ndarray, j: np.ndarray) -> None:
+    """Join the components of linked rows; ``root`` leads every row to the smallest of its component."""
+    while True:
+        a, b = root[i], root[j]
+        apart = a != b
+        if not apart.any():
+            return
+        np.minimum.at(root, np.maximum(a, b)[apart], np.minimum(a, b)[apart])
+        while (root != root[root]).any():
+            root[:] = root[root]
+
+
 def duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", group_col: str = "label", threshold: float = THRESHOLD, miss: float = MISS, seed: int = 11) -> DataFrame:
     """One row per input row: vec_id, n_links, component_id, kept."""
     v = F.col("vector")
