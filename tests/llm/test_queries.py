@@ -31,3 +31,13 @@ def test_pipeline(spark, sf):
     assert corpus_pipeline.run(spark, sf).count() == before
     text = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
     assert all(r["text"] == text[r["doc_id"]] and r["n_tokens"] == len(r["token_ids"]) for r in rows)
+
+
+def test_the_log_of_op8_has_every_kind_of_event(spark, sf):
+    turns = spark.read.parquet(f"{sf}/conversations.parquet").select("conv_id", "turn", "role", "text")
+    log = queries.event_log(turns)
+    kinds = {r["event"]: r["n"] for r in log.groupBy("event").count().withColumnRenamed("count", "n").collect()}
+    assert set(kinds) == {"message", "delta", "edit", "regenerate"} and min(kinds.values()) > 5
+    # drafts that a regeneration took away are in the log and not in the result
+    assert log.where("message < 0").count() > 5
+    assert queries.chat.fold(log).count() == turns.count()

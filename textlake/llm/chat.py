@@ -24,6 +24,8 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from textlake.llm.common import written
+
 START, END = "<|im_start|>", "<|im_end|>\n"
 _TURN = re.compile(r"<\|im_start\|>(.*?)\n(.*?)<\|im_end\|>\n", re.DOTALL)
 _ESCAPED = re.compile(r"<\\(\\*)\|")
@@ -66,7 +68,7 @@ def fold(events: DataFrame) -> DataFrame:
     )
     after = F.filter("deltas", lambda d: F.col("base").isNull() | (d["seq"] > F.col("base.seq")))
     joined = F.concat(F.coalesce("base.text", F.lit("")), F.array_join(F.transform(F.array_sort(after), lambda d: d["text"]), ""))
-    final = final.withColumn("text", joined).withColumn("role", F.col("role.role")).drop("base", "deltas")
+    final = written(final.withColumn("text", joined).withColumn("role", F.col("role.role")).drop("base", "deltas"), "messages")
     # messages without an event since an earlier one was set again go; only conversations with such events are ordered
     resets = final.where("reset IS NOT NULL").select(F.col("conv_id").alias("again")).distinct()
     known = final.join(resets, final["conv_id"].eqNullSafe(F.col("again")), "left_semi")
