@@ -132,3 +132,18 @@ def test_odd_file_is_an_error(spark, tmp_path):
     (tmp_path / "odd.bin").write_bytes(b"abc")
     with pytest.raises(Exception, match="no whole number"):
         tokens.count_tokens(spark.createDataFrame([(str(tmp_path / "odd.bin"),)], "path string")).collect()
+
+
+@pytest.mark.parametrize("separator, dtype, why", [(50256, "|u1", "fit"), (220, "<u2", "token id"), (200, "|u1", "does not fit")])
+def test_ids_that_cannot_be_told_are_errors(spark, docs, tokenizer, separator, dtype, why):
+    with pytest.raises(Exception, match=why):
+        tokens.write_token_files(docs, tokenizer, separator=separator, dtype=dtype).collect()
+
+
+def test_long_pieces_leave_the_memory(pair, monkeypatch):
+    own, enc = pair
+    monkeypatch.setattr(bpe, "REMEMBERED_CHARS", 500)
+    for n in range(20):
+        text = f"{'q' * (100 + n)} short {'z' * 90}{n}"
+        assert ids(own, text) == enc.encode_ordinary(text)
+    assert sum(map(len, own.known)) <= 1000

@@ -26,6 +26,7 @@ from textlake.llm import bytetext as bt
 
 BREAK = "Ā"  # outside Latin-1, so no token crosses it
 REMEMBERED = 300_000  # pieces of the newer of two generations kept in a worker's memory; only speed depends on it
+REMEMBERED_CHARS = 16 << 20  # and their length together
 
 
 def last_merge(word: bytes, ranks: dict[bytes, int]) -> tuple[bytes, bytes] | None:
@@ -81,6 +82,7 @@ class Tokenizer:
         self.fits: dict[int, bool] = {}
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
+        self.chars = 0
         self.find = regex.compile(self.pattern).findall
         self.ready = True
         return self
@@ -147,8 +149,10 @@ class Tokenizer:
 
     def learn(self, pieces: list[str]) -> None:
         """Encode new pieces and remember them; one pass of the automaton over all of them."""
-        if len(self.known) + len(pieces) > REMEMBERED:
-            self.older, self.known = self.known, {}
+        chars = sum(map(len, pieces))
+        if len(self.known) + len(pieces) > REMEMBERED or self.chars + chars > REMEMBERED_CHARS:
+            self.older, self.known, self.chars = self.known, {}, 0
+        self.chars += chars
         known, older, packed, rest = self.known, self.older, self.packed, []
         for piece in pieces:
             if (ids := older.get(piece)) is not None:

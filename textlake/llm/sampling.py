@@ -32,8 +32,8 @@ from textlake.operators.merge import number_rows
 SHINGLE = 5
 REGISTERS = 64
 FAR = 20.0  # samples beyond FAR / weight are not drawn out
-PER_TASK = 16 << 20  # code points of text in a task
-HOT_KEYS = 10_000
+PER_TASK = 8 << 20  # code points of text in a task: its terms are counted in about 30 times as many bytes, and spill beyond the memory it has
+HOT_KEYS, LEAST_HOT = 10_000, 1000  # keys of a ten-thousandth of all rows, and of this many at least, shrink before they move
 _HEX = 4  # digits of a register
 
 
@@ -123,7 +123,7 @@ def _distinct(rows: DataFrame, light: DataFrame, n_rows: int, most_copies: int)
     Rows that repeat a key very often are aggregated before they move. Keys that hold a ten-thousandth of all rows
     are at most ten thousand, so their table can be broadcast.
     """
-    bar = max(1000, math.ceil(n_rows / HOT_KEYS))
+    bar = max(LEAST_HOT, math.ceil(n_rows / HOT_KEYS))
     if most_copies >= bar:
         hot = light.where(F.col("copies") >= bar).select("id", "h", F.lit(True).alias("hot"))
         rows = rows.join(F.broadcast(hot), ["id", "h"], "left")

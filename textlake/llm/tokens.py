@@ -7,7 +7,7 @@ stitches documents that cross block borders. Only narrow block rows are scanned
 
 Defined results: an empty document counts 0; tokens after a file's last separator are a document with ``ended`` false;
 an empty file has no documents; a missing file or one whose size is no multiple of the token size is an error; repeated
-paths are read once; a NULL text writes an empty document; other columns play no part; an empty table writes no file.
+paths are read once; a token id that the type cannot hold, or that is the separator, is an error; a NULL text writes an empty document; other columns play no part; an empty table writes no file.
 """
 
 from __future__ import annotations
@@ -38,6 +38,9 @@ def write_token_files(docs: DataFrame, tokenizer, id_col: str = "doc_id", text_c
     """
     folder = scratch_path(docs.sparkSession, "tokens")
     kind = docs.select(F.col(id_col).alias("doc_id")).schema["doc_id"].dataType.simpleString()
+    most = np.iinfo(dtype).max
+    if not 0 <= separator <= most:
+        raise ValueError(f"the separator {separator} does not fit {dtype}")
     end = np.array([separator], dtype).tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -51,7 +54,12 @@ def write_token_files(docs: DataFrame, tokenizer, id_col: str = "doc_id", text_c
                 system.create_dir(place.rpartition("/")[0], recursive=True)
                 out = system.open_output_stream(place)
             for text in batch.column("text"):
-                out.write(np.frombuffer(t.encode(text.as_py()), "<u4").astype(dtype).tobytes() + end)
+                ids = np.frombuffer(t.encode(text.as_py()), "<u4")
+                if len(ids) and ids.max() > most:
+                    raise ValueError(f"token id {ids.max()} does not fit {dtype}")
+                if (ids == separator).any():
+                    raise ValueError(f"the separator {separator} is a token id")
+                out.write(ids.astype(dtype).tobytes() + end)
             n = batch.num_rows
             yield pa.RecordBatch.from_arrays(
                 [pa.array([path] * n), pa.array(range(ordinal, ordinal + n), pa.int64()), batch.column("doc_id")], ["path", "ordinal", "doc_id"]
