@@ -26,7 +26,7 @@ def throttle_batch(spark, sf):
     return T.throttle(table(spark, sf, "events"), "user_id", "ts", "event_id", _LIMIT, _HOURS * 3600)
 
 
-def _run_stream(spark, source, path):
+def _run_stream(spark, source, path, start=T.throttle_stream, **more):
     """Run a stream of events to its end and return the decisions; the session's settings are put back."""
     setting = {
         "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -35,7 +35,7 @@ def _run_stream(spark, source, path):
     for k, v in setting.items():
         spark.conf.set(k, v)
     try:
-        decided = T.throttle_stream(source, "user_id", "ts", "event_id", _LIMIT, _HOURS * 3600)
+        decided = start(source, "user_id", "ts", "event_id", _LIMIT, _HOURS * 3600, **more)
         run = (
             decided.writeStream.format("parquet")
             .option("path", f"{path}/out")
@@ -87,6 +87,27 @@ def throttle_late(spark, sf):
     return decided
 
 
+@query(
+    _THROTTLE.replace("FROM events)", f"FROM events WHERE NOT ({_TIMELESS}))")
+    + f" UNION ALL SELECT user_id, event_id, NULL FROM events WHERE {_TIMELESS}"
+)
+def throttle_shuffled(spark, sf):
+    """Events in files by a hash of their id, so in no order of time: decided in the order of event time; some have none."""
+    path = scratch_path(spark, "shuffled")
+    events = table(spark, sf, "events").select("user_id", "event_id", F.expr(f"CASE WHEN {_TIMELESS} THEN NULL ELSE ts END").alias("ts"))
+    events.repartition(4, F.xxhash64("event_id")).write.option("maxRecordsPerFile", _ROWS).parquet(f"{path}/in")
+    # the newest event of all makes the others' buckets pass
+    span = events.agg(F.max("ts").alias("ts"), F.date_diff(F.max("ts"), F.min("ts")).alias("days")).first()
+    lateness = f"{(span['days'] or 0) + 1} days"
+    last = events.agg((F.max("ts") + F.make_dt_interval(F.lit(2 * (span["days"] or 0) + 9))).alias("ts"))
+    last = last.select(F.lit(None).cast(events.schema["user_id"].dataType).alias("user_id"), F.lit(-1).cast("long").alias("event_id"), "ts")
+    source = lambda: spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 2).parquet(f"{path}/in")
+    more = dict(start=T.throttle_event_time, lateness=lateness, bucket_s=86_400)
+    _run_stream(spark, source(), path, **more)
+    last.select(*events.columns).write.mode("append").parquet(f"{path}/in")
+    return _run_stream(spark, source(), path, **more).where("event_id <> -1")
+
+
 _DROP = schemas.ddl("title string, status string, price string")
 
 
@@ -125,12 +146,11 @@ def ingest_by_name(spark, sf):
     )
     for status, columns in (("O", ["price", "title", "status"]), ("F", ["extra", "status", "price", "title"]), ("P", ["title", "status"])):
         part = rows.where(F.col("status") == status).select(*columns)
-        part.coalesce(1).write.option("header", True).csv(f"{base}/drop/{status}")
+        # some files of a status, each of bounded rows
+        part.repartitionByRange(2, "title").write.option("header", True).option("maxRecordsPerFile", _ROWS).csv(f"{base}/drop/{status}")
     I.ingest_folder(spark, f"{base}/drop/*", _DROP, "title", f"{base}/table", f"{base}/bad", f"{base}/seen", status=f"{base}/status")
     merged = I.read_merged(spark, f"{base}/table", _DROP, "title").select(F.lit("row").alias("what"), "title", "status", "price")
     files = spark.read.schema(I.STATUS).option("recursiveFileLookup", True).parquet(f"{base}/status")
-    files = files.select(
-        F.lit("file").alias("what"), F.regexp_extract("file", "/drop/(.)/", 1).alias("title"), "status",
-        F.coalesce("reason", F.col("good_rows").cast("string")).alias("price"),
-    )
+    files = files.groupBy(F.regexp_extract("file", "/drop/(.)/", 1).alias("title"), "status", "reason").agg(F.sum("good_rows").alias("good_rows"))
+    files = files.select(F.lit("file").alias("what"), "title", "status", F.coalesce("reason", F.col("good_rows").cast("string")).alias("price"))
     return merged.unionByName(files)

@@ -145,3 +145,32 @@ def test_ingest(spark, tmp_path):
     assert got["1.csv"][0] == got["4.csv"][0] == got["5.csv"][0] == "imported"
     assert got["2.csv"] == ("bad", "no column external_links", 0, 0)
     assert len(got) == len(found) == 4
+
+
+def test_event_time_whatever_the_arrival(spark, tmp_path):
+    """Shuffled files, small Arrow batches, ties and rows without a time: the decisions are those of the batch."""
+    rows = events(11, 400, 0.6, span=1200)
+    rnd = random.Random(2)
+    rnd.shuffle(rows)
+    folder = tmp_path / "in"
+    for k in range(0, 400, 100):
+        spark.createDataFrame(rows[k : k + 100] + [("a", 1000 + k, None)], SCHEMA).coalesce(1).write.mode("append").parquet(str(folder))
+
+    def run():
+        source = spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", 1).parquet(str(folder))
+        out = T.throttle_event_time(source, "client", "ts", "event_id", 3, 60, "25 minutes", bucket_s=45)
+        query = out.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
+        query.awaitTermination()
+        return decided(spark.read.schema(out.schema).parquet(str(tmp_path / "out")))
+
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        early = run()
+        want = expected(rows, 3, 60)
+        assert {e: v for e, v in early.items() if v is None} == {1000 + k: None for k in range(0, 400, 100)}
+        assert len(early) < 404
+        spark.createDataFrame([("z", -1, START + timedelta(hours=3))], SCHEMA).coalesce(1).write.mode("append").parquet(str(folder))
+        late = run()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert {e: v for e, v in late.items() if v is not None} == want

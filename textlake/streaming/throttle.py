@@ -227,6 +227,87 @@ class _SlidingLog(StatefulProcessor):
         pass
 
 
+class _EventTimeLog(StatefulProcessor):
+    """Events of one key wait in state, in blocks by bucket of time, until the watermark has passed their bucket.
+
+    Blocks are written as they come and never rewritten; a bucket is read, ordered and decided once.
+    """
+
+    def __init__(self, key: str, event_id: str, id_type: str, n: int, window: int, bucket: int):
+        self.key, self.event_id, self.id_type, self.n, self.window, self.bucket = key, event_id, id_type, n, window, bucket
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.log = handle.getListState("log", "t bigint")
+        self.waiting = handle.getMapState("waiting", "bucket bigint, block bigint", f"times array<bigint>, ids array<{self.id_type}>")
+        self.blocks = handle.getValueState("blocks", "n bigint")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        block = self.blocks.get()[0] if self.blocks.exists() else 0
+        for batch in rows:  # one Arrow batch at a time
+            times = batch["event_micros"].to_numpy(np.int64)
+            buckets = times // self.bucket
+            ids = batch[self.event_id].astype(object).where(batch[self.event_id].notna(), None)
+            for b in np.unique(buckets).tolist():
+                at = np.flatnonzero(buckets == b)
+                self.waiting.updateValue((b, block), (times[at].tolist(), [v.item() if hasattr(v, "item") else v for v in ids.iloc[at]]))
+                block += 1
+                self.handle.registerTimer((b + 1) * self.bucket // 1000 + 1)
+        self.blocks.update((block,))
+        return iter([])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        passed = timerValues.getCurrentWatermarkInMs() * 1000
+        ready: dict[int, list[int]] = {}
+        for b, block in list(self.waiting.keys()):
+            if (b + 1) * self.bucket <= passed:
+                ready.setdefault(b, []).append(block)
+        state = deque(t for (t,) in self.log.get())
+        for b in sorted(ready):
+            rows = []
+            for block in ready[b]:
+                times, ids = self.waiting.getValue((b, block))
+                rows += zip(times, ids)
+                self.waiting.removeKey((b, block))
+            rows.sort(key=lambda r: (r[0], r[1] is not None, r[1]))
+            ok = admit(np.array([t for t, _ in rows], np.int64), state, self.n, self.window)
+            ids = pd.Series([i for _, i in rows], dtype=object)
+            yield pd.DataFrame({self.key: pd.Series([key[0]] * len(rows), dtype=object), self.event_id: ids, "admitted": ok})
+        self.log.put([(t,) for t in state])
+
+    def close(self) -> None:
+        pass
+
+
+def throttle_event_time(
+    stream: DataFrame,
+    key: str,
+    ts: str,
+    event_id: str,
+    n: int = LIMIT,
+    window_s: float = WINDOW_S,
+    lateness: str = "10 minutes",
+    bucket_s: float | None = None,
+) -> DataFrame:
+    """The decisions of ``throttle`` on a stream, in the order of event time whatever the order of arrival.
+
+    Events wait until the watermark, ``lateness`` behind the newest event, has passed the bucket of ``bucket_s`` seconds
+    (``window_s`` by default) that they lie in; then the bucket is decided as a whole, so a task holds one Arrow batch, or one
+    bucket of one key, in memory. Events that come later than ``lateness`` are dropped, and the last ones of a stream
+    wait for a newer event. Events without a time get NULL at once. Needs the RocksDB state store.
+    """
+    window, bucket = int(window_s * 1_000_000), max(1, int((bucket_s or window_s) * 1_000_000))
+    at = F.col(ts).cast("timestamp")
+    timed = stream.where(at.isNotNull()).select(key, event_id, at.alias("event_time"), F.unix_micros(at).alias("event_micros"))
+    out = T.StructType([stream.schema[key], stream.schema[event_id], T.StructField("admitted", T.BooleanType())])
+    processor = _EventTimeLog(key, event_id, stream.schema[event_id].dataType.simpleString(), n, window, bucket)
+    decided = timed.withWatermark("event_time", lateness).groupBy(key).transformWithStateInPandas(
+        statefulProcessor=processor, outputStructType=out, outputMode="append", timeMode="eventTime"
+    )
+    timeless = stream.where(at.isNull()).select(key, event_id, F.lit(None).cast("boolean").alias("admitted"))
+    return decided.unionByName(timeless)
+
+
 def throttle_stream(
     stream: DataFrame,
     key: str,
