@@ -53,6 +53,25 @@ def not_in_candidates(spark, sf):
     return rest.select(strip_prefix(pad_key("o_orderkey")).alias("order_id"), "o_orderstatus")
 
 
+@query("""
+SELECT doc_id, md5(text) AS digest FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE quality = 1)
+""")
+def not_covered_texts(spark, sf):
+    """Texts without a good label: those that are surely none of the labelled ones are not shuffled."""
+    good = table(spark, sf, "labels").where("quality = 1")
+    rest = R.not_covered(table(spark, sf, "documents").select("doc_id", "text"), good, "doc_id", prefilter=True)
+    return rest.select("doc_id", F.md5("text").alias("digest"))
+
+
+@query("""
+SELECT conv_id, turn, least(greatest(coalesce(CASE WHEN turn % 3 > 0 THEN turn * 60 - 100 END, 20), 1), 200)::INTEGER AS top_k FROM conversations
+""")
+def resolved_k(spark, sf):
+    """Numbers of results asked for: missing, too small, too large and allowed ones."""
+    asked = F.when(F.col("turn") % 3 > 0, F.col("turn") * 60 - 100).cast("int")
+    return table(spark, sf, "conversations").select("conv_id", "turn", A.resolve_k(asked).alias("top_k"))
+
+
 @query("""
 SELECT c_custkey, s_suppkey FROM customer JOIN supplier
   ON ('tt' || lpad(CAST(c_custkey AS VARCHAR), 7, '0') = 'tt' || lpad(CAST(s_suppkey AS VARCHAR), 7, '0'))

@@ -112,6 +112,26 @@ def merge_audit(spark, sf):
     return merged.select("id", "o_orderkey", *_AUDIT_COLS, F.year("created_at").alias("created"), F.year("updated_at").alias("updated"))
 
 
+@query(_CTE + """,
+added AS (SELECT o_orderkey, o_orderkey % 2 AS writer FROM firsts WHERE o_orderkey NOT IN (SELECT o_orderkey FROM target)),
+top AS (SELECT max(o_orderkey) + 1 AS last FROM target)
+SELECT writer, o_orderkey, last + row_number() OVER (ORDER BY writer, o_orderkey) AS id FROM added, top
+UNION ALL SELECT 2, o_orderkey, last + row_number() OVER (ORDER BY o_orderkey) FROM added, top WHERE writer = 0
+""")
+def merge_two_writers(spark, sf):
+    """Two change sets merged into the same state of a target, and the first one again: ids come from reserved ranges."""
+    target, incoming = _tables(spark, sf)
+    stamp = F.lit("2023-01-01 00:00:00").cast("timestamp")
+    target = target.select((F.col("o_orderkey") + 1).alias("id"), "o_orderkey", *_AUDIT_COLS, stamp.alias("created_at"), stamp.alias("updated_at"))
+    ledger, out = scratch_path(spark, "ledger"), []
+    for writer, part in ((0, 0), (1, 1), (2, 0)):
+        mine = incoming.where(F.col("o_orderkey") % 2 == part)
+        merged, _ = M.merge_audited(target, mine, "o_orderkey", _AUDIT_COLS, "2024-06-01 00:00:00", order_by="seq", ledger=ledger, owner=f"set {part}")
+        new = merged.where(F.year("created_at") == 2024)
+        out.append(new.select(F.lit(writer).alias("writer"), "o_orderkey", "id"))
+    return out[0].unionByName(out[1]).unionByName(out[2])
+
+
 @query(_CTE + """
 SELECT m AS merge, (SELECT count(*) FROM firsts WHERE o_orderkey NOT IN (SELECT o_orderkey FROM target)) AS inserted,
        (SELECT count(*) FROM firsts WHERE o_orderkey IN (SELECT o_orderkey FROM target)) AS matched

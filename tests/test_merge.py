@@ -95,3 +95,24 @@ def test_rows_without_a_key_are_rejected(spark):
         again, more = merge(merged, i, "k")
         assert {tuple(r) for r in merged.collect()} == {tuple(r) for r in again.collect()} == want
         assert tuple(counts.first()) == (1, 1, 2) and tuple(more.first()) == (0, 2, 2)
+
+
+def test_writers_share_no_ids(spark, tmp_path):
+    schema = "id long, k string, v int, created_at date, updated_at date"
+    target = spark.createDataFrame([(7, "a", 0, None, None)], schema)
+    rows = lambda *keys: spark.createDataFrame([(k, 1) for k in keys], "k string, v int")
+    ledger = str(tmp_path / "ledger")
+
+    def merged(owner, *keys):
+        out, counts = M.merge_audited(target, rows(*keys), "k", ["v"], "2024-01-01", ledger=ledger, owner=owner)
+        assert counts.first()["inserted"] == sum(k != "a" for k in keys)
+        return {r.k: r.id for r in out.collect()}
+
+    one, two = merged("one", "a", "c", "b"), merged("two", "b", "d", "e")
+    assert one == {"a": 7, "b": 8, "c": 9} and two == {"a": 7, "b": 10, "d": 11, "e": 12}
+    assert merged("one", "a", "c", "b") == one  # a retry
+    assert merged("three", "a") == {"a": 7} and merged("four", "z") == {"a": 7, "z": 13}
+    with pytest.raises(ValueError):
+        M.reserve_ids(spark, ledger, "four", 5)
+    starts = [M.reserve_ids(spark, str(tmp_path / "busy"), f"w{i % 6}", 10) for i in range(12)]
+    assert starts == [*range(1, 61, 10)] * 2

@@ -1,6 +1,7 @@
 import itertools
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from textlake.operators import aggregates as A, quality as Q, relational as R
@@ -67,3 +68,37 @@ def test_quality(spark):
     assert [tuple(r) for r in Q.null_violations(df, ["k", "s"]).collect()] == [("s", 1)]
     bad = Q.bound_violations(df, {"short": F.length("s") < 2, "k1": F.col("k") == 1})
     assert sorted((r.k, r.s or "", r.rule) for r in bad.collect()) == [(1, "", "short"), (2, "yy", "k1"), (2, "yy", "short")]
+
+
+@pytest.mark.parametrize("kind", ["long", "string"])
+def test_not_covered_with_a_bitmap(spark, kind, monkeypatch):
+    """The same rows with and without, also with a bitmap so small that most keys may be in it; few rows are shuffled."""
+    wide = spark.range(3000).select(F.when(F.col("id") % 50 != 0, F.col("id") % 700).cast(kind).alias("k"), "id", F.lit("x" * 50).alias("text"))
+    other = spark.range(0, 140, 2).select(F.col("id").cast("int").cast("string" if kind == "string" else "int").alias("o")).unionByName(spark.range(1).select(F.lit(None).alias("o")))
+    want = sorted(r.id for r in R.not_covered(wide, other, "k", "o").collect())
+    for pages in (R.BITMAP_BITS, 64):
+        monkeypatch.setattr(R, "BITMAP_BITS", pages)
+        got = R.not_covered(wide, other, "k", "o", prefilter=True)
+        assert got.columns == wide.columns and sorted(r.id for r in got.collect()) == want
+    monkeypatch.setattr(R, "BITMAP_BITS", 1 << 27)
+    bits = 1 << 15
+    marked = R.maybe_among(wide, "k", R.key_bitmap(other.where("o IS NOT NULL").select(F.col("o").cast(kind).alias("k")), "k", bits), bits)
+    assert marked.where("_maybe").count() < 400 and marked.where("_maybe AND k IS NULL").count() == 0
+    none = other.where("o IS NULL")
+    assert R.not_covered(wide, none, "k", "o", prefilter=True).count() == 3000
+
+
+def test_checked_writes_and_observed_counts(spark, tmp_path):
+    df = spark.createDataFrame([(1, "a", 3), (2, None, 5), (2, "c", None)], "k int, t string, v int")
+    table, report = Q.write_checked(df, str(tmp_path / "t"), ["k", "t"], {"small": F.col("v") < 4}, unique="k")
+    assert table.count() == 3
+    assert {(r["check"], r["column"]): r["n"] for r in report.collect()} == {
+        ("rows", None): 3, ("null", "k"): 0, ("null", "t"): 1, ("rule", "small"): 2, ("unique", "k"): 1,
+    }
+    for none in (df.where("v > 9"), df.limit(0), spark.createDataFrame([], df.schema)):
+        with pytest.raises(Q.QualityError, match="nothing there"):
+            Q.write_checked(none, str(tmp_path / "none"), ["k"], message="nothing there")
+        assert not (tmp_path / "none").exists()
+    seen, get = Q.observed(df, {"n": F.count(F.lit(1)), "v": F.sum("v")})
+    seen.write.format("noop").mode("overwrite").save()
+    assert get() == {"n": 3, "v": 8}

@@ -9,7 +9,11 @@ are left, semi and anti joins, which AQE can split, unlike a full outer join.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+import json
+import time
+
+from py4j.protocol import Py4JJavaError
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from textlake.operators.quality import observed, require_unique
 from textlake.session import checkpointed
@@ -119,6 +123,51 @@ def number_rows(df: DataFrame, key: str, start: Column | int = 0, name: str = "i
     return df.join(numbered, key)
 
 
+def reserve_ids(spark: SparkSession, ledger: str, owner: str, n: int, floor: int = 0) -> int:
+    """The first of ``n`` ids, all above ``floor``, that belong to ``owner`` alone.
+
+    ``ledger`` is a folder of reservations, one small file each, named by its place in their order. A reservation is made by
+    creating the next file, which fails if another writer has just done so; then the one after is tried. The folder has to
+    be in a store where creating a file that exists fails for sure (a local disk only does for one driver). An owner that
+    comes again, after a failure, gets the ids it has. Ids reserved and not used leave a gap.
+    """
+    jvm = spark.sparkContext._jvm
+    folder = jvm.org.apache.hadoop.fs.Path(ledger)
+    fs = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    fs.mkdirs(folder)
+
+    def entry(place: int) -> dict | None:
+        path = jvm.org.apache.hadoop.fs.Path(folder, f"{place:020d}")
+        if not fs.exists(path):
+            return None
+        for _ in range(50):  # another writer may not have closed it yet
+            text = jvm.org.apache.commons.io.IOUtils.toString(file := fs.open(path), "UTF-8")
+            file.close()
+            if text:
+                return json.loads(text)
+            time.sleep(0.1)
+        raise RuntimeError(f"reservation {path.toString()} was never finished")
+
+    place, last = 0, floor
+    while True:
+        while (held := entry(place)) is not None:
+            if held["owner"] == owner:
+                if held["n"] < n:
+                    raise ValueError(f"{owner} has reserved {held['n']} ids and asks for {n}")
+                return held["start"]
+            last = max(last, held["start"] + held["n"] - 1)
+            place += 1
+        try:
+            out = fs.create(jvm.org.apache.hadoop.fs.Path(folder, f"{place:020d}"), False)
+        except Py4JJavaError as e:
+            if "exist" not in str(e.java_exception).lower():
+                raise
+            continue
+        out.write(json.dumps({"owner": owner, "start": last + 1, "n": n}).encode())
+        out.close()
+        return last + 1
+
+
 def merge_audited(
     target: DataFrame,
     incoming: DataFrame,
@@ -129,16 +178,24 @@ def merge_audited(
     created_col: str = "created_at",
     updated_col: str = "updated_at",
     order_by=None,
+    ledger: str | None = None,
+    owner: str | None = None,
 ):
     """Upsert with a surrogate id and audit times.
 
     A known key keeps its id and creation time and gets ``cols`` and ``now``; a new key gets the next
-    ids in key order.
+    ids in key order. Writers whose merges into one target overlap name a common ``ledger`` and each an ``owner`` of its
+    own: their ids come from ranges reserved there before anything is written, so they never share one.
     """
     stamp = F.lit(now).cast(target.schema[updated_col].dataType)
     staged, counts = _staged(target, incoming.select(key, *cols, *_names(order_by, key, cols)), key, order_by, "first", [key, *cols])
     updated = _updated(target, staged.where(_HIT), key, cols, {updated_col: stamp})
     last = target.agg(F.coalesce(F.max(id_col), F.lit(0))).first()[0]
+    if ledger is not None:
+        if not owner:
+            raise ValueError("a ledger needs the name of an owner")
+        inserted = counts.first()["inserted"]
+        last = reserve_ids(target.sparkSession, ledger, owner, inserted, int(last)) - 1 if inserted else last
     added = number_rows(staged.where(~F.col(_HIT)).drop(_HIT), key, int(last), id_col)
     added = added.withColumns({created_col: stamp, updated_col: stamp}).select(
         *[F.col(c).cast(target.schema[c].dataType).alias(c) for c in target.columns]

@@ -9,14 +9,44 @@ from pyspark.sql import Column, DataFrame, functions as F
 from textlake.sinks import new_version
 
 
-def not_covered(df: DataFrame, other: DataFrame, key: str, other_key: str | None = None) -> DataFrame:
+BITMAP_BITS = 1 << 27  # at most, of a key bitmap: 16 MB
+_PAGE = 32_768  # bits of one bitmap row, by Spark's bitmap functions
+
+
+def key_bitmap(keys: DataFrame, key: str, bits: int) -> DataFrame:
+    """The hashed keys as a bitmap of ``bits`` bits, in rows ``(page, bitmap)`` of 4 KB: a Bloom filter of one hash."""
+    place = F.pmod(F.xxhash64(key), F.lit(bits)) + 1
+    return keys.groupBy(F.bitmap_bucket_number(place).alias("page")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("bitmap"))
+
+
+def maybe_among(df: DataFrame, key: str, bitmap: DataFrame, bits: int, name: str = "_maybe") -> DataFrame:
+    """Add ``name``: false where the key is surely none of the bitmap's. The bitmap is broadcast, ``bits`` / 8 bytes at most."""
+    place = F.pmod(F.xxhash64(key), F.lit(bits))
+    probed = df.withColumn("page", F.floor(place / _PAGE).cast("bigint") + 1).join(F.broadcast(bitmap), "page", "left")
+    at = (place % _PAGE).cast("int")
+    byte = F.conv(F.hex(F.substring(F.col("bitmap"), F.floor(at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    bit = F.call_function("shiftright", byte, (at % 8).cast("int")).bitwiseAND(F.lit(1)) == 1
+    return probed.withColumn(name, F.coalesce(bit, F.lit(False)) & F.col(key).isNotNull()).drop("page", "bitmap")
+
+
+def not_covered(df: DataFrame, other: DataFrame, key: str, other_key: str | None = None, prefilter: bool = False) -> DataFrame:
     """Rows of ``df`` whose key is absent from ``other``; a NULL in ``other`` covers nothing.
 
     The keys are made distinct, which needs the same shuffle as the join and keeps a frequent key of
-    ``other`` from filling one task.
+    ``other`` from filling one task. With ``prefilter``, for a ``df`` of wide rows most of which are not covered, a bitmap of
+    the keys (16 bits each, ``BITMAP_BITS`` at most) lets rows that are surely absent pass in their scan; only the
+    others are shuffled. That scans ``df`` twice, and the keys are written first.
     """
     keys = other.select(F.col(other_key or key).alias(key)).where(F.col(key).isNotNull()).distinct()
-    return df.join(keys, key, "left_anti")
+    if not prefilter:
+        return df.join(keys, key, "left_anti")
+    spark, kind = df.sparkSession, df.schema[key].dataType
+    keys = keys.select(F.col(key).cast(kind).alias(key))  # one type, one hash
+    keys = spark.read.schema(keys.schema).parquet(new_version(keys, "keys"))
+    bits = min(BITMAP_BITS, max(_PAGE, 1 << (16 * keys.count()).bit_length()))
+    marked = maybe_among(df, key, key_bitmap(keys, key, bits), bits)
+    surely = marked.where(~F.col("_maybe")).drop("_maybe")
+    return surely.unionByName(marked.where("_maybe").drop("_maybe").join(keys, key, "left_anti")).select(*df.columns)
 
 
 def either_join(
