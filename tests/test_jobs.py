@@ -1,6 +1,8 @@
 import gzip
 from decimal import Decimal
 
+from pyspark.sql import functions as F
+
 from textlake import schemas, sinks
 from textlake.operators.aggregates import catalog_counts
 from textlake.plans import jobs
@@ -149,3 +151,21 @@ def test_files(spark, tmp_path):
     assert sinks.materialize(df.limit(1), str(tmp_path / "m")).count() == 1 and again is not None
     mapped = S.scan_mapped(df.selectExpr("i", "repeat(t, 3) t", "l"), "i", "t", genre_col="l").first()
     assert (mapped.title_id, mapped.genres, mapped.year) == (1, ["a,b", 'c"d'], None)
+
+
+def test_export_log_with_and_without_rows(spark, tmp_path, monkeypatch):
+    """The registered query, when no movie and when every movie passes the thresholds."""
+    from suite import runs
+
+    plain = runs.movies
+    sf = "/root/testdata/sf0.001"
+    none = lambda spark, sf: plain(spark, sf).withColumn("ratingCount", F.lit(9_999))
+    monkeypatch.setattr(runs, "movies", none)
+    assert runs.export_log(spark, sf).collect() == []
+    all_ = lambda spark, sf: plain(spark, sf).withColumn("ratingCount", F.lit(20_000)).withColumn("IMDb_rating", F.lit(8.0))
+    monkeypatch.setattr(runs, "movies", all_)
+    rows = runs.export_log(spark, sf).collect()
+    n = plain(spark, sf).count()
+    log = {r.id: (r.created, r.updated) for r in rows if r.what == "log"}
+    assert log == {2024: (min(n, 100), 0), 2025: (min(n, 250) - min(n, 100), min(n, 100))}
+    assert len({r.id for r in rows if r.what != "log"}) == min(n, 250)
