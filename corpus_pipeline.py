@@ -1,4 +1,10 @@
-"""From raw documents to a training mixture: quality, exact copies, near copies, source mixing, token ids."""
+"""From raw documents to a training mixture: quality, exact copies, near copies, source mixing, token ids.
+
+Defined results: a NULL text is empty, and empty texts are copies of each other; a NULL source is a source of its own; NULL
+ids are rows like others (in a group the smallest id stays, NULL last); of rows that repeat id and text one stays before
+mixing, which may repeat it; an empty table gives an empty table with all columns. Further columns are kept whatever their
+names, except that ``token_ids`` and ``n_tokens`` hold the last stage's results.
+"""
 
 from __future__ import annotations
 
@@ -36,7 +42,7 @@ def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("quality", good), ("exact_dedup", distinct), ("near_dedup", unalike), ("mixing", mixed), ("bpe", encoded)]
 
-#: A trained classifier and sketches are beyond SQL; tests/llm compares the stages with brute force.
+#: A trained classifier and sketches are beyond SQL; tests/llm compares each stage's operator with brute force.
 ORACLE_SQL = None
 
 
