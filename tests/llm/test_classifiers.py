@@ -96,16 +96,83 @@ def test_forward_backward_against_enumeration():
     assert size.sum() == sum(len(x) for t in texts.to_pylist() for x in t.split("\n") if x)
 
 
-def test_pairs_are_learned():
-    """Two terms that count only together: no sum of single weights separates them."""
-    rng = np.random.default_rng(1)
-    y, doc, bucket = [], [], []
-    for i in range(800):
+def pairs_only(n, noise, seed=1):
+    """Texts of one word of each of two pairs among neutral ones; which words meet decides, no word by itself does."""
+    rng = np.random.default_rng(seed)
+    rows = []
+    for i in range(n):
         a, b = rng.integers(0, 2, 2)
-        y.append(float(a == b))
-        for term, on in ((11, a), (22, b)):
-            doc.append(i)
-            bucket.append(term if on else term + 1)
-    y, doc, bucket = np.array(y), np.array(doc), np.array(bucket)
-    machine = toxicity.Machine(np.unique(bucket)).fit(doc, bucket, y, rounds=800)
-    assert ((machine.probabilities(doc, bucket, len(y)) >= 0.5) == (y > 0)).mean() > 0.95
+        words = [("alder", "birch")[a], ("copper", "silver")[b], *(f"w{k}" for k in rng.integers(0, 300, noise))]
+        rows.append((i, " ".join(rng.permutation(words)), int(a == b)))
+    return rows
+
+
+@pytest.mark.parametrize("noise", [0, 12])
+def test_pairs_are_learned(spark, noise):
+    rows = spark.createDataFrame(pairs_only(1500, noise), "doc_id long, text string, toxic int")
+    got = toxicity.classify(rows.select("doc_id", "text"), rows.select("doc_id", "toxic")).where("held_out").join(rows, "doc_id").collect()
+    assert len(got) > 200 and sum(r["predicted"] == r["toxic"] for r in got) > 0.9 * len(got)
+    # without factors the same words tell nothing
+    machine = toxicity.fit(rows, rows.select("doc_id", "toxic"), ~training.held_out("doc_id", 5, 0))
+    machine.factor[:] = 0
+    doc, bucket = toxicity.terms(pa.array([r["text"] for r in got]))
+    plain = machine.probabilities(doc, bucket, len(got)) >= 0.5
+    assert sum(p == r["toxic"] for p, r in zip(plain, got)) < 0.65 * len(got)
+
+
+def sample_of(rng, n_docs, used):
+    doc, bucket = zip(*[(d, b) for d in range(n_docs) for b in sorted(rng.choice(used, rng.integers(0, 6), replace=False))])
+    return np.array(doc), np.array(bucket)
+
+
+def explicit(machine, buckets):
+    """The machine's value by an explicit sum over pairs."""
+    at = [machine.place[b] for b in buckets if machine.place[b] >= 0]
+    pairs = sum(float(machine.factor[i].astype(float) @ machine.factor[j].astype(float)) for i, j in itertools.combinations(at, 2))
+    return float(machine.bias[0]) + sum(float(machine.weight[i]) for i in at) + pairs
+
+
+def machine_of(rng, used):
+    machine = toxicity.Machine(used, scale=0.7)
+    machine.weight[:] = rng.normal(size=len(used))
+    machine.bias[:] = 0.3
+    return machine
+
+
+def test_pair_sum_against_double_sum():
+    rng = np.random.default_rng(5)
+    used = np.array([3, 17, 40, 99, 512, 7000, 200_000])
+    machine = machine_of(rng, used[:-1])  # the last is not in use
+    doc, bucket = sample_of(rng, 50, used)
+    value = machine.sums(*machine.rows(doc, bucket, 50))[1]
+    assert value == pytest.approx([explicit(machine, bucket[doc == d]) for d in range(50)], abs=1e-4)
+    again = np.concatenate([doc, doc])  # repeated terms, in any order, count once
+    p = machine.probabilities(again[::-1], np.concatenate([bucket, bucket])[::-1], 50)
+    assert p == pytest.approx(1 / (1 + np.exp(-value.astype(float))))
+
+
+def test_gradient_against_differences():
+    rng = np.random.default_rng(6)
+    used = np.array([3, 17, 40, 99, 512])
+    machine = machine_of(rng, used)
+    doc, bucket = sample_of(rng, 30, used)
+    row, count = machine.rows(doc, bucket, 30)
+    off = rng.normal(size=30).astype(np.float32)
+    met, by_weight, by_factor = machine.pulls(off, machine.sums(row, count)[0], doc, row, np.argsort(row, kind="stable"))
+    assert list(met) == sorted(set(row))
+    total = lambda: sum(float(o) * explicit(machine, bucket[doc == d]) for d, o in enumerate(off))
+    for k, i in enumerate(met):
+        for values, at, slope in [(machine.weight, (i,), by_weight[k]), *[(machine.factor, (i, f), by_factor[k, f]) for f in range(toxicity.FACTORS)]]:
+            kept = values[at]
+            values[at] = kept + 0.25
+            above = total()
+            values[at] = kept - 0.25
+            assert (above - total()) / 0.5 == pytest.approx(slope, abs=1e-3)  # the value is linear in each of them
+            values[at] = kept
+
+
+def test_bounded_sample(spark):
+    rows = spark.createDataFrame(pairs_only(300, 12), "doc_id long, text string, toxic int")
+    some = toxicity.fit(rows, rows.select("doc_id", "toxic"), F.lit(True), entries=2000)
+    assert some is not None
+    assert toxicity.fit(rows, rows.select("doc_id", "toxic"), F.lit(True), entries=1) is None  # one document, one label
