@@ -7,7 +7,7 @@ from collections import defaultdict
 import pytest
 from pyspark.sql import functions as F
 
-from textlake.llm import exact, mixing
+from textlake.llm import common, exact, mixing
 
 SCHEMA = "doc_id long, text string, source string, row string, size string"
 LONG = "abc. " * 30_000
@@ -67,6 +67,28 @@ def test_exact_drop_keeps_columns(docs):
     assert sorted(((r["doc_id"], hashlib.sha256(plain(r["text"]).encode()).hexdigest()) for r in got.collect()), key=str) == sorted(want, key=str)
 
 
+def beyond(df, small, on, how="left", most_rows=0):
+    return common.join_small(df, small, on, how, 0)
+
+
+def test_large_key_tables(docs, monkeypatch):
+    monkeypatch.setattr(exact, "join_small", beyond)
+    test_exact_classes(docs, 64)
+    test_exact_drop_keeps_columns(docs)
+
+
+@pytest.mark.parametrize("how", ["inner", "left_semi", "left"])
+def test_join_small_beyond_its_limit(spark, how):
+    df = spark.range(2000).select(F.when(F.col("id") % 7 > 0, F.col("id").cast("int")).alias("a"), (F.col("id") % 3).alias("b"), F.lit("text").alias("text"))
+    small = spark.range(0, 2000, 5).select(F.col("id").alias("a"), (F.col("id") % 2).alias("b"), F.struct("id").alias("more"))
+    want, got = df.join(small, ["a", "b"], how), beyond(df, small, ["a", "b"], how)
+    assert got.columns == want.columns
+    assert sorted(got.collect(), key=str) == sorted(want.collect(), key=str)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "bitmap" in plan
+    assert beyond(df, small.limit(0), ["a", "b"], how).count() == df.join(small.limit(0), ["a", "b"], how).count()
+
+
 def test_chunks_cover_the_text(spark):
     texts = [LONG, "x" * 10_000, "\n".join("αβγ δε" for _ in range(900)), "", "😀" * 700]
     df = spark.createDataFrame([(t,) for t in texts], "t string").select("t", exact.chunks(exact.normalised(F.col("t"))).alias("c"))

@@ -8,7 +8,7 @@ import numpy as np
 import pandas as pd
 import pytest
 
-from textlake.llm import components, embed, near
+from textlake.llm import common, components, embed, near
 
 
 def union(n_links, nodes):
@@ -89,6 +89,11 @@ def test_blocks_of_a_large_bucket(spark, monkeypatch):
     test_near_groups(spark)
 
 
+def test_large_key_tables(spark, monkeypatch):
+    monkeypatch.setattr(near, "join_small", lambda df, small, on, how="left", most_rows=0: common.join_small(df, small, on, how, 0))
+    test_near_groups(spark)
+
+
 def test_similarity_is_probability_jaccard():
     rng = random.Random(2)
     for _ in range(50):

@@ -6,6 +6,7 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from textlake.operators.relational import BITMAP_BITS, key_bitmap, maybe_among
 from textlake.session import scratch_path
 
 BLANK = r"[\x20\x09-\x0D]"
@@ -29,13 +30,23 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 
 def join_small(df: DataFrame, small: DataFrame, on: list[str], how: str = "left", most_rows: int = 100_000) -> DataFrame:
-    """Equi-join with a table that is usually small: counted first and broadcast up to ``most_rows``, else shuffled.
+    """Equi-join (inner, left_semi or left) with a table that is usually small: counted first and broadcast up to ``most_rows``.
 
-    ``small`` should be cheap to read twice (written to a table). The shuffled form is an ordinary sort-merge join,
-    which adaptive execution splits at hot keys. Both forms give the same rows.
+    A larger one is joined by sort-merge, which adaptive execution splits at hot keys. Before that a bitmap of its keys
+    (16 bits each, 16 MB at most) is looked up in the scan of ``df``: rows whose key is surely absent are not shuffled;
+    a left join passes them on from a second scan. ``small`` should be cheap to read several times (written to a
+    table) and of narrow rows: keys, digests, ids. All forms give the same rows.
     """
-    n = small.limit(most_rows + 1).count()
-    return df.join(F.broadcast(small) if n <= most_rows else small.hint("merge"), on, how)
+    if small.limit(most_rows + 1).count() <= most_rows:
+        return df.join(F.broadcast(small), on, how)
+    hashed, maybe = fresh("hash"), fresh("maybe")
+    keys = small.select(F.xxhash64(*[F.col(c).cast(df.schema[c].dataType) for c in on]).alias(hashed))
+    bits = min(BITMAP_BITS, 1 << max(15, (16 * small.count()).bit_length()))
+    marked = maybe_among(df.withColumn(hashed, F.xxhash64(*on)), hashed, key_bitmap(keys, hashed, bits), bits, maybe).drop(hashed)
+    met = marked.where(maybe).drop(maybe).join(small.hint("merge"), on, how)
+    if how != "left":
+        return met
+    return met.unionByName(marked.where(~F.col(maybe)).drop(maybe), allowMissingColumns=True)
 
 
 def share(*values: Column) -> Column:
