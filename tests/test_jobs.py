@@ -72,6 +72,27 @@ def test_build_corpus_dbt(spark):
     assert got == {("1", "a'b,c", "p", 90, ("NA",)), ("2", "s2", None, -1, ("x", "y"))}
 
 
+def below(plan, operator):
+    """The lines of a plan under each node whose line holds ``operator``."""
+    lines = plan.splitlines()
+    depth = [len(line) - len(line.lstrip(" :+-")) for line in lines]
+    for i, line in enumerate(lines):
+        if operator in line:
+            yield next((lines[i + 1 : j] for j in range(i + 1, len(lines)) if depth[j] <= depth[i]), lines[i + 1 :])
+
+
+def test_covered_movies_are_left_out_before_texts_join(spark):
+    """No anti-join, and so no shuffle for it, carries a cleaned text once per movie that it matches."""
+    m = movies(spark, {"imdb_title_id": "tt0000001", "title": "One"}, {"imdb_title_id": "tt0000002", "title": "One"})
+    a = spark.createDataFrame([("tt0000001", "s1", LONG)], schemas.PLOTS_A)
+    b = spark.createDataFrame([("One", "s", f"{LONG} b", "[[Category:2000 films]]")], schemas.PLOTS_B)
+    for variant, left in (("standard", [("1", LONG), ("2", f"{LONG} b")]), ("dbt", [("1", f"{LONG} b"), ("2", f"{LONG} b")])):
+        corpus = jobs.build_corpus(m, a, b, variant)
+        assert sorted((r.source[-1], r.plot) for r in corpus.collect()) == left
+        anti = list(below(corpus._jdf.queryExecution().optimizedPlan().toString(), "LeftAnti"))
+        assert anti and not any("Generate" in line for lines in anti for line in lines)  # the cleaning is a generator
+
+
 def gz(path, header, *rows):
     with gzip.open(path, "wt") as f:
         f.write("\n".join("\t".join(r) for r in [header, *rows]) + "\n")

@@ -102,3 +102,10 @@ def test_checked_writes_and_observed_counts(spark, tmp_path):
     seen, get = Q.observed(df, {"n": F.count(F.lit(1)), "v": F.sum("v")})
     seen.write.format("noop").mode("overwrite").save()
     assert get() == {"n": 3, "v": 8}
+
+
+def test_either_matched_keeps_rows_without_pairs(spark):
+    left = spark.createDataFrame([(1, "a", 1), (2, "b", 2), (3, "c", 3), (None, "d", 4), (5, None, 5)], "id int, t string, y int")
+    right = spark.createDataFrame([(1, "x", 9), (1, "x", 9), (9, "b", 2), (None, "b", 2), (9, "c", 9), (None, None, 5)], "rid int, rt string, ry int")
+    got = R.either_matched(left, right, (F.col("id"), F.col("rid")), [(F.col("t"), F.col("rt")), (F.col("y"), F.col("ry"))])
+    assert sorted(r.id for r in got.collect()) == [1, 2] and got.columns == left.columns

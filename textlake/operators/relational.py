@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -79,23 +80,43 @@ def either_join(
     return by_first.unionByName(by_second).select(*keep_left, *keep_right)
 
 
-def coalesce_sources(sources: list[DataFrame], key: str, stage: bool = False, keys: list[DataFrame | None] | None = None) -> DataFrame:
+def either_matched(left: DataFrame, right: DataFrame, primary: tuple[Column, Column], fallback: list[tuple[Column, Column]]) -> DataFrame:
+    """Rows of ``left`` that ``either_join`` pairs with some row of ``right``; the pairs are not made."""
+    both = [primary, *fallback]
+    names = [f"_k{i}" for i in range(len(both))]
+    marked = left.withColumns({n: l for n, (l, _) in zip(names, both)})
+    known = right.select(*[r.alias(n) for n, (_, r) in zip(names, both)])
+    for n, on in enumerate(([names[0]], names[1:])):
+        marked = marked.join(known.select(*on, F.lit(True).alias(f"_m{n}")).dropna().distinct(), on, "left")
+    return marked.where("_m0 OR _m1").select(*left.columns)
+
+
+def coalesce_sources(
+    sources: list[DataFrame | Callable[[list[DataFrame]], DataFrame]],
+    key: str,
+    stage: bool = False,
+    keys: list[DataFrame | None] | None = None,
+) -> DataFrame:
     """Rows of the first source, then rows of each later one whose key no earlier source has.
 
     Each source is needed twice: for its rows and for its keys. ``keys`` may give a cheaper table of a source's keys.
     ``stage`` writes a source first, so that the second use reads the key column of a file instead of computing
-    the source again.
+    the source again. A source given as a function gets the key tables of the earlier ones and leaves out their keys
+    itself: before it attaches wide columns, which then are not shuffled for it.
     """
     keys = keys or [None] * len(sources)
     taken: list[DataFrame] = []
     covers: list[DataFrame] = []
     for source, own in zip(sources, keys):
-        for earlier in covers:
-            source = not_covered(source, earlier, key)
+        if callable(source):
+            source = source(list(covers))
+        else:
+            for earlier in covers:
+                source = not_covered(source, earlier, key)
         if stage and own is None and len(taken) < len(sources) - 1:
             source = source.sparkSession.read.parquet(new_version(source, "source"))
         taken.append(source)
-        covers.append(source if own is None else own.select(key))
+        covers.append((source if own is None else own).select(key))
     return functools.reduce(DataFrame.unionByName, taken)
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import logging
 
 from pyspark.sql import DataFrame, functions as F
@@ -17,7 +18,7 @@ from textlake.operators.chunking import chunk_documents, page_content
 from textlake.operators.extract import expand_category, extract_wiki_sections, pivot_sections, section_name
 from textlake.operators.html import extract_listing
 from textlake.operators.merge import dedup, merge_audited, merge_full, merge_partial, stage_distinct
-from textlake.operators.relational import coalesce_sources, either_join, not_covered, resolve_id_list
+from textlake.operators.relational import coalesce_sources, either_join, either_matched, not_covered, resolve_id_list
 from textlake.operators.search import extract_filters, parse_replies, prepare_queries, search_report
 from textlake.sinks import materialize
 from textlake.sources.files import parse_enrichment, scan_mapped
@@ -150,33 +151,39 @@ def build_corpus(
     movie_cols = [c for c in popular.columns if c not in ("summary", "plot")]
 
     if standard:
-        a = plots_a.where(usable_text("plot")).join(popular, "imdb_title_id")
+        texts_a = plots_a.where(usable_text("plot"))
     else:
-        keyed = plots_a.where(F.col("summary").isNotNull())
-        a = keyed.withColumn("imdb_title_id", pad_key("imdb_title_id")).join(popular, "imdb_title_id")
+        texts_a = plots_a.where(F.col("summary").isNotNull()).withColumn("imdb_title_id", pad_key("imdb_title_id"))
 
-    # match on keys alone; texts that matched nothing are left out before the cleaning, which runs once per text
-    keys = plot_keys_b(plots_b, variant).withColumnsRenamed({"title": "_title", "year": "_year"})
+    # match on keys alone: what an earlier source covers, and texts that match nothing, is left out before texts join;
+    # each text is cleaned once, and no shuffle carries a text once per movie
+    keys_b = plot_keys_b(plots_b, variant).withColumnsRenamed({"title": "_title", "year": "_year"})
     fold = F.lower if standard else (lambda c: c)
     year = F.col("_year") if standard else F.col("_year").try_cast("int")
-    pairs = either_join(
-        popular,
-        keys,
-        (F.col("imdb_title_id"), pad_key("imdb_num")),
-        [(fold(F.col("title")), fold(F.col("_title"))), (F.col("year"), year)],
-        movie_cols,
-        ["raw_title"],
-    )
-    texts = raw_texts_b(plots_b, variant)
-    wanted = texts.join(pairs.select("raw_title").distinct(), "raw_title", "left_semi")
-    b = pairs.join(with_clean_text(wanted, variant), "raw_title")
-    b = b.where(usable_text("plot")) if standard else b
-    sources = {"a": _corpus_rows(a, variant), "b": _corpus_rows(b, variant)}
+    by_id = (F.col("imdb_title_id"), pad_key("imdb_num"))
+    by_title = [(fold(F.col("title")), fold(F.col("_title"))), (F.col("year"), year)]
+    turned = lambda on: (on[1], on[0])
+    texts_b = raw_texts_b(plots_b, variant)
+
+    def uncovered(earlier):
+        return functools.reduce(lambda movies, keys: not_covered(movies, keys, "imdb_title_id", "source"), earlier, popular)
+
+    def rows_a(earlier):
+        return _corpus_rows(texts_a.join(uncovered(earlier), "imdb_title_id"), variant)
+
+    def rows_b(earlier):
+        movies = uncovered(earlier)
+        pairs = either_join(movies, keys_b, by_id, by_title, movie_cols, ["raw_title"])
+        wanted = either_matched(keys_b, movies, turned(by_id), [turned(on) for on in by_title]).select("raw_title").distinct()
+        clean = with_clean_text(texts_b.join(wanted, "raw_title", "left_semi"), variant)
+        return _corpus_rows(pairs.join(clean.where(usable_text("plot")) if standard else clean, "raw_title"), variant)
+
     order = priority or (("a", "b") if standard else ("b", "a"))
-    keys = {"a": a.select(F.col("imdb_title_id").alias("source")), "b": None}
+    keys = {"a": popular.join(texts_a.select("imdb_title_id"), "imdb_title_id", "left_semi"), "b": None}
     if not standard:  # every matched text makes a row, so the keys need no cleaning
-        keys["b"] = pairs.join(texts.select("raw_title"), "raw_title", "left_semi").select(F.col("imdb_title_id").alias("source"))
-    corpus = coalesce_sources([sources[s] for s in order], "source", stage, [keys[s] for s in order])
+        keys["b"] = either_matched(popular, keys_b.join(texts_b.select("raw_title"), "raw_title", "left_semi"), by_id, by_title)
+    keys = {s: k if k is None else k.select(F.col("imdb_title_id").alias("source")) for s, k in keys.items()}
+    corpus = coalesce_sources([{"a": rows_a, "b": rows_b}[s] for s in order], "source", stage, [keys[s] for s in order])
     return dedup(corpus, "source", "plot") if one_per_key else corpus
 
 
