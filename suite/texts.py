@@ -61,8 +61,9 @@ SELECT page_id, unnest(titles) AS title FROM (SELECT page_id, [regexp_extract(ht
 """)
 def html_select(spark, sf):
     """The text of an element, entities as they stand in the page."""
-    found = H.extract_texts(table(spark, sf, "pages").select("page_id", "html"), {"title": ("title",)})
-    return found.select("page_id", F.replace("title", F.lit("&"), F.lit("&amp;")).alias("title"))
+    pages = table(spark, sf, "pages").select("page_id", "html", F.when(F.col("html").isNotNull(), "").alias("none"))
+    found = H.extract_texts(pages, {"title": ("title",)}, as_written=True)
+    return found.select("page_id", F.coalesce("title", "none").alias("title"))
 
 
 @query("""

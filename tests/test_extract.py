@@ -120,3 +120,24 @@ def test_depth_and_work_list(spark):
     assert {p: d for (root, p), d in rows.items() if root == "c0"} == {f"p{9 - i}": i for i in range(9)}
     assert rows[("c6", "p9")] == 1 and rows[("c6", "p4")] == 8 and len(rows) == 18
     assert [(r.place, r.page) for r in X.work_list(found).orderBy("place").collect()] == [(i, f"p{i}") for i in range(1, 10)]
+
+
+def test_texts_as_written_keep_references_cut_short(spark):
+    titles = ["a &amp;&am", "b &amp; c &", "&lt;i&gt; &#x41; &nosuch;", "d <b>e</b> &quot;"]
+    df = spark.createDataFrame([(i, f"<title>{t}</title>") for i, t in enumerate(titles)] + [(9, "<p>none</p>")], "id int, html string")
+    got = {r.id: r.title for r in H.extract_texts(df, {"title": ("title",)}, as_written=True).collect()}
+    assert got == {0: titles[0], 1: titles[1], 2: titles[2], 3: "d e &quot;", 9: None}
+    assert H.extract_texts(df, {"title": ("title",)}).where("id = 2").first().title == "<i> A &nosuch;"
+
+
+def test_html_select_equals_its_sql_on_cut_references(spark, tmp_path):
+    import duckdb
+    import suite.texts as texts
+    from tests import oracle
+    from suite.registry import SQL
+
+    rows = [(1, "u", "<title>x &amp;&am</title>"), (2, "u", "<title>&lt; &</title>"), (3, "u", "<p>no title</p>"), (4, "u", None)]
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
+    assert oracle.compare(texts.html_select(spark, str(tmp_path)), con, SQL["html_select"]) is None

@@ -216,8 +216,12 @@ def extract_sections_html(pages: DataFrame, html_col: str = "html", sections: di
     return pages.select(*kept, *out)
 
 
-def extract_texts(pages: DataFrame, fields: dict[str, tuple], html_col: str = "html") -> DataFrame:
-    """The text of the first element for each field, a tuple for ``element``; NULL if there is none. Other columns stay."""
+def extract_texts(pages: DataFrame, fields: dict[str, tuple], html_col: str = "html", as_written: bool = False) -> DataFrame:
+    """The text of the first element for each field, a tuple for ``element``; NULL if there is none. Other columns stay.
+
+    ``as_written`` leaves character references as they stand, whole or cut short.
+    """
+    read = (lambda piece: F.regexp_replace(piece, _TAG, "")) if as_written else plain
     kept = [c for c in pages.columns if c != html_col]
     html = without_comments(F.col(html_col))
-    return pages.select(*kept, *[plain(first(html, element(*where))).alias(name) for name, where in fields.items()])
+    return pages.select(*kept, *[read(first(html, element(*where))).alias(name) for name, where in fields.items()])
