@@ -174,3 +174,25 @@ def test_event_time_whatever_the_arrival(spark, tmp_path):
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     assert {e: v for e, v in late.items() if v is not None} == want
+
+
+def test_keys_share_state_groups(spark, tmp_path):
+    """Many keys, some NULL, ids beyond 2^53 and NULL ids: a trigger has at most ``shards`` state rows, the decisions stay."""
+    big = (1 << 60) + 1
+    rows = [(None if k % 40 == 0 else f"c{k % 40}", None if k == 77 else big + k, START + timedelta(seconds=3 * k)) for k in range(400)]
+    for part in range(4):
+        spark.createDataFrame(rows[100 * part : 100 * part + 100], SCHEMA).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    want = T.throttle(spark.createDataFrame(rows, SCHEMA), "client", "ts", "event_id", 2, 300).collect()
+    shown = lambda found: sorted(map(str, found))
+    newest = spark.createDataFrame([("last", 0, START + timedelta(days=2))], SCHEMA).coalesce(1)
+    for n, (start, more) in enumerate([(T.throttle_stream, {}), (T.throttle_stream, {"lateness": "2 hours"}), (T.throttle_event_time, {"lateness": "2 hours"})]):
+        if n == 2:
+            newest.write.mode("append").parquet(str(tmp_path / "in"))
+        source = spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", 10).parquet(str(tmp_path / "in"))
+        out = start(source, "client", "ts", "event_id", 2, 300, shards=3, **more)
+        query = out.writeStream.format("parquet").option("path", str(tmp_path / f"out{n}")).option("checkpointLocation", str(tmp_path / f"state{n}")).trigger(availableNow=True).start()
+        query.awaitTermination()
+        got = spark.read.schema(out.schema).parquet(str(tmp_path / f"out{n}")).where("client IS NULL OR client <> 'last'")
+        assert shown(got.collect()) == shown(want)
+        if n == 0:
+            assert all(p["stateOperators"][0]["numRowsTotal"] <= 4 for p in query.recentProgress)

@@ -27,6 +27,7 @@ from textlake.session import checkpointed
 logger = logging.getLogger("textlake")
 
 LIMIT, WINDOW_S = 30, 60  # fixed values: the default allowance
+SHARDS = 256  # groups of keys that share a state: more than there are cores
 
 
 def admit(times: np.ndarray, log: deque, limit: int, window: int) -> np.ndarray:
@@ -194,65 +195,110 @@ def write_in_order(df: DataFrame, ts: str, event_id: str, path: str, rows: int)
         fs.setTimes(spark._jvm.org.apache.hadoop.fs.Path(folder, name), begun + 10 * i, -1)
 
 
+def _sorted_runs(batch: pd.DataFrame, key: str):
+    """Rows by key, time and id (rows without a time or an id last), and the runs of one key: ``(rows, [(key, from, to)])``."""
+    codes, _ = pd.factorize(batch[key])  # a NULL key has the code -1
+    rows = batch.assign(_code=codes).sort_values(["_code", "event_micros", "no_id", "event_id"], ignore_index=True)
+    code, keys = rows["_code"].to_numpy(), rows[key]
+    cuts = [0, *(np.flatnonzero(np.diff(code)) + 1).tolist(), len(code)] if len(code) else []
+    return rows, [(None if code[lo] < 0 else _plain(keys.iat[lo]), lo, hi) for lo, hi in zip(cuts, cuts[1:])]
+
+
+def _plain(value):
+    return value.item() if hasattr(value, "item") else value
+
+
+class _Logs:
+    """The admitted times of the keys of one shard as one state value: keys, numbers of times, times."""
+
+    def __init__(self, handle: StatefulProcessorHandle, key_type: str):
+        self.state = handle.getValueState("logs", f"keys array<{key_type}>, sizes array<int>, times array<bigint>")
+
+    def read(self) -> dict:
+        if not self.state.exists():
+            return {}
+        keys, sizes, times = self.state.get()
+        ends = np.cumsum(sizes).tolist()
+        return {k: deque(sorted(times[hi - n : hi])) for k, n, hi in zip(keys, sizes, ends)}
+
+    def write(self, logs: dict) -> None:
+        logs = {k: v for k, v in logs.items() if v}
+        self.state.update((list(logs), [len(v) for v in logs.values()], [t for v in logs.values() for t in v]))
+
+
 class _SlidingLog(StatefulProcessor):
-    """The admitted times of one key, kept between micro-batches until a window has passed."""
+    """The admitted times of the keys of a shard, kept between micro-batches, at will until a window has passed."""
 
-    def __init__(self, key: str, event_id: str, n: int, window: int, expires: bool):
-        self.key, self.event_id, self.n, self.window, self.expires = key, event_id, n, window, expires
+    def __init__(self, key: str, key_type: str, event_id: str, n: int, window: int, expires: bool):
+        self.key, self.key_type, self.event_id, self.n, self.window, self.expires = key, key_type, event_id, n, window, expires
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.log = handle.getListState("log", "t bigint")
+        self.handle, self.logs = handle, _Logs(handle, self.key_type)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        batch = pd.concat(list(rows), ignore_index=True)
-        timeless = batch["event_micros"].isna()
-        batch = batch.sort_values(["event_micros", self.event_id], ignore_index=True)
-        timed = len(batch) - int(timeless.sum())  # rows without a time come last
-        state = deque(sorted(t for (t,) in self.log.get()))
-        ok = admit(batch["event_micros"].to_numpy()[:timed].astype(np.int64), state, self.n, self.window)
-        batch["admitted"] = pd.array([*ok.tolist(), *[None] * (len(batch) - timed)], dtype="boolean").astype(object)
-        self.log.put([(t,) for t in state])
-        if self.expires and state:
+        batch, runs = _sorted_runs(pd.concat(list(rows), ignore_index=True), self.key)
+        timeless = batch["event_micros"].isna().to_numpy()
+        times = batch["event_micros"].fillna(0).to_numpy().astype(np.int64)
+        admitted, logs = np.full(len(batch), None, dtype=object), self.logs.read()
+        for k, lo, hi in runs:
+            hi -= int(timeless[lo:hi].sum())  # rows without a time come last
+            if hi > lo:
+                admitted[lo:hi] = admit(times[lo:hi], logs.setdefault(k, deque()), self.n, self.window).tolist()
+        self._keep({k: log for k, log in logs.items() if log})
+        yield _decided(batch, self.key, self.event_id, admitted)
+
+    def _keep(self, logs: dict) -> None:
+        self.logs.write(logs)
+        if self.expires and logs:
             for timer in list(self.handle.listTimers()):
                 self.handle.deleteTimer(timer)
-            self.handle.registerTimer((state[-1] + self.window) // 1000 + 1)
-        yield batch[[self.key, self.event_id, "admitted"]]
+            self.handle.registerTimer((min(log[-1] for log in logs.values()) + self.window) // 1000 + 1)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        self.log.clear()
+        passed = timerValues.getCurrentWatermarkInMs() * 1000
+        logs = {k: log for k, log in self.logs.read().items() if log[-1] + self.window >= passed}
+        self.logs.write(logs)
+        if logs:
+            self.handle.registerTimer((min(log[-1] for log in logs.values()) + self.window) // 1000 + 1)
         return iter([])
 
     def close(self) -> None:
         pass
 
 
+def _decided(rows: pd.DataFrame, key: str, event_id: str, admitted) -> pd.DataFrame:
+    ids = rows["event_id"].astype(object).mask(rows["no_id"].astype(bool), None)
+    return pd.DataFrame({key: rows[key], event_id: ids, "admitted": pd.Series(admitted, dtype=object)})
+
+
 class _EventTimeLog(StatefulProcessor):
-    """Events of one key wait in state, in blocks by bucket of time, until the watermark has passed their bucket.
+    """Events of the keys of a shard wait in state, in blocks by bucket of time, until the watermark has passed their bucket.
 
     Blocks are written as they come and never rewritten; a bucket is read, ordered and decided once.
     """
 
-    def __init__(self, key: str, event_id: str, id_type: str, n: int, window: int, bucket: int):
-        self.key, self.event_id, self.id_type, self.n, self.window, self.bucket = key, event_id, id_type, n, window, bucket
+    def __init__(self, key: str, key_type: str, event_id: str, id_type: str, n: int, window: int, bucket: int):
+        self.key, self.key_type, self.event_id, self.id_type = key, key_type, event_id, id_type
+        self.n, self.window, self.bucket = n, window, bucket
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.log = handle.getListState("log", "t bigint")
-        self.waiting = handle.getMapState("waiting", "bucket bigint, block bigint", f"times array<bigint>, ids array<{self.id_type}>")
+        self.handle, self.logs = handle, _Logs(handle, self.key_type)
+        block = f"keys array<{self.key_type}>, times array<bigint>, ids array<{self.id_type}>"
+        self.waiting = handle.getMapState("waiting", "bucket bigint, block bigint", block)
         self.blocks = handle.getValueState("blocks", "n bigint")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        block = self.blocks.get()[0] if self.blocks.exists() else 0
+        block, met = self.blocks.get()[0] if self.blocks.exists() else 0, set()
+        listed = lambda v, gone: v.astype(object).where(~gone, None).tolist()
         for batch in rows:  # one Arrow batch at a time
-            times = batch["event_micros"].to_numpy(np.int64)
-            buckets = times // self.bucket
-            ids = batch[self.event_id].astype(object).where(batch[self.event_id].notna(), None)
-            for b in np.unique(buckets).tolist():
-                at = np.flatnonzero(buckets == b)
-                self.waiting.updateValue((b, block), (times[at].tolist(), [v.item() if hasattr(v, "item") else v for v in ids.iloc[at]]))
+            buckets = batch["event_micros"].to_numpy(np.int64) // self.bucket
+            for b, part in batch.groupby(buckets, sort=True):
+                value = (listed(part[self.key], part[self.key].isna()), part["event_micros"].tolist(), listed(part["event_id"], part["no_id"].astype(bool)))
+                self.waiting.updateValue((int(b), block), value)
                 block += 1
-                self.handle.registerTimer((b + 1) * self.bucket // 1000 + 1)
+                met.add(int(b))
+        for b in met:
+            self.handle.registerTimer((b + 1) * self.bucket // 1000 + 1)
         self.blocks.update((block,))
         return iter([])
 
@@ -262,23 +308,38 @@ class _EventTimeLog(StatefulProcessor):
         for b, block in list(self.waiting.keys()):
             if (b + 1) * self.bucket <= passed:
                 ready.setdefault(b, []).append(block)
-        state = deque(t for (t,) in self.log.get())
+        if not ready:
+            return
+        logs = self.logs.read()
         for b in sorted(ready):
-            rows = []
+            keys, times, ids = [], [], []
             for block in ready[b]:
-                times, ids = self.waiting.getValue((b, block))
-                rows += zip(times, ids)
+                for into, values in zip((keys, times, ids), self.waiting.getValue((b, block))):
+                    into += values
                 self.waiting.removeKey((b, block))
-            rows.sort(key=lambda r: (r[0], r[1] is not None, r[1]))
-            ok = admit(np.array([t for t, _ in rows], np.int64), state, self.n, self.window)
-            ids = pd.Series([i for _, i in rows], dtype=object)
-            yield pd.DataFrame({self.key: pd.Series([key[0]] * len(rows), dtype=object), self.event_id: ids, "admitted": ok})
-        self.log.put([(t,) for t in state])
+            rows = pd.DataFrame({self.key: pd.Series(keys, dtype=object), "event_micros": np.array(times, np.int64), "no_id": [i is None for i in ids], "event_id": pd.Series(ids, dtype=object)})
+            rows, runs = _sorted_runs(rows, self.key)
+            at, admitted = rows["event_micros"].to_numpy(), np.zeros(len(rows), bool)
+            for k, lo, hi in runs:
+                admitted[lo:hi] = admit(at[lo:hi], logs.setdefault(k, deque()), self.n, self.window)
+            yield _decided(rows, self.key, self.event_id, admitted.tolist())
+            # all events to come are of later buckets
+            logs = {k: log for k, log in logs.items() if log and log[-1] + self.window >= (b + 1) * self.bucket}
+        self.logs.write(logs)
 
     def close(self) -> None:
         pass
 
 
+def _sharded(stream: DataFrame, key: str, event_id: str, at, shards: int) -> DataFrame:
+    """Shard, key, id and time. Rows without a key have a shard of their own, and whole-number ids are never NULL, so that
+    a batch of the other rows keeps its integers as they are."""
+    shard = F.when(F.col(key).isNull(), -1).otherwise(F.pmod(F.xxhash64(key), F.lit(shards))).cast("int")
+    whole = isinstance(stream.schema[event_id].dataType, T.IntegralType)
+    named = F.coalesce(event_id, F.lit(0).cast(stream.schema[event_id].dataType)) if whole else F.col(event_id)
+    return stream.select(shard.alias("_shard"), F.col(key), named.alias("event_id"), F.col(event_id).isNull().alias("no_id"), at.alias("event_time"), F.unix_micros(at).alias("event_micros"))
+
+
 def throttle_event_time(
     stream: DataFrame,
     key: str,
@@ -288,20 +349,22 @@ def throttle_event_time(
     window_s: float = WINDOW_S,
     lateness: str = "10 minutes",
     bucket_s: float | None = None,
+    shards: int = SHARDS,
 ) -> DataFrame:
     """The decisions of ``throttle`` on a stream, in the order of event time whatever the order of arrival.
 
     Events wait until the watermark, ``lateness`` behind the newest event, has passed the bucket of ``bucket_s`` seconds
-    (``window_s`` by default) that they lie in; then the bucket is decided as a whole, so a task holds one Arrow batch, or one
-    bucket of one key, in memory. Events that come later than ``lateness`` are dropped, and the last ones of a stream
+    (``window_s`` by default) that they lie in; then the bucket is decided as a whole. Keys share ``shards`` groups, so state is
+    called once a group and bucket, not once a key; a task holds one Arrow batch, or one bucket of one group, in memory. Events that come later than ``lateness`` are dropped, and the last ones of a stream
     wait for a newer event. Events without a time get NULL at once. Needs the RocksDB state store.
     """
     window, bucket = int(window_s * 1_000_000), max(1, int((bucket_s or window_s) * 1_000_000))
     at = F.col(ts).cast("timestamp")
-    timed = stream.where(at.isNotNull()).select(key, event_id, at.alias("event_time"), F.unix_micros(at).alias("event_micros"))
+    timed = _sharded(stream.where(at.isNotNull()), key, event_id, at, shards)
     out = T.StructType([stream.schema[key], stream.schema[event_id], T.StructField("admitted", T.BooleanType())])
-    processor = _EventTimeLog(key, event_id, stream.schema[event_id].dataType.simpleString(), n, window, bucket)
-    decided = timed.withWatermark("event_time", lateness).groupBy(key).transformWithStateInPandas(
+    kinds = [stream.schema[c].dataType.simpleString() for c in (key, event_id)]
+    processor = _EventTimeLog(key, kinds[0], event_id, kinds[1], n, window, bucket)
+    decided = timed.withWatermark("event_time", lateness).groupBy("_shard").transformWithStateInPandas(
         statefulProcessor=processor, outputStructType=out, outputMode="append", timeMode="eventTime"
     )
     timeless = stream.where(at.isNull()).select(key, event_id, F.lit(None).cast("boolean").alias("admitted"))
@@ -316,23 +379,25 @@ def throttle_stream(
     n: int = LIMIT,
     window_s: float = WINDOW_S,
     lateness: str | None = None,
+    shards: int = SHARDS,
 ) -> DataFrame:
     """The decisions of ``throttle`` on a stream, in the order of arrival of its micro-batches and of time within them.
 
     Every event is decided, late ones too, against the admitted times that lie in the window before it or later;
     events without a time get NULL. State per key is at most ``n`` times and stays. With ``lateness`` a watermark drops
     the state of quiet keys, and then also drops events that are later than it: ask for it only where such events
-    cannot come. The rows of one key in a micro-batch are sorted in one task, so bound what one trigger reads: files of
+    cannot come. Keys share ``shards`` groups, so state is called once a group and trigger, not once a key; a trigger rewrites
+    the logs of the groups it has rows of. The rows of one group in a micro-batch are sorted in one task, so bound what one trigger reads: files of
     bounded rows (``write_in_order``) and ``maxFilesPerTrigger``. Needs the RocksDB state store.
     """
     window = int(window_s * 1_000_000)
     at = F.col(ts).cast("timestamp")
-    rows = stream.select(key, event_id, at.alias("event_time"), F.unix_micros(at).cast("double").alias("event_micros"))
+    rows = _sharded(stream, key, event_id, at, shards).withColumn("event_micros", F.col("event_micros").cast("double"))
     if lateness is not None:
         rows = rows.withWatermark("event_time", lateness)
     out = T.StructType([stream.schema[key], stream.schema[event_id], T.StructField("admitted", T.BooleanType())])
-    return rows.groupBy(key).transformWithStateInPandas(
-        statefulProcessor=_SlidingLog(key, event_id, n, window, lateness is not None),
+    return rows.groupBy("_shard").transformWithStateInPandas(
+        statefulProcessor=_SlidingLog(key, stream.schema[key].dataType.simpleString(), event_id, n, window, lateness is not None),
         outputStructType=out,
         outputMode="append",
         timeMode="none" if lateness is None else "eventTime",
