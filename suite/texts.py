@@ -92,7 +92,7 @@ def listing_load(spark, sf):
     many = one.groupBy(F.col("p_partkey") % 50).agg(F.array_join(F.collect_list("html"), "").alias("html")).select("html")
     old = {"imdb_title_id": F.concat(F.lit("tt"), F.col("p_partkey").cast("string")), "title": F.lit("old"), "IMDb_rating": F.lit(1), "ratingCount": F.lit(1)}
     target = table(spark, sf, "part").where("p_size <= 20").select(*[old.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in schemas.MOVIES])
-    merged, _ = jobs.load_listing(target, many.unionByName(one.where("p_partkey % 5 = 0").select("html")))
+    merged, _ = jobs.load_listing(target, many.unionByName(one.where("p_partkey % 5 = 0").select("html")), tasks=_tasks(spark, table(spark, sf, "part")))
     return merged.select("imdb_title_id", "title", F.col("IMDb_rating").cast("double").alias("rating"), F.col("ratingCount").alias("votes"))
 
 
@@ -104,6 +104,13 @@ def listing_rejects(spark, sf):
     return H.listing_rejects(_pages(spark, sf))
 
 
+_PAGES_A_TASK = 20_000
+
+
+def _tasks(spark, rows):
+    return max(spark.sparkContext.defaultParallelism, -(-rows.count() // _PAGES_A_TASK))
+
+
 def _pages(spark, sf):
     size, text = F.col("p_size"), F.lit
     year = F.when(F.col("p_brand") == "Brand#1", "(I)").otherwise(
@@ -126,7 +133,9 @@ def _pages(spark, sf):
         ),
         text("</div>"),
     )
-    return table(spark, sf, "part").select("p_partkey", F.concat(text("<html><body>"), block, text("</body></html>")).alias("html"))
+    # a small file of many parts is one split; narrow rows are spread before they become pages
+    part = table(spark, sf, "part")
+    return part.repartition(_tasks(spark, part), "p_partkey").select("p_partkey", F.concat(text("<html><body>"), block, text("</body></html>")).alias("html"))
 
 
 @query(f"""

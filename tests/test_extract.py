@@ -1,3 +1,5 @@
+from pyspark.sql import functions as F
+
 from textlake.operators import extract as X, html as H
 
 
@@ -141,3 +143,15 @@ def test_html_select_equals_its_sql_on_cut_references(spark, tmp_path):
     con = duckdb.connect()
     con.execute(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
     assert oracle.compare(texts.html_select(spark, str(tmp_path)), con, SQL["html_select"]) is None
+
+
+def test_blocks_of_one_page_are_read_by_many_tasks(spark):
+    """The pages of a small file, and the blocks of one page, do not meet in one task."""
+    import suite.texts as texts
+
+    block = '<div class="lister-item mode-advanced"><h3><a href="/title/tt{0}/">T{0}</a><span class="lister-item-year">(2010)</span></h3><strong>7</strong><span name="nv" data-value="5">5</span></div>'
+    df = spark.createDataFrame([("".join(block.format(i) for i in range(200)),)], "html string").coalesce(1)
+    rows = H.extract_listing(df, tasks=8).withColumn("task", F.spark_partition_id()).collect()
+    assert sorted(r.imdb_title_id for r in rows) == sorted(f"tt{i}" for i in range(200)) and len({r.task for r in rows}) == 8
+    pages = texts._pages(spark, "/root/testdata/sf0.001")
+    assert pages.select(F.spark_partition_id().alias("p")).distinct().count() >= 8

@@ -107,38 +107,49 @@ def balanced(after: Column, tag: str) -> Column:
     return F.when(after.isNotNull(), F.array_join(F.slice(pieces, 1, last), f"</{tag}>"))
 
 
-def blocks(pages: DataFrame, html_col: str, tag: str, attr: str, value: str) -> DataFrame:
-    """One row per element of a page that is not inside another of its kind: the page's other columns, block (from 0), piece."""
+def blocks(pages: DataFrame, html_col: str, tag: str, attr: str, value: str, tasks: int | None = None) -> DataFrame:
+    """One row per element of a page that is not inside another of its kind: the page's other columns, block (from 0), piece.
+
+    ``tasks`` spreads the pieces, once cut, over so many tasks: for pages of very many blocks, or few tasks.
+    """
     pieces = F.split(without_comments(F.col(html_col)), opening(tag, attr, value))
     kept = [c for c in pages.columns if c != html_col]
     rows = pages.select(*kept, F.posexplode(F.slice(pieces, 2, F.size(pieces))).alias("block", "_after"))
+    rows = rows.repartition(tasks, "block", F.xxhash64("_after")) if tasks else rows
     return rows.select(*kept, "block", balanced(F.col("_after"), tag).alias("piece"))
 
 
 # ---- listing pages ------------------------------------------------------------------------------
 
 
-def _credits(piece: Column) -> tuple[Column, Column]:
-    """Directors and stars, told apart by the label before the first link."""
-    block = first(piece, r"(?is:<p\b(?![^>]*\sclass\s*=\s*[\"'][^\"'])[^>]*>)(?is:(.*?)</p\s*>)")
-    before = first(block, r"(?is)^(.*?)<a\b")
-    links = first(block, r"(?is)(<a\b.*)$")
+def _credits(found: DataFrame) -> DataFrame:
+    """Add directors and stars of ``piece``, told apart by the label before the first link.
+
+    Each step uses the one before more than once, so the steps are columns of their own: a pattern is matched once a block.
+    """
+    paragraph = r"(?is:<p\b(?![^>]*\sclass\s*=\s*[\"'][^\"'])[^>]*>)(?is:(.*?)</p\s*>)"
+    steps = [
+        {"_block": first(F.col("piece"), paragraph)},
+        {"_before": first(F.col("_block"), r"(?is)^(.*?)<a\b"), "_links": first(F.col("_block"), r"(?is)(<a\b.*)$")},
+        {"_tail": F.regexp_extract("_before", r"([^<>]*)$", 1), "_of_many": first(F.col("_links"), r"(?is)^(.*?)<span\b"), "_people": every(F.col("_links"), element("a"))},
+        {"_said": F.when(F.col("_tail") != "", F.col("_tail")).otherwise(F.regexp_extract("_before", r">([^<>]*)</\w+\s*>$", 1))},
+        {"_label": F.when(F.col("_before") != "", F.regexp_replace("_said", r"(?U)^\s+|\s+$", "")), "_people": F.transform("_people", plain)},
+    ]
+    for step in steps:
+        found = found.withColumns(step)
+    label, people, many = F.col("_label"), F.col("_people"), F.col("_of_many")
     names = lambda html: F.array_join(F.transform(every(html, element("a")), plain), ",")
-    tail = F.regexp_extract(before, r"([^<>]*)$", 1)
-    said = F.when(tail != "", tail).otherwise(F.regexp_extract(before, r">([^<>]*)</\w+\s*>$", 1))
-    label = F.when(before != "", F.regexp_replace(said, r"(?U)^\s+|\s+$", ""))
-    of_many, rest = first(links, r"(?is)^(.*?)<span\b"), first(links, r"(?is)^.*?<span\b(.*)$")
-    people = F.transform(every(links, element("a")), plain)
-    directors = F.when(label == ONE_DIRECTOR, F.get(people, F.lit(0))).when(label == MANY_DIRECTORS, F.when(of_many.isNotNull(), names(of_many)))
+    rest = first(F.col("_links"), r"(?is)^.*?<span\b(.*)$")
+    directors = F.when(label == ONE_DIRECTOR, F.get(people, F.lit(0))).when(label == MANY_DIRECTORS, F.when(many.isNotNull(), names(many)))
     stars = (
         F.when(label == ONE_DIRECTOR, F.array_join(F.slice(people, 2, F.greatest(F.size(people) - 1, F.lit(0))), ","))
-        .when(label == MANY_DIRECTORS, F.when(of_many.isNotNull(), names(rest)))
+        .when(label == MANY_DIRECTORS, F.when(many.isNotNull(), names(rest)))
         .when(label.isNotNull(), F.array_join(people, ","))
     )
-    return directors, stars
+    return found.withColumns({"directors": directors, "stars": stars}).drop(*{name for step in steps for name in step})
 
 
-def listing_blocks(pages: DataFrame, html_col: str = "html") -> DataFrame:
+def listing_blocks(pages: DataFrame, html_col: str = "html", tasks: int | None = None) -> DataFrame:
     """Every title block of listing pages in one pass: the page's other columns, ``block``, the record's columns, ``reason``.
 
     ``reason`` says why a block is no record: it lacks a numeric rating, a vote count, a year or a title link, or its
@@ -146,15 +157,17 @@ def listing_blocks(pages: DataFrame, html_col: str = "html") -> DataFrame:
     """
     piece = F.col("piece")
     by_class = lambda tag, name: first(piece, element(tag, "class", name, word=True))
-    found = blocks(pages, html_col, *LISTING_BLOCK)
+    found = blocks(pages, html_col, *LISTING_BLOCK, tasks=tasks)
     kept = [c for c in found.columns if c != "piece"]
     head = first(piece, element("h3"))
     link = attribute(first(piece, opening("a"), 0), "href")
     votes = attribute(first(piece, opening(*VOTES), 0), VOTES_VALUE)
-    rating = plain(first(piece, element("strong")))
-    directors, stars = _credits(piece)
-    found = found.select(*kept, "piece", head.alias("_head"), link.alias("_link"), votes.alias("ratingCount"), rating.alias("_rating"), directors.alias("directors"), stars.alias("stars"))
-    said = F.translate(plain(first(F.col("_head"), element("span", "class", YEAR_CLASS, word=True))), "()", "")
+    rating = first(piece, element("strong"))
+    found = found.select(*kept, "piece", head.alias("_head"), link.alias("_link"), votes.alias("ratingCount"), rating.alias("_rating"))
+    found = _credits(found.withColumn("_rating", plain(F.col("_rating"))))
+    found = found.withColumn("_said", first(F.col("_head"), element("span", "class", YEAR_CLASS, word=True)))
+    found = found.withColumn("_said", F.translate(plain(F.col("_said")), "()", ""))
+    said = F.col("_said")
     year = F.when(F.contains(said, F.lit(" ")), F.get(F.split(said, " "), F.lit(1))).otherwise(said)
     found = found.withColumn("year", year)
     reason = (
@@ -166,30 +179,36 @@ def listing_blocks(pages: DataFrame, html_col: str = "html") -> DataFrame:
         .when(F.regexp_count("_link", F.lit("/")) < 2, "link has no id")
         .when(F.col("year") == UNNUMBERED_YEAR, "no year")
     )
+    # what is read more than once is cut out first
+    found = found.withColumn("reason", reason).withColumns({
+        "_title": first(F.col("_head"), element("a")),
+        **{name: by_class("span", of) for name, of in (("_certificate", CERTIFICATE_CLASS), ("_genre", GENRE_CLASS), ("_runtime", RUNTIME_CLASS), ("_score", SCORE_CLASS))},
+        "_description": F.get(every(piece, element("p", "class", DESCRIPTION_CLASS, word=True)), F.lit(1)),
+    })
     return found.select(
         *kept,
         F.get(F.split("_link", "/"), F.lit(2)).alias("imdb_title_id"),
-        plain(first(F.col("_head"), element("a"))).alias("title"),
+        plain(F.col("_title")).alias("title"),
         "year",
-        plain(by_class("span", CERTIFICATE_CLASS)).alias("certificate"),
-        F.regexp_replace(plain(by_class("span", GENRE_CLASS)), r"(?U)^\s+|\s+$", "").alias("genre"),
-        plain(by_class("span", RUNTIME_CLASS)).alias("runtime"),
-        spaced(F.get(every(piece, element("p", "class", DESCRIPTION_CLASS, word=True)), F.lit(1))).alias("description"),
+        plain(F.col("_certificate")).alias("certificate"),
+        F.regexp_replace(plain(F.col("_genre")), r"(?U)^\s+|\s+$", "").alias("genre"),
+        plain(F.col("_runtime")).alias("runtime"),
+        spaced(F.col("_description")).alias("description"),
         F.trim("_rating").try_cast("double").alias("IMDb_rating"),
-        plain(by_class("span", SCORE_CLASS)).alias("MetaScore"),
+        plain(F.col("_score")).alias("MetaScore"),
         "ratingCount",
         "directors",
         "stars",
-        reason.alias("reason"),
+        "reason",
     )
 
 
 LISTING_COLUMNS = "imdb_title_id title year certificate genre runtime description IMDb_rating MetaScore ratingCount directors stars".split()
 
 
-def extract_listing(pages: DataFrame, html_col: str = "html") -> DataFrame:
+def extract_listing(pages: DataFrame, html_col: str = "html", tasks: int | None = None) -> DataFrame:
     """One row per title block of a listing page; ``listing_rejects`` returns the blocks that are left out."""
-    return listing_blocks(pages.select(html_col), html_col).where("reason IS NULL").select(*LISTING_COLUMNS)
+    return listing_blocks(pages.select(html_col), html_col, tasks).where("reason IS NULL").select(*LISTING_COLUMNS)
 
 
 def listing_rejects(pages: DataFrame, html_col: str = "html") -> DataFrame:

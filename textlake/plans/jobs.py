@@ -63,12 +63,13 @@ def import_metadata(target: DataFrame, basics, ratings, crew, names, y0: int, y1
     return merge_partial(target, rows, "imdb_title_id", REFRESHED)
 
 
-def load_listing(target: DataFrame, pages: DataFrame, html_col: str = "html"):
+def load_listing(target: DataFrame, pages: DataFrame, html_col: str = "html", tasks: int | None = None):
     """Merge the title blocks of listing pages into the movies table: ``(merged, counts)``.
 
     Blocks that repeat collapse first. A known title gets the rating, the score and the vote count of its block; a new one all columns.
+    ``tasks`` is the number of tasks that read the blocks.
     """
-    rows = extract_listing(pages, html_col)
+    rows = extract_listing(pages, html_col, tasks)
     shaped = rows.select(*[F.col(f.name).try_cast(f.dataType).alias(f.name) for f in target.schema])
     return merge_partial(target, stage_distinct(shaped), "imdb_title_id", LISTED)
 
