@@ -155,3 +155,10 @@ def test_blocks_of_one_page_are_read_by_many_tasks(spark):
     assert sorted(r.imdb_title_id for r in rows) == sorted(f"tt{i}" for i in range(200)) and len({r.task for r in rows}) == 8
     pages = texts._pages(spark, "/root/testdata/sf0.001")
     assert pages.select(F.spark_partition_id().alias("p")).distinct().count() >= 8
+
+
+def test_pages_are_joined_once_however_deep_the_graph(spark):
+    edges = spark.createDataFrame([(f"c{i}", f"c{i + 1}", "category") for i in range(5)] + [(f"c{i}", f"p{i}", "page") for i in range(6)] + [("c5", "p0", "page")], "parent string, child string, kind string")
+    found = X.expand_category(edges, spark.createDataFrame([("c0",)], "root string"), None)
+    assert sorted((r.page, r.depth) for r in found.collect()) == [(f"p{i}", i) for i in range(6)]
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("Join Inner") == 1

@@ -28,16 +28,16 @@ def expand_category(edges: DataFrame, roots: DataFrame, max_depth: int | None =
     ``edges(parent, child, kind)`` with kind ``page`` or ``category``; ``roots(root)``. A page's ``depth`` is the least
     number of sub-categories between it and the root; ``max_depth`` None goes on to the end. Each level is one join and
     one anti-join with the categories entered so far, so cycles end and every category is entered once for a root;
-    levels are written, so the plan stays small however deep the graph is.
+    levels are written, so the plan stays small however deep the graph is. Pages are joined once, to all categories entered.
     """
+    inner = edges.where(F.col("kind") == "category").select("parent", "child")
     level = roots.select("root", F.col("root").alias("_at")).distinct()
-    seen, found, depth = level, [], 0
+    seen, entered, depth = level, [], 0
     while True:
-        below = level.join(edges, F.col("_at") == F.col("parent")).select("root", "child", "kind")
-        found.append(below.where(F.col("kind") == "page").select("root", F.col("child").alias("page"), F.lit(depth).alias("depth")))
+        entered.append(level.withColumn("depth", F.lit(depth)))
         if depth == max_depth:
             break
-        level = below.where(F.col("kind") == "category").select("root", F.col("child").alias("_at")).distinct()
+        level = level.join(inner, F.col("_at") == F.col("parent")).select("root", F.col("child").alias("_at")).distinct()
         level = level.join(seen, ["root", "_at"], "left_anti")
         if max_depth is None or max_depth > 2:
             level = checkpointed(level)
@@ -45,7 +45,9 @@ def expand_category(edges: DataFrame, roots: DataFrame, max_depth: int | None =
                 break
         seen = seen.unionByName(level)
         depth += 1
-    return functools.reduce(DataFrame.unionByName, found).groupBy("root", "page").agg(F.min("depth").alias("depth"))
+    pages = edges.where(F.col("kind") == "page").select("parent", F.col("child").alias("page"))
+    listed = functools.reduce(DataFrame.unionByName, entered).join(pages, F.col("_at") == F.col("parent"))
+    return listed.groupBy("root", "page").agg(F.min("depth").alias("depth"))
 
 
 def work_list(pages: DataFrame, page: str = "page") -> DataFrame:
