@@ -2,10 +2,12 @@
 
 import random
 import re
+import tracemalloc
 from collections import Counter, defaultdict
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 
 from textlake.llm import common, components, embed, near
@@ -222,3 +224,16 @@ def test_recall_at_the_threshold():
     turn = embed.rotation(64, bits * tables, 11)
     same = ((a.astype(np.float32) @ turn >= 0) == (b.astype(np.float32) @ turn >= 0)).reshape(len(a), tables, bits).all(axis=2).any(axis=1)
     assert bits == 11 and same.all()
+
+
+def test_sketches_hold_a_piece_of_the_text_at_once():
+    rng = random.Random(4)
+    texts = pa.array([" ".join(str(rng.randrange(10**6)) for _ in range(1000)) for _ in range(1300)])
+    near.sketches(texts[:2])
+    tracemalloc.start()
+    got = near.sketches(texts)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert texts.nbytes > 8 << 20
+    assert peak < 64 << 20
+    assert got.to_pylist() == [near.sketches(texts[i : i + 1])[0].as_py() for i in range(len(texts))]

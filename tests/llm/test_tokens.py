@@ -4,6 +4,7 @@ import base64
 import hashlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings, strategies as st
 
@@ -147,3 +148,18 @@ def test_long_pieces_leave_the_memory(pair, monkeypatch):
         text = f"{'q' * (100 + n)} short {'z' * 90}{n}"
         assert ids(own, text) == enc.encode_ordinary(text)
     assert sum(map(len, own.known)) <= 1000
+
+
+def test_a_worker_keeps_no_pieces_after_recoding(spark, pair):
+    own, _ = pair
+    docs = spark.createDataFrame([(i, f"unheard-of word{i} strung{i}together") for i in range(300)], "doc_id long, text string").coalesce(1)
+    sent = spark.sparkContext.broadcast(bpe.Tokenizer(own.rank_file, own.pattern))
+    assert bpe.recoded(docs, sent).agg({"text": "max"}).count() == 1
+
+    def held(batches):
+        for _ in batches:
+            pass
+        t = sent.value
+        yield pa.RecordBatch.from_pydict({"n": [len(getattr(t, "known", ())) + len(getattr(t, "older", ())) + len(getattr(t, "fits", ()))]})
+
+    assert [r["n"] for _ in range(8) for r in docs.mapInArrow(held, "n long").collect()] == [0] * 8

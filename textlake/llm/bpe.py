@@ -14,6 +14,7 @@ like the output is replaced); an empty table gives an empty table.
 from __future__ import annotations
 
 import base64
+import contextlib
 import hashlib
 from collections.abc import Iterator
 
@@ -79,13 +80,17 @@ class Tokenizer:
         self.shorter = {i: self._prefix(self.bytes_of[i]) for i in self.split}
         self.length = {i: len(word) for i, word in self.bytes_of.items()}
         self.packed = {i: i.to_bytes(4, "little") for i in self.bytes_of}
+        self.forget()
+        self.find = regex.compile(self.pattern).findall
+        self.ready = True
+        return self
+
+    def forget(self) -> None:
+        """Start without remembered pieces and neighbours; the tables stay."""
         self.fits: dict[int, bool] = {}
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
         self.chars = 0
-        self.find = regex.compile(self.pattern).findall
-        self.ready = True
-        return self
 
     def _prefix(self, word: bytes) -> int:
         """The longest proper prefix that is a token; -1 if there is none."""
@@ -204,6 +209,16 @@ def load(spark: SparkSession, path: str, pattern: str):
         return spark.sparkContext.broadcast(Tokenizer(f.read(), pattern))
 
 
+@contextlib.contextmanager
+def opened(tokenizer) -> Iterator[Tokenizer]:
+    """The built tokenizer for one task; a worker that waits or does other work afterwards does not hold what it remembered."""
+    t = tokenizer.value.build()
+    try:
+        yield t
+    finally:
+        t.forget()
+
+
 def ids_column(tokenizer, text: Column) -> Column:
     """The ids of a text, as binary: little-endian unsigned 32-bit integers."""
 
@@ -243,22 +258,23 @@ def recoded(docs: DataFrame, tokenizer, text_col: str = "text", ids_col: str = "
     """Encode every text, and put what its ids decode to in its place; one pass. A NULL text becomes an empty one.
 
     Ids that do not decode to valid UTF-8 are an error: whole texts always do. Rows leave a task in pieces of about 4 MB of text,
-    so a task holds the ids of a piece and no more.
+    so a task holds the ids of a piece and no more, and what it remembered of pieces is dropped at its end, as other stages
+    follow in the same workers.
     """
     kept = docs.drop(ids_col)
     schema = T.StructType([*kept.schema.fields, T.StructField(ids_col, T.ArrayType(T.IntegerType()))])
     at = kept.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t = tokenizer.value.build()
-        for batch in batches:
-            for first, texts in bt.slices(batch.column(at)):
-                found = [t.encode(x.as_py()) for x in texts]
-                ends = np.cumsum([0] + [len(x) // 4 for x in found]).astype(np.int32)
-                ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(found), "<i4")))
-                columns = batch.slice(first, len(texts)).columns
-                columns[at] = pa.array([t.decode(x).decode() for x in found], columns[at].type)
-                yield pa.RecordBatch.from_arrays([*columns, ids], schema.names)
+        with opened(tokenizer) as t:
+            for batch in batches:
+                for first, texts in bt.slices(batch.column(at)):
+                    found = [t.encode(x.as_py()) for x in texts]
+                    ends = np.cumsum([0] + [len(x) // 4 for x in found]).astype(np.int32)
+                    ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(found), "<i4")))
+                    columns = batch.slice(first, len(texts)).columns
+                    columns[at] = pa.array([t.decode(x).decode() for x in found], columns[at].type)
+                    yield pa.RecordBatch.from_arrays([*columns, ids], schema.names)
 
     return kept.mapInArrow(run, schema)
 

@@ -36,6 +36,7 @@ SHINGLE = 5
 BANDS, ROWS = 16, 4
 REGISTERS = BANDS * ROWS
 THRESHOLD = 0.8
+PIECE = 1 << 20  # bytes of text whose shingles a task holds at once; a longer text is taken alone
 BLOCK = 512  # members of a bucket compared in one task
 
 
@@ -86,21 +87,26 @@ def prob_min_hash(doc: np.ndarray, h: np.ndarray, weight: np.ndarray, n_docs: in
     return (bt.mix(won + np.uint64(7)) & np.uint64(0xFFFF)).astype(np.uint16).reshape(n_docs, registers)
 
 
+def sketches(texts: pa.Array) -> pa.Array:
+    """The sketches of a column of texts as binary (little-endian 16-bit registers); NULL for texts without words."""
+    out = []
+    for _, part in bt.slices(texts, PIECE):
+        doc, h, counts = shingles(part)
+        has = np.unique(doc)
+        rows = prob_min_hash(np.searchsorted(has, doc), h, counts.astype(float), len(has)).astype("<u2")
+        found = [None] * len(part)
+        for k, d in enumerate(has):
+            found[d] = rows[k].tobytes()
+        out += found
+    return pa.array(out, pa.binary())
+
+
 def sketch(text: Column) -> Column:
-    """The sketch of a text as binary (little-endian 16-bit registers); NULL for texts without words."""
+    """The sketch of a text."""
 
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for texts in batches:
-            out = []
-            for _, part in bt.slices(texts):
-                doc, h, counts = shingles(part)
-                has = np.unique(doc)
-                rows = prob_min_hash(np.searchsorted(has, doc), h, counts.astype(float), len(has)).astype("<u2")
-                found = [None] * len(part)
-                for k, d in enumerate(has):
-                    found[d] = rows[k].tobytes()
-                out += found
-            yield pa.array(out, pa.binary())
+            yield sketches(texts)
 
     return F.arrow_udf(run, "binary")(text)
 
@@ -111,7 +117,7 @@ def shingle_set(text: Column) -> Column:
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for texts in batches:
             hashes, weights = [], []
-            for _, part in bt.slices(texts):
+            for _, part in bt.slices(texts, PIECE):
                 doc, h, counts = shingles(part)
                 ends = np.searchsorted(doc, np.arange(len(part) + 1))
                 for a, b in zip(ends[:-1], ends[1:]):
