@@ -1,6 +1,8 @@
 """Quality and toxicity: held-out accuracy on the labelled tables, and edge rows."""
 
 import itertools
+import random
+import tracemalloc
 
 import numpy as np
 import pyarrow as pa
@@ -176,3 +178,18 @@ def test_bounded_sample(spark):
     some = toxicity.fit(rows, rows.select("doc_id", "toxic"), F.lit(True), entries=2000)
     assert some is not None
     assert toxicity.fit(rows, rows.select("doc_id", "toxic"), F.lit(True), entries=1) is None  # one document, one label
+
+
+def test_quality_holds_the_lines_of_a_piece_at_once():
+    rng = random.Random(6)
+    texts = pa.array(["\n".join(" ".join(f"w{rng.randrange(10**5)}" for _ in range(10)) for _ in range(100)) for _ in range(1300)] + [None, ""])
+    chain = quality.Chain()
+    chain.weight[:] = np.random.default_rng(6).normal(size=chain.weight.shape)
+    quality.scores(texts[:2], chain)
+    tracemalloc.start()
+    got = quality.scores(texts, chain)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert texts.nbytes > 8 << 20
+    assert peak < 80 << 20
+    assert got.tolist() == [quality.scores(texts[i : i + 1], chain)[0] for i in range(len(texts))]

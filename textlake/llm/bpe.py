@@ -24,10 +24,12 @@ import regex
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from textlake.llm import bytetext as bt
+from textlake.workers import tidy
 
 BREAK = "Ā"  # outside Latin-1, so no token crosses it
 REMEMBERED = 300_000  # pieces of the newer of two generations kept in a worker's memory; only speed depends on it
 REMEMBERED_CHARS = 16 << 20  # and their length together
+PIECE = 1 << 20  # bytes of text whose ids a task of ``recoded`` holds at once; a longer text is taken alone
 
 
 def last_merge(word: bytes, ranks: dict[bytes, int]) -> tuple[bytes, bytes] | None:
@@ -213,10 +215,11 @@ def load(spark: SparkSession, path: str, pattern: str):
 def opened(tokenizer) -> Iterator[Tokenizer]:
     """The built tokenizer for one task; a worker that waits or does other work afterwards does not hold what it remembered."""
     t = tokenizer.value.build()
-    try:
-        yield t
-    finally:
-        t.forget()
+    with tidy():
+        try:
+            yield t
+        finally:
+            t.forget()
 
 
 def ids_column(tokenizer, text: Column) -> Column:
@@ -257,7 +260,7 @@ def decode(docs: DataFrame, tokenizer, ids_col: str = "token_ids", out_col: str
 def recoded(docs: DataFrame, tokenizer, text_col: str = "text", ids_col: str = "token_ids") -> DataFrame:
     """Encode every text, and put what its ids decode to in its place; one pass. A NULL text becomes an empty one.
 
-    Ids that do not decode to valid UTF-8 are an error: whole texts always do. Rows leave a task in pieces of about 4 MB of text,
+    Ids that do not decode to valid UTF-8 are an error: whole texts always do. Rows leave a task in pieces of about 1 MB of text,
     so a task holds the ids of a piece and no more, and what it remembered of pieces is dropped at its end, as other stages
     follow in the same workers.
     """
@@ -268,7 +271,7 @@ def recoded(docs: DataFrame, tokenizer, text_col: str = "text", ids_col: str = "
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         with opened(tokenizer) as t:
             for batch in batches:
-                for first, texts in bt.slices(batch.column(at)):
+                for first, texts in bt.slices(batch.column(at), PIECE):
                     found = [t.encode(x.as_py()) for x in texts]
                     ends = np.cumsum([0] + [len(x) // 4 for x in found]).astype(np.int32)
                     ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(found), "<i4")))

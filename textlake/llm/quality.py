@@ -24,6 +24,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from textlake.llm import bytetext as bt, training
 from textlake.llm.common import fresh
+from textlake.workers import tidy
 
 _SHARES = np.array([0.0, 0.01, 0.02, 0.05, 0.1, 0.15, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 0.97])
 _MEANS = np.array([1.5, 2, 2.5, 3, 3.5, 4, 4.5, 5, 5.5, 6, 7, 8, 10, 14, 20])
@@ -42,6 +43,7 @@ _EXCLAIM[[33, 63]] = True
 _STOP = np.zeros(256, bool)
 _STOP[[44, 46, 59, 58]] = True
 FEATURES = 14
+PIECE = 1 << 20  # bytes of text whose lines a task holds at once; a longer text is taken alone
 
 
 def lines(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -178,18 +180,25 @@ def fit(docs: DataFrame, labels: DataFrame, keep: Column, id_col: str = "doc_id"
     return Chain().fit(doc, np.concatenate([b for _, b in found]), y[doc])
 
 
+def scores(texts: pa.Array, chain: Chain | None) -> np.ndarray:
+    """The scores of a column of texts."""
+    out = np.zeros(len(texts))
+    for first, part in bt.slices(texts, PIECE):
+        doc, size, bins = lines(part)
+        p = chain.marginals(doc, bins) if chain is not None else np.ones(len(doc))
+        total = np.bincount(doc, size, len(part))
+        out[first : first + len(part)] = np.bincount(doc, size * p, len(part)) / np.maximum(total, 1)
+    return np.clip(out, 0, 1)
+
+
 def score(text: Column, model) -> Column:
     """The score of a text, from 0 to 1; ``model``: a broadcast ``Chain``, or None."""
 
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for texts in batches:
-            out = np.zeros(len(texts))
-            for first, part in bt.slices(texts):
-                doc, size, bins = lines(part)
-                p = model.value.marginals(doc, bins) if model is not None else np.ones(len(doc))
-                total = np.bincount(doc, size, len(part))
-                out[first : first + len(part)] = np.bincount(doc, size * p, len(part)) / np.maximum(total, 1)
-            yield pa.array(np.clip(out, 0, 1))
+        with tidy():
+            chain = model.value if model is not None else None
+            for texts in batches:
+                yield pa.array(scores(texts, chain))
 
     return F.arrow_udf(run, "double")(text)
 
