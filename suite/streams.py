@@ -27,9 +27,14 @@ def throttle_batch(spark, sf):
 
 
 def _run_stream(spark, source, path, start=T.throttle_stream, **more):
-    """Run a stream of events to its end and return the decisions; the session's settings are put back."""
+    """Run a stream of events to its end and return the decisions; the session's settings are put back.
+
+    Every trigger opens and commits every partition of the state, so there are as many as cores, whatever the session's shuffles have.
+    """
     setting = {
-        "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+        "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+        "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+        "spark.sql.shuffle.partitions": str(spark.sparkContext.defaultParallelism),
     }
     before = {k: spark.conf.get(k, None) for k in setting}
     for k, v in setting.items():

@@ -2,6 +2,8 @@ import collections
 import random
 from datetime import datetime, timedelta
 
+import numpy as np
+import pandas as pd
 import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
@@ -196,3 +198,66 @@ def test_keys_share_state_groups(spark, tmp_path):
         assert shown(got.collect()) == shown(want)
         if n == 0:
             assert all(p["stateOperators"][0]["numRowsTotal"] <= 4 for p in query.recentProgress)
+
+
+@pytest.mark.parametrize("name", ["throttle_stream", "throttle_late", "throttle_shuffled"])
+def test_state_has_a_partition_per_core(spark, tmp_path, monkeypatch, name):
+    """A trigger opens every partition of the state: as many as cores, whatever the session's shuffles have; settings are put back."""
+    from suite import streams
+
+    rows = [(c or "none", e, t) for c, e, t in events(5, 200)]
+    spark.createDataFrame(rows, "user_id string, event_id long, ts timestamp").write.parquet(str(tmp_path / "events.parquet"))
+    monkeypatch.setattr(streams, "scratch_path", lambda _, kind: str(tmp_path / kind))
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "19")
+    try:
+        assert len(decided(getattr(streams, name)(spark, str(tmp_path)))) == 200
+        assert spark.conf.get("spark.sql.shuffle.partitions") == "19"
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    folder = {"throttle_stream": "throttle", "throttle_late": "late", "throttle_shuffled": "shuffled"}[name]
+    state = (tmp_path / folder / "state" / "state" / "0").iterdir()
+    assert len([p for p in state if p.name.isdigit()]) == spark.sparkContext.defaultParallelism
+
+
+@pytest.mark.parametrize("keys", ["whole", "text", "none"])
+def test_keys_of_a_group_are_decided_together(monkeypatch, keys):
+    """Logs and decisions are those of each key by itself, over triggers with late rows and ties; keys within the limit are not run one by one."""
+    rnd = random.Random(3)
+    named = {"whole": lambda k: k, "text": lambda k: f"k{k}", "none": lambda k: None}[keys]
+    kind = {"whole": "int64", "text": object, "none": float}[keys]
+    plain = T.admit
+    for limit, window in ((1, 3), (2, 10), (3, 30)) * 20:
+        logs, own = ([], np.zeros(0, int), np.zeros(0, np.int64)), collections.defaultdict(collections.deque)
+        for begin in range(0, 80, 20):
+            rows = [(rnd.randrange(4), begin + rnd.randrange(-15, 40), rnd.random() < 0.1, rnd.randrange(9)) for _ in range(20)]
+            frame = pd.DataFrame({"k": pd.Series([named(r[0]) for r in rows], dtype=kind), "event_micros": [float(r[1]) for r in rows], "no_id": [r[2] for r in rows], "event_id": [r[3] for r in rows]})
+            got, logs = T._decide(frame, "k", logs, limit, window)
+            mine = collections.defaultdict(list)
+            for row in sorted(zip(rows, got.tolist()), key=lambda r: r[0][1:]):
+                mine[named(row[0][0])].append((row[0][1], row[1]))
+            for k, all_of_it in mine.items():
+                times, ok = zip(*all_of_it)
+                # rows that tie in time and id may change places
+                assert sorted(zip(times, ok)) == sorted(zip(times, plain(np.array(times), own[k], limit, window).tolist()))
+            ends = np.cumsum(logs[1]).tolist()
+            assert {k: logs[2][hi - n : hi].tolist() for k, n, hi in zip(logs[0], logs[1], ends)} == {k: list(v) for k, v in own.items() if v}
+    monkeypatch.setattr(T, "admit", None)
+    quiet = pd.DataFrame({"k": range(1000), "event_micros": 0.0, "no_id": False, "event_id": range(1000)})
+    got, logs = T._decide(quiet, "k", ([], np.zeros(0, int), np.zeros(0, np.int64)), 1, 5)
+    assert got.all() and logs[0] == list(range(1000))
+
+
+def test_a_group_waits_with_one_timer(spark, tmp_path):
+    """Events of many buckets in a trigger: one timer a group, and each bucket is decided when the watermark has passed it."""
+    rows = [(f"c{k % 5}", k, START + timedelta(hours=k)) for k in range(60)]
+    spark.createDataFrame(rows, SCHEMA).coalesce(1).write.parquet(str(tmp_path / "in"))
+    source = spark.readStream.schema(SCHEMA).parquet(str(tmp_path / "in"))
+    out = T.throttle_event_time(source, "client", "ts", "event_id", 2, 40_000, "1 hour", bucket_s=3600, shards=1)
+    run = out.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
+    run.awaitTermination()
+    got = decided(spark.read.schema(out.schema).parquet(str(tmp_path / "out")))
+    want = expected(rows, 2, 40_000)
+    assert got == {k: want[k] for k in got} and 50 <= len(got) < 60
+    made = [p["stateOperators"][0]["customMetrics"]["numRegisteredTimers"] for p in run.recentProgress]
+    assert max(made) == 1

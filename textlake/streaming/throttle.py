@@ -27,7 +27,8 @@ from textlake.session import checkpointed
 logger = logging.getLogger("textlake")
 
 LIMIT, WINDOW_S = 30, 60  # fixed values: the default allowance
-SHARDS = 256  # groups of keys that share a state: more than there are cores
+SHARDS = 64  # groups of keys that share a state: each is called once a trigger, so not far more than there are cores
+TOGETHER = 20_000  # rows of a group from which its next bucket is decided by itself
 
 
 def admit(times: np.ndarray, log: deque, limit: int, window: int) -> np.ndarray:
@@ -195,17 +196,53 @@ def write_in_order(df: DataFrame, ts: str, event_id: str, path: str, rows: int)
         fs.setTimes(spark._jvm.org.apache.hadoop.fs.Path(folder, name), begun + 10 * i, -1)
 
 
-def _sorted_runs(batch: pd.DataFrame, key: str):
-    """Rows by key, time and id (rows without a time or an id last), and the runs of one key: ``(rows, [(key, from, to)])``."""
-    codes, _ = pd.factorize(batch[key])  # a NULL key has the code -1
-    rows = batch.assign(_code=codes).sort_values(["_code", "event_micros", "no_id", "event_id"], ignore_index=True)
-    code, keys = rows["_code"].to_numpy(), rows[key]
-    cuts = [0, *(np.flatnonzero(np.diff(code)) + 1).tolist(), len(code)] if len(code) else []
-    return rows, [(None if code[lo] < 0 else _plain(keys.iat[lo]), lo, hi) for lo, hi in zip(cuts, cuts[1:])]
+def _decide(rows: pd.DataFrame, key: str, logs: tuple, limit: int, window: int) -> tuple[np.ndarray, tuple]:
+    """Decisions on the rows of a group, all with a time, in the order of time and id (none last), and the logs after them.
 
-
-def _plain(value):
-    return value.item() if hasattr(value, "item") else value
+    Logs are the keys, the number of times of each, and the times in order. Keys that come to no more than ``limit`` in any window,
+    as most do, are decided together; the others one by one.
+    """
+    known, sizes, before = logs
+    kept, codes, names = _coded(known, rows[key])
+    at, ids = rows["event_micros"].to_numpy().astype(np.int64), rows["event_id"]
+    if not pd.api.types.is_integer_dtype(ids):
+        ids = pd.Series(pd.factorize(ids, sort=True)[0])
+        ids = ids.mask(ids < 0, len(ids))
+    by_time = np.lexsort((ids.to_numpy(), rows["no_id"].to_numpy(bool), at, codes))
+    code, t = np.concatenate([np.repeat(kept, sizes), codes[by_time]]), np.concatenate([before, at[by_time]])
+    order = np.argsort(code, kind="stable")  # of each key its log, then its rows
+    code, t, new = code[order], t[order], order >= len(before)
+    alone = np.full(len(names), limit < 1)
+    alone[code[1:][(code[1:] == code[:-1]) & (t[1:] < t[:-1])]] = True  # rows older than the log
+    rest = max(0, len(code) - limit)
+    alone[code[limit:][(code[limit:] == code[:rest]) & (t[limit:] - t[:rest] <= window)]] = True
+    starts = np.flatnonzero(np.concatenate([[True], code[1:] != code[:-1]]))
+    ends = np.append(starts[1:], len(code))
+    since = np.where(np.logical_or.reduceat(new, starts), t[ends - 1] - window, t[starts])  # a log without new rows stays
+    ok, left = np.ones(len(code), bool), (t >= np.repeat(since, ends - starts)) & ~alone[code]
+    sizes = np.add.reduceat(left, starts, dtype=int)
+    times, place = [t[left]], [np.repeat(np.arange(len(starts)), sizes)]
+    for i in np.flatnonzero(alone[code[starts]]):
+        first = starts[i] + int((~new[starts[i] : ends[i]]).sum())
+        log = deque(t[starts[i] : first].tolist())
+        ok[first : ends[i]] = admit(t[first : ends[i]], log, limit, window)
+        sizes[i] = len(log)
+        times.append(np.array(log, np.int64))
+        place.append(np.full(len(log), i))
+    times = np.concatenate(times)[np.argsort(np.concatenate(place), kind="stable")]
+    decided = np.zeros(len(rows), bool)
+    decided[by_time[order[new] - len(before)]] = ok[new]
+    return decided, ([names[c] for c in code[starts][sizes > 0]], sizes[sizes > 0], times)
+
+
+def _coded(known: list, keys: pd.Series) -> tuple[np.ndarray, np.ndarray, list]:
+    """Numbers of the keys known and of the rows' keys, and the keys by their numbers; NULL is the last."""
+    kind = keys.dtype if pd.api.types.is_integer_dtype(keys) else object
+    values = np.empty(len(known) + len(keys), kind)
+    values[: len(known)], values[len(known) :] = known, keys.to_numpy() if kind != object else keys.astype(object).to_numpy()
+    codes, names = pd.factorize(values)
+    codes = np.where(codes < 0, len(names), codes)
+    return codes[: len(known)], codes[len(known) :], [*names.tolist(), None]
 
 
 class _Logs:
@@ -214,16 +251,20 @@ class _Logs:
     def __init__(self, handle: StatefulProcessorHandle, key_type: str):
         self.state = handle.getValueState("logs", f"keys array<{key_type}>, sizes array<int>, times array<bigint>")
 
-    def read(self) -> dict:
-        if not self.state.exists():
-            return {}
-        keys, sizes, times = self.state.get()
-        ends = np.cumsum(sizes).tolist()
-        return {k: deque(sorted(times[hi - n : hi])) for k, n, hi in zip(keys, sizes, ends)}
+    def read(self) -> tuple:
+        keys, sizes, times = self.state.get() or ([], [], [])
+        return list(keys), np.array(sizes, int), np.array(times, np.int64)
+
+    def write(self, logs: tuple) -> None:
+        keys, sizes, times = logs
+        self.state.update((keys, sizes.tolist(), times.tolist()))
 
-    def write(self, logs: dict) -> None:
-        logs = {k: v for k, v in logs.items() if v}
-        self.state.update((list(logs), [len(v) for v in logs.values()], [t for v in logs.values() for t in v]))
+
+def _still(logs: tuple, since: int) -> tuple:
+    """The logs whose newest time is not before ``since``."""
+    keys, sizes, times = logs
+    stay = times[np.cumsum(sizes) - 1] >= since if len(keys) else np.zeros(0, bool)
+    return [k for k, s in zip(keys, stay) if s], sizes[stay], times[np.repeat(stay, sizes)]
 
 
 class _SlidingLog(StatefulProcessor):
@@ -236,30 +277,28 @@ class _SlidingLog(StatefulProcessor):
         self.handle, self.logs = handle, _Logs(handle, self.key_type)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        batch, runs = _sorted_runs(pd.concat(list(rows), ignore_index=True), self.key)
-        timeless = batch["event_micros"].isna().to_numpy()
-        times = batch["event_micros"].fillna(0).to_numpy().astype(np.int64)
-        admitted, logs = np.full(len(batch), None, dtype=object), self.logs.read()
-        for k, lo, hi in runs:
-            hi -= int(timeless[lo:hi].sum())  # rows without a time come last
-            if hi > lo:
-                admitted[lo:hi] = admit(times[lo:hi], logs.setdefault(k, deque()), self.n, self.window).tolist()
-        self._keep({k: log for k, log in logs.items() if log})
+        batch = pd.concat(list(rows), ignore_index=True)
+        timed = batch["event_micros"].notna().to_numpy()
+        admitted = np.full(len(batch), None, dtype=object)
+        if timed.any():
+            ok, logs = _decide(batch if timed.all() else batch[timed], self.key, self.logs.read(), self.n, self.window)
+            admitted[timed] = ok.tolist()
+            self.logs.write(logs)
+            if self.expires:
+                for timer in list(self.handle.listTimers()):
+                    self.handle.deleteTimer(timer)
+                self._wake(logs)
         yield _decided(batch, self.key, self.event_id, admitted)
 
-    def _keep(self, logs: dict) -> None:
-        self.logs.write(logs)
-        if self.expires and logs:
-            for timer in list(self.handle.listTimers()):
-                self.handle.deleteTimer(timer)
-            self.handle.registerTimer((min(log[-1] for log in logs.values()) + self.window) // 1000 + 1)
+    def _wake(self, logs: tuple) -> None:
+        _, sizes, times = logs
+        if len(sizes):
+            self.handle.registerTimer((int(times[np.cumsum(sizes) - 1].min()) + self.window) // 1000 + 1)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        passed = timerValues.getCurrentWatermarkInMs() * 1000
-        logs = {k: log for k, log in self.logs.read().items() if log[-1] + self.window >= passed}
+        logs = _still(self.logs.read(), timerValues.getCurrentWatermarkInMs() * 1000 - self.window)
         self.logs.write(logs)
-        if logs:
-            self.handle.registerTimer((min(log[-1] for log in logs.values()) + self.window) // 1000 + 1)
+        self._wake(logs)
         return iter([])
 
     def close(self) -> None:
@@ -267,14 +306,24 @@ class _SlidingLog(StatefulProcessor):
 
 
 def _decided(rows: pd.DataFrame, key: str, event_id: str, admitted) -> pd.DataFrame:
-    ids = rows["event_id"].astype(object).mask(rows["no_id"].astype(bool), None)
-    return pd.DataFrame({key: rows[key], event_id: ids, "admitted": pd.Series(admitted, dtype=object)})
+    ids, none = rows["event_id"], rows["no_id"].to_numpy(bool)
+    if none.any():
+        ids = ids.astype(object).mask(none, None)
+    return pd.DataFrame({key: rows[key], event_id: ids, "admitted": pd.Series(admitted, dtype=object, index=rows.index)})
+
+
+def _listed(values: pd.Series, gone: np.ndarray, order: np.ndarray) -> np.ndarray:
+    """A column's values in that order as plain ones, None where they are gone."""
+    if pd.api.types.is_integer_dtype(values) and not gone.any():
+        return values.to_numpy()[order]
+    return values.astype(object).where(~gone, None).to_numpy()[order]
 
 
 class _EventTimeLog(StatefulProcessor):
     """Events of the keys of a shard wait in state, in blocks by bucket of time, until the watermark has passed their bucket.
 
-    Blocks are written as they come and never rewritten; a bucket is read, ordered and decided once.
+    Blocks are written as they come and never rewritten; a bucket is read, ordered and decided once, small ones that are ready
+    together at once. A shard has one timer, for its first bucket.
     """
 
     def __init__(self, key: str, key_type: str, event_id: str, id_type: str, n: int, window: int, bucket: int):
@@ -285,52 +334,70 @@ class _EventTimeLog(StatefulProcessor):
         self.handle, self.logs = handle, _Logs(handle, self.key_type)
         block = f"keys array<{self.key_type}>, times array<bigint>, ids array<{self.id_type}>"
         self.waiting = handle.getMapState("waiting", "bucket bigint, block bigint", block)
-        self.blocks = handle.getValueState("blocks", "n bigint")
+        self.blocks = handle.getValueState("blocks", "n bigint, first bigint")
+
+    def _timer(self, bucket: int) -> int:
+        return (bucket + 1) * self.bucket // 1000 + 1
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        block, met = self.blocks.get()[0] if self.blocks.exists() else 0, set()
-        listed = lambda v, gone: v.astype(object).where(~gone, None).tolist()
+        block, first = self.blocks.get() or (0, None)
+        due = first
         for batch in rows:  # one Arrow batch at a time
-            buckets = batch["event_micros"].to_numpy(np.int64) // self.bucket
-            for b, part in batch.groupby(buckets, sort=True):
-                value = (listed(part[self.key], part[self.key].isna()), part["event_micros"].tolist(), listed(part["event_id"], part["no_id"].astype(bool)))
-                self.waiting.updateValue((int(b), block), value)
-                block += 1
-                met.add(int(b))
-        for b in met:
-            self.handle.registerTimer((b + 1) * self.bucket // 1000 + 1)
-        self.blocks.update((block,))
+            times = batch["event_micros"].to_numpy(np.int64)
+            order = np.argsort(times // self.bucket, kind="stable")
+            times, buckets = times[order], times[order] // self.bucket
+            keys = _listed(batch[self.key], batch[self.key].isna().to_numpy(), order)
+            ids = _listed(batch["event_id"], batch["no_id"].to_numpy(bool), order)
+            cuts = [0, *(np.flatnonzero(np.diff(buckets)) + 1).tolist(), len(buckets)] if len(buckets) else []
+            for lo, hi in zip(cuts, cuts[1:]):
+                b = int(buckets[lo])
+                self.waiting.updateValue((b, block), (keys[lo:hi].tolist(), times[lo:hi].tolist(), ids[lo:hi].tolist()))
+                block, first = block + 1, b if first is None else min(b, first)
+        if first != due:
+            if due is not None:
+                self.handle.deleteTimer(self._timer(due))
+            self.handle.registerTimer(self._timer(first))
+        self.blocks.update((block, first))
         return iter([])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         passed = timerValues.getCurrentWatermarkInMs() * 1000
-        ready: dict[int, list[int]] = {}
-        for b, block in list(self.waiting.keys()):
-            if (b + 1) * self.bucket <= passed:
-                ready.setdefault(b, []).append(block)
-        if not ready:
-            return
-        logs = self.logs.read()
-        for b in sorted(ready):
-            keys, times, ids = [], [], []
-            for block in ready[b]:
-                for into, values in zip((keys, times, ids), self.waiting.getValue((b, block))):
+        found = sorted(self.waiting.keys())
+        ready = [(b, block) for b, block in found if (b + 1) * self.bucket <= passed]
+        if ready:
+            logs, held = self.logs.read(), ([], [], [])
+            for i, (b, block) in enumerate(ready):
+                for into, values in zip(held, self.waiting.getValue((b, block))):
                     into += values
-                self.waiting.removeKey((b, block))
-            rows = pd.DataFrame({self.key: pd.Series(keys, dtype=object), "event_micros": np.array(times, np.int64), "no_id": [i is None for i in ids], "event_id": pd.Series(ids, dtype=object)})
-            rows, runs = _sorted_runs(rows, self.key)
-            at, admitted = rows["event_micros"].to_numpy(), np.zeros(len(rows), bool)
-            for k, lo, hi in runs:
-                admitted[lo:hi] = admit(at[lo:hi], logs.setdefault(k, deque()), self.n, self.window)
-            yield _decided(rows, self.key, self.event_id, admitted.tolist())
-            # all events to come are of later buckets
-            logs = {k: log for k, log in logs.items() if log and log[-1] + self.window >= (b + 1) * self.bucket}
-        self.logs.write(logs)
+                if len(found) > len(ready):
+                    self.waiting.removeKey((b, block))
+                last = i + 1 == len(ready)
+                if last or len(held[0]) >= TOGETHER and ready[i + 1][0] > b:
+                    keys, times, ids = held
+                    none = [v is None for v in ids]
+                    rows = pd.DataFrame({self.key: _plainest(keys), "event_micros": np.array(times, np.int64), "no_id": none, "event_id": _plainest(ids)})
+                    ok, logs = _decide(rows, self.key, logs, self.n, self.window)
+                    yield _decided(rows, self.key, self.event_id, ok.tolist())
+                    # all events to come are of later buckets
+                    logs, held = _still(logs, (b + 1) * self.bucket - self.window), ([], [], [])
+            if len(found) == len(ready):
+                self.waiting.clear()
+            self.logs.write(logs)
+        first = found[len(ready)][0] if len(found) > len(ready) else None
+        if first is not None:
+            self.handle.registerTimer(self._timer(first))
+        self.blocks.update((self.blocks.get()[0], first))
 
     def close(self) -> None:
         pass
 
 
+def _plainest(values: list) -> pd.Series:
+    """Whole numbers as such where none is NULL, other values as objects."""
+    whole = all(type(v) is int for v in values)
+    return pd.Series(values, dtype="int64" if whole else object)
+
+
 def _sharded(stream: DataFrame, key: str, event_id: str, at, shards: int) -> DataFrame:
     """Shard, key, id and time. Rows without a key have a shard of their own, and whole-number ids are never NULL, so that
     a batch of the other rows keeps its integers as they are."""
