@@ -261,3 +261,22 @@ def test_a_group_waits_with_one_timer(spark, tmp_path):
     assert got == {k: want[k] for k in got} and 50 <= len(got) < 60
     made = [p["stateOperators"][0]["customMetrics"]["numRegisteredTimers"] for p in run.recentProgress]
     assert max(made) == 1
+
+
+def test_whole_keys_beside_rows_without_one(spark, tmp_path):
+    """NULL keys in the same Arrow batch as large whole ones: keys and decisions are those of the batch form, over triggers."""
+    big = (1 << 60) + 1
+    rows = [(None if k % 7 == 0 else big + k % 5, k, START + timedelta(seconds=3 * k)) for k in range(300)]
+    kind = "client long, event_id long, ts timestamp"
+    for part in range(3):
+        spark.createDataFrame(rows[100 * part : 100 * part + 100], kind).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    want = sorted(map(str, T.throttle(spark.createDataFrame(rows, kind), "client", "ts", "event_id", 2, 300).collect()))
+    for n, (start, more) in enumerate([(T.throttle_stream, {}), (T.throttle_event_time, {"lateness": "2 hours"})]):
+        if n == 1:
+            spark.createDataFrame([(-1, -1, START + timedelta(days=2))], kind).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        source = spark.readStream.schema(kind).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+        out = start(source, "client", "ts", "event_id", 2, 300, shards=3, **more)
+        query = out.writeStream.format("parquet").option("path", str(tmp_path / f"out{n}")).option("checkpointLocation", str(tmp_path / f"state{n}")).trigger(availableNow=True).start()
+        query.awaitTermination()
+        got = spark.read.schema(out.schema).parquet(str(tmp_path / f"out{n}")).where("event_id >= 0").collect()
+        assert sorted(map(str, got)) == want

@@ -28,6 +28,7 @@ logger = logging.getLogger("textlake")
 
 LIMIT, WINDOW_S = 30, 60  # fixed values: the default allowance
 SHARDS = 64  # groups of keys that share a state: each is called once a trigger, so not far more than there are cores
+NO_KEY = -1  # the group of the rows without a key
 TOGETHER = 20_000  # rows of a group from which its next bucket is decided by itself
 
 
@@ -288,7 +289,7 @@ class _SlidingLog(StatefulProcessor):
                 for timer in list(self.handle.listTimers()):
                     self.handle.deleteTimer(timer)
                 self._wake(logs)
-        yield _decided(batch, self.key, self.event_id, admitted)
+        yield _decided(batch, self.key, self.event_id, admitted, key[0])
 
     def _wake(self, logs: tuple) -> None:
         _, sizes, times = logs
@@ -305,11 +306,12 @@ class _SlidingLog(StatefulProcessor):
         pass
 
 
-def _decided(rows: pd.DataFrame, key: str, event_id: str, admitted) -> pd.DataFrame:
+def _decided(rows: pd.DataFrame, key: str, event_id: str, admitted, shard: int) -> pd.DataFrame:
     ids, none = rows["event_id"], rows["no_id"].to_numpy(bool)
     if none.any():
         ids = ids.astype(object).mask(none, None)
-    return pd.DataFrame({key: rows[key], event_id: ids, "admitted": pd.Series(admitted, dtype=object, index=rows.index)})
+    keys = rows[key] if shard != NO_KEY else pd.Series(None, dtype=object, index=rows.index)
+    return pd.DataFrame({key: keys, event_id: ids, "admitted": pd.Series(admitted, dtype=object, index=rows.index)})
 
 
 def _listed(values: pd.Series, gone: np.ndarray, order: np.ndarray) -> np.ndarray:
@@ -377,7 +379,7 @@ class _EventTimeLog(StatefulProcessor):
                     none = [v is None for v in ids]
                     rows = pd.DataFrame({self.key: _plainest(keys), "event_micros": np.array(times, np.int64), "no_id": none, "event_id": _plainest(ids)})
                     ok, logs = _decide(rows, self.key, logs, self.n, self.window)
-                    yield _decided(rows, self.key, self.event_id, ok.tolist())
+                    yield _decided(rows, self.key, self.event_id, ok.tolist(), key[0])
                     # all events to come are of later buckets
                     logs, held = _still(logs, (b + 1) * self.bucket - self.window), ([], [], [])
             if len(found) == len(ready):
@@ -399,12 +401,18 @@ def _plainest(values: list) -> pd.Series:
 
 
 def _sharded(stream: DataFrame, key: str, event_id: str, at, shards: int) -> DataFrame:
-    """Shard, key, id and time. Rows without a key have a shard of their own, and whole-number ids are never NULL, so that
-    a batch of the other rows keeps its integers as they are."""
-    shard = F.when(F.col(key).isNull(), -1).otherwise(F.pmod(F.xxhash64(key), F.lit(shards))).cast("int")
-    whole = isinstance(stream.schema[event_id].dataType, T.IntegralType)
-    named = F.coalesce(event_id, F.lit(0).cast(stream.schema[event_id].dataType)) if whole else F.col(event_id)
-    return stream.select(shard.alias("_shard"), F.col(key), named.alias("event_id"), F.col(event_id).isNull().alias("no_id"), at.alias("event_time"), F.unix_micros(at).alias("event_micros"))
+    """Shard, key, id and time. Rows without a key have a shard of their own, ``NO_KEY``. Whole numbers are never NULL, as an Arrow
+    batch holds rows of several shards, and one NULL in it would make floats of all its keys or ids."""
+    shard = F.when(F.col(key).isNull(), NO_KEY).otherwise(F.pmod(F.xxhash64(key), F.lit(shards))).cast("int")
+
+    def named(c):
+        kind = stream.schema[c].dataType
+        return F.coalesce(c, F.lit(0).cast(kind)) if isinstance(kind, T.IntegralType) else F.col(c)
+
+    return stream.select(
+        shard.alias("_shard"), named(key).alias(key), named(event_id).alias("event_id"), F.col(event_id).isNull().alias("no_id"),
+        at.alias("event_time"), F.unix_micros(at).alias("event_micros"),
+    )
 
 
 def throttle_event_time(
